@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import PrefixHash, slices, texts
 
 SHORT = 32
 NONE = np.int32(1 << 30)
@@ -123,33 +123,90 @@ def merge_short(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarr
     return done, done_n
 
 
+class Table:
+    """An open-addressing table from 64-bit hashes to row numbers, probed with numpy."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.checks = np.zeros(1 << self.bits, np.uint32)
+        self.rows = np.full(1 << self.bits, -1, np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Row numbers; -1 for keys that are not in the table."""
+        out, slot, left, last = np.full(len(keys), -1, np.int32), self._slot(keys), np.arange(len(keys)), (1 << self.bits) - 1
+        while len(left):
+            at = slot[left] & last
+            row = self.rows[at]
+            hit = (row >= 0) & (self.keys[at] == keys[left]) & (self.checks[at] == checks[left])
+            out[left[hit]] = row[hit]
+            left = left[(row >= 0) & ~hit]
+            slot[left] += 1
+        return out
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, rows: np.ndarray) -> None:
+        """Adds distinct keys that are not in the table."""
+        slot, left, last = self._slot(keys), np.arange(len(keys)), (1 << self.bits) - 1
+        while len(left):
+            at = slot[left] & last
+            free = self.rows[at] < 0
+            mine, there = left[free], at[free]
+            self.rows[there] = rows[mine]
+            won = self.rows[there] == rows[mine]
+            self.keys[there[won]], self.checks[there[won]] = keys[mine[won]], checks[mine[won]]
+            left = np.concatenate([left[~free], mine[~won]])
+            slot[left] += 1
+
+
+class Pool:
+    """Variable-length items in one growing array."""
+
+    def __init__(self, dtype):
+        self.data, self.used = np.empty(1 << 16, dtype), 0
+
+    def add(self, items: np.ndarray) -> int:
+        if self.used + len(items) > len(self.data):
+            self.data = np.resize(self.data, 2 * (self.used + len(items)))
+        at = self.used
+        self.data[at : at + len(items)] = items
+        self.used += len(items)
+        return at
+
+    def gather(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        shift = start - (np.cumsum(length) - length)
+        return self.data[np.repeat(shift, length) + np.arange(int(length.sum()))]
+
+
 class Encoder:
     """Ids of whole texts for vocabularies that drop white space and mark word ends.
 
-    Words never cross white space, so a text is split there and each chunk's ids are kept.
+    Words never cross white space, so texts are split there; each distinct chunk is encoded
+    once and kept (up to `keep` chunks, then the store begins anew).
     """
 
-    def __init__(self, path: str, pattern: str, keep: int = 400_000, dtype: str = "<u4", decode: bool = True):
-        self.v, self.keep, self.dtype, self.decoding = Vocabulary(path), keep, dtype, decode
-        self.words = regex.compile(pattern)
-        self.space = regex.compile(r"\s+")
-        self.odd = regex.compile("[\x1c-\x1f​᠎﻿]")
+    def __init__(self, path: str, pattern: str, keep: int = 1_000_000, dtype: str = "<u4", decode: bool = True):
+        self.v, self.path, self.keep, self.dtype, self.decoding = Vocabulary(path), path, keep, dtype, decode
+        self.space = regex.compile("[\t-\r ]")
+        self.words_or_end = regex.compile(pattern + r"|\n").findall
         #: Letters whose class no Unicode version changed; the library itself splits chunks with others.
         self.rare = regex.compile("[^\x00-\x7f\u00a1-\u024f\u0400-\u0481\u4e00-\u9fa5\uac00-\ud7a3\u2010-\u2027]")
         self.bytes_of = {letter: bytes([b]) for b, letter in LETTER.items()}
-        self.path = path
-        self.special = regex.compile("(" + "|".join(map(regex.escape, self.v.added)) + ")") if self.v.added else None
+        self.special = regex.compile("(" + "|".join(map(regex.escape, self.v.added)) + ")")
+        self.added = {x.encode(): i for x, i in self.v.added.items()}
         self.names = {i: x.encode() for i, x in self.v.strings.items()}
-        self.ids: dict[str, bytes] = {}
-        self.strings: dict[str, bytes] = {}
+        self.table = Table(max(12, int(2.5 * keep).bit_length()))
+        self._begin()
 
-    def pieces(self, chunk: str) -> list[bytes]:
-        if chunk.isascii():
-            chunk = chunk.lower()
-            return [chunk.encode()] if chunk.isalpha() else [w.encode() for w in self.words.findall(chunk)]
-        if self.rare.search(chunk):
-            return self.library_pieces(chunk)
-        return [w.encode() for w in self.words.findall(unicodedata.normalize("NFC", chunk).lower())]
+    def _begin(self) -> None:
+        self.table.clear()
+        self.n, self.ids, self.spelt = 0, Pool(self.dtype), Pool(np.uint8)
+        self.places = np.zeros((1 << 12, 4), np.int64)  # ids: start, length; spelling: start, length
 
     def library_pieces(self, chunk: str) -> list[bytes]:
         if not hasattr(self, "library"):
@@ -159,78 +216,125 @@ class Encoder:
         found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
         return [b"".join([self.bytes_of[c] for c in w]) for w, _ in found]
 
-    def chunks(self, text: str) -> list[str]:
-        return self.space.split(text) if self.odd.search(text) else text.split()
-
-    def learn(self, new: set[str]) -> None:
-        """Encodes chunks not met before."""
-        if len(self.ids) + len(new) > self.keep:
-            self.ids.clear(), self.strings.clear()
-        parts = {c: self.pieces(c) for c in new}
-        words = {w for p in parts.values() for w in p}
-        raw: dict[bytes, bytes] = {}
-        said: dict[bytes, bytes] = {}
-        names: dict[int, list[bytes]] = {}
-        for w in words:
-            names.setdefault((len(w) + 3) // 4 if len(w) <= SHORT else 0, []).append(w)
-        for w in names.pop(0, ()):
-            from .token_counts import merge_heap
-
-            done = merge_heap(self.v, self.v.symbols(w))
-            raw[w] = np.array(done, self.dtype).tobytes()
-            said[w] = b" ".join([self.names[i] for i in done])
-        size = np.dtype(self.dtype).itemsize
-        for group in names.values():
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the words in one array, and where each word's ids start and how many they are."""
+        from .token_counts import merge_heap
+
+        start, length, flat, used = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for i in np.flatnonzero(sizes > SHORT).tolist():
+            flat.append(np.array(merge_heap(self.v, self.v.symbols(words[i])), np.int32))
+            start[i], length[i], used = used, len(flat[-1]), used + len(flat[-1])
+        for k in range(1, SHORT // 4 + 1):
+            group = np.flatnonzero((sizes > 4 * k - 4) & (sizes <= 4 * k))
             for a in range(0, len(group), 8192):
                 part = group[a : a + 8192]
-                ids, n = merge_short(self.v, part)
-                flat = ids[np.arange(ids.shape[1]) < n[:, None]]
-                packed, ends = flat.astype(self.dtype).tobytes(), np.cumsum(n).tolist()
-                starts = [0, *ends[:-1]]
-                raw.update(zip(part, [packed[i * size : j * size] for i, j in zip(starts, ends, strict=True)], strict=True))
-                if self.decoding:
-                    spelt = [self.names[i] for i in flat.tolist()]
-                    said.update(zip(part, [b" ".join(spelt[i:j]) for i, j in zip(starts, ends, strict=True)], strict=True))
-        for c, p in parts.items():
-            if len(p) == 1:
-                self.ids[c] = raw[p[0]]
-                if self.decoding:
-                    self.strings[c] = said[p[0]]
+                ids, n = merge_short(self.v, [words[i] for i in part.tolist()])
+                flat.append(ids[np.arange(ids.shape[1]) < n[:, None]])
+                start[part], length[part] = used + np.cumsum(n) - n, n
+                used += len(flat[-1])
+        return (np.concatenate(flat) if flat else np.empty(0, np.int32)), start, length
+
+    def learn(self, chunks: list[bytes], keys: np.ndarray, checks: np.ndarray) -> None:
+        """Encodes chunks not met before and stores ids and spellings."""
+        whole = b"\n".join(chunks).decode()
+        if whole.isascii():
+            found = self.words_or_end(whole.lower())
+        elif not self.rare.search(whole):
+            found = self.words_or_end(unicodedata.normalize("NFC", whole).lower())
+        else:
+            found = []
+            for c in whole.split("\n"):
+                found += self.library_pieces(c) if self.rare.search(c) else self.words_or_end(unicodedata.normalize("NFC", c).lower())
+                found.append("\n")
+            found.pop()
+        number = {w: i for i, w in enumerate(dict.fromkeys(found))}
+        words = [b"" if w == "\n" else w if isinstance(w, bytes) else w.encode() for w in number]
+        flat, start, length = self._encoded(words)
+        which = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
+        n = length[which]
+        ids = flat[np.repeat(start[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        stops = np.append(np.flatnonzero(which == number.get("\n", -1)), len(which))
+        total = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=total[1:])
+        ends = total[stops]
+        n = np.diff(ends, prepend=0)
+        for i in [i for i, c in enumerate(chunks) if c in self.added]:
+            ids = np.concatenate([ids[: ends[i] - n[i]], [self.added[chunks[i]]], ids[ends[i] :]]).astype(np.int32)
+            n[i] = 1
+            ends = np.cumsum(n)
+        size, at = np.zeros(len(n), np.int64), 0
+        if self.decoding:
+            said = [self.names[i] for i in ids.tolist()]
+            spelt = [b" ".join(said[i:j]) + b" " if j > i else b"" for i, j in zip((ends - n).tolist(), ends.tolist(), strict=True)]
+            size = np.fromiter(map(len, spelt), np.int64, len(spelt))
+            at = self.spelt.add(np.frombuffer(b"".join(spelt), np.uint8))
+        at_ids = self.ids.add(ids.astype(self.dtype))
+        rows = np.arange(self.n, self.n + len(n), dtype=np.int32)
+        if self.n + len(n) > len(self.places):
+            self.places = np.resize(self.places, (2 * (self.n + len(n)), 4))
+        self.places[self.n : self.n + len(n)] = np.stack([at_ids + ends - n, n, at + np.cumsum(size) - size, size], 1)
+        self.n += len(n)
+        self.table.add(keys, checks, rows)
+
+    def encode_texts(self, whole: list[str], most: int = 2_000_000) -> Iterator[tuple[int, list[tuple[bytes, bytes]]]]:
+        """encode() in slices of bounded size, with the place of each slice's first text.
+
+        A text above the bound is cut at white space, which no token crosses.
+        """
+        for a, b in slices(whole, len, most):
+            if b == a + 1 and len(whole[a]) > most:
+                parts, at, text = [], 0, whole[a]
+                while at < len(text):
+                    space = self.space.search(text, min(len(text), at + most))
+                    end = space.end() if space else len(text)
+                    parts += self.encode([text[at:end]])
+                    at = end
+                yield a, [(b"".join([i for i, _ in parts]), b" ".join([s for _, s in parts if s]))]
             else:
-                self.ids[c] = b"".join([raw[w] for w in p])
-                if self.decoding:
-                    self.strings[c] = b" ".join([said[w] for w in p])
+                yield a, list(self.encode(whole[a:b]))
 
     def encode(self, batch: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """For each text: ids as packed integers, and the decoded text as UTF-8."""
-        special = self.special
-        whole: list[list[str]] = []
-        new: set[str] = set()
-        for text in batch:
-            if special is not None and "<|" in text and special.search(text):
-                found = []
-                for i, part in enumerate(special.split(text)):
-                    found += [part] if i % 2 else self.chunks(part)
-                    if i % 2:
-                        self.special_chunk(part)
+        raw = [(self.special.sub(r" \1 ", x) if "<|" in x else x).encode() for x in batch]
+        joined = b"\n".join(raw)
+        data = np.frombuffer(joined, np.uint8)
+        gap = np.empty(len(data) + 2, bool)
+        gap[0] = gap[-1] = True
+        np.logical_or(data == 32, (data >= 9) & (data <= 13), out=gap[1:-1])
+        edge = np.flatnonzero(gap[1:] != gap[:-1])
+        start, end = edge[0::2], edge[1::2]
+        size = end - start
+        keys = PrefixHash(data).of(start, end) if len(start) else np.empty(0, np.uint64)
+        checks = size.astype(np.uint32) if not len(start) else (size.astype(np.uint32) | data[start].astype(np.uint32) << 16 | data[end - 1].astype(np.uint32) << 24)
+        row = self.table.find(keys, checks)
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            _, first = np.unique(keys[new], return_index=True)
+            if self.n + len(first) > self.keep:
+                self._begin()
+                _, new = np.unique(keys, return_index=True)
             else:
-                found = self.chunks(text)
-            whole.append(found)
-            new.update(found)
-        new.difference_update(self.ids)
-        if new:
-            if len(self.ids) + len(new) > self.keep:
-                new = {c for found in whole for c in found}
-            self.learn(new)
-            for name in self.v.added:
-                self.special_chunk(name)
-        ids, strings = self.ids, self.strings
-        for found in whole:
-            yield b"".join(map(ids.__getitem__, found)), (b" ".join(filter(None, map(strings.__getitem__, found))) if self.decoding else b"")
-
-    def special_chunk(self, name: str) -> None:
-        self.ids[name] = np.array([self.v.added[name]], self.dtype).tobytes()
-        self.strings[name] = name.encode()
+                new = new[first]
+            self.learn([joined[a:b] for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)], keys[new], checks[new])
+            row = self.table.find(keys, checks)
+        place = self.places[row]
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
+        upto = np.searchsorted(start, ends)  # chunks before each text's end
+
+        def bounds(length: np.ndarray) -> list[int]:
+            total = np.zeros(len(length) + 1, np.int64)
+            np.cumsum(length, out=total[1:])
+            return [0, *total[upto].tolist()]
+
+        width = np.dtype(self.dtype).itemsize
+        packed, at = self.ids.gather(place[:, 0], place[:, 1]).tobytes(), bounds(place[:, 1])
+        if not self.decoding:
+            yield from ((packed[a * width : b * width], b"") for a, b in zip(at, at[1:], strict=False))
+            return
+        spelt, on = self.spelt.gather(place[:, 2], place[:, 3]).tobytes(), bounds(place[:, 3])
+        for a, b, c, d in zip(at, at[1:], on, on[1:], strict=False):
+            yield packed[a * width : b * width], spelt[c : max(c, d - 1)]
 
 
 #: The split pattern of the vocabulary with word ends.
@@ -257,8 +361,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         enc = encoder(path)
         for batch in batches:
             names, whole = batch.column(0), texts(batch.column(1))
-            for a in range(0, len(whole), 512):
-                out = list(enc.encode(whole[a : a + 512]))
+            for a, out in enc.encode_texts(whole):
                 yield pa.record_batch(
                     [names.slice(a, len(out)), pa.array([len(i) // 4 for i, _ in out], pa.int64()), pa.array([i for i, _ in out], pa.binary()), pa.array([s for _, s in out], pa.binary())],
                     ["doc_id", "n_tokens", "ids", "decoded"],
@@ -274,8 +377,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         enc = encoder(path)
         for batch in batches:
             names, whole = batch.column(0), texts(batch.column(1))
-            for a in range(0, len(whole), 512):
-                out = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(s).hexdigest()) for i, s in enc.encode(whole[a : a + 512])]
+            for a, done in enc.encode_texts(whole):
+                out = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(s).hexdigest()) for i, s in done]
                 yield pa.record_batch([names.slice(a, len(out)), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -157,14 +157,14 @@ def tokenized(docs: DataFrame, path: str, max_queues: int) -> DataFrame:
         enc, part, before = encoder(path, "<u2", False), TaskContext.get().partitionId(), {}
         for batch in batches:
             names, sources, whole = batch.column(0), batch.column(1).to_pylist(), texts(batch.column(2))
-            for a in range(0, len(whole), 512):
-                ids = [i + END.to_bytes(2, "little") for i, _ in enc.encode(whole[a : a + 512])]
+            for a, done in enc.encode_texts(whole):
+                ids = [i + END.to_bytes(2, "little") for i, _ in done]
                 n = [len(i) // 2 for i in ids]
                 at = []
-                for q, k in zip(sources[a : a + 512], n, strict=True):
+                for q, k in zip(sources[a : a + len(n)], n, strict=True):
                     at.append(before.get(q, 0))
                     before[q] = at[-1] + k
-                yield pa.record_batch([names.slice(a, len(n)), pa.array(sources[a : a + 512], pa.string()), pa.array([part] * len(n), pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "queue", "part", "at", "n", "ids"])
+                yield pa.record_batch([names.slice(a, len(n)), pa.array(sources[a : a + len(n)], pa.string()), pa.array([part] * len(n), pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "queue", "part", "at", "n", "ids"])
 
     rows = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("queue"), "text")
     sources = rows.groupBy("queue").count()
