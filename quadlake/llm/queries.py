@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, packing, telephony, token_counts, urlfilter
+from . import bpe, chat, hnsw, jaccard, packing, suffixdedup, telephony, token_counts, toxicity, urlfilter
 from .common import table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +26,11 @@ def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORDS)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -34,12 +39,24 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), BYTES)
 
 
+def op7_hnsw_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.substring_digests(table(spark, sf_dir, "documents"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.with_probe(table(spark, sf_dir, "conversations")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_codec, op2_telephony_audio, op3_mixture_packing, op5_url_rules, op6_token_counts, op10_chat_format)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_telephony_audio, op3_mixture_packing, op4_toxicity, op5_url_rules, op6_token_counts, op7_hnsw_neardup, op8_suffix_dedup, op9_jaccard_join, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
