@@ -172,13 +172,13 @@ class Model:
     def __init__(self, words: np.ndarray, grams: np.ndarray, network: Network | None):
         self.words, self.grams, self.network = words, grams, network
 
-    def features(self, t: Tokens, words: np.ndarray | None = None, grams: np.ndarray | None = None) -> np.ndarray:
+    def features(self, t: Tokens) -> np.ndarray:
         p = self.network.p
         x = np.empty((len(t.words) + 1, Network.FEATURES), np.float32)
         x[-1] = 0  # stands for no word
         if len(t.words):
-            x[:-1, 0] = self.words[_bucket(t.words)] if words is None else words
-            x[:-1, 1], x[:-1, 2] = _pooled(self.grams[_bucket(t.grams)] if grams is None else grams, t.n_grams)
+            x[:-1, 0] = self.words[_bucket(t.words)]
+            x[:-1, 1], x[:-1, 2] = _pooled(self.grams[_bucket(t.grams)], t.n_grams)
             x[:-1, 3 : 3 + WORD_DIM] = p["word"][_small(t.words)]
             at = np.cumsum(t.n_grams) - t.n_grams
             x[:-1, 3 + WORD_DIM :] = np.add.reduceat(p["char"][_small(t.grams)], at) / t.n_grams[:, None]
@@ -224,34 +224,63 @@ def train(samples: list[tuple[str, int]], updates: int = 160, seed: int = 5) ->
     zero = np.zeros(1 << BITS, np.float32)
     if not len(y) or y.min() == y.max():
         return Model(zero, zero, None)
-    t = tokens([x for x, _ in samples])
-    first = np.concatenate([[0], t.upto[:-1]])
-    doc = np.repeat(np.arange(len(y)), t.upto - first)
+    whole = [x for x, _ in samples]
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
+    counts = {name: np.zeros((2, 1 << BITS), np.float32) for name in ("word", "gram")}
+
+    def sliced():
+        """Tokens of a few texts at a time, and the label of each word and n-gram's text."""
+        for a, b in slices(whole, len, 200_000):
+            t = tokens(whole[a:b])
+            doc = np.repeat(np.arange(a, b), np.diff(t.upto, prepend=0))
+            yield t, doc, np.repeat(doc, t.n_grams)
+
+    for t, doc, gram_doc in sliced():
+        for name, hashes, owner in (("word", t.words, doc), ("gram", t.grams, gram_doc)):
+            pairs = np.unique(owner << BITS | _bucket(hashes))
+            toxic = y[pairs >> BITS] > 0
+            which = pairs & ((1 << BITS) - 1)
+            counts[name][1] += np.bincount(which[toxic], minlength=1 << BITS)
+            counts[name][0] += np.bincount(which[~toxic], minlength=1 << BITS)
+
+    def own(name: str, hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Evidence without the text that it is for."""
+        bucket, label = _bucket(hashes), y[owner]
+        return evidence(counts[name][1][bucket] - label, counts[name][0][bucket] - (1 - label), n1, n0)
 
-    def tables(hashes, owner):
-        """Texts of either label with each bucket; what each occurrence gets without its own text."""
-        bucket = _bucket(hashes)
-        pairs = np.unique(owner.astype(np.int64) << BITS | bucket)
-        toxic = y[pairs >> BITS] > 0
-        which = pairs & ((1 << BITS) - 1)
-        c1, c0 = (np.bincount(which[m], minlength=1 << BITS).astype(np.float32) for m in (toxic, ~toxic))
-        own = y[owner]
-        return evidence(c1, c0, n1, n0), evidence(c1[bucket] - own, c0[bucket] - (1 - own), n1, n0)
-
-    words, own_words = tables(t.words, doc)
-    grams, own_grams = tables(t.grams, np.repeat(doc, t.n_grams))
     net = Network()
-    model = Model(words, grams, net)
-    x = model.features(t, own_words, own_grams)
-    at, whose = model.windows(t)
+    model = Model(*(evidence(counts[n][1], counts[n][0], n1, n0) for n in ("word", "gram")), net)
+    known, word_parts, gram_parts, size_parts, ends = [], [], [], [], [np.zeros(1, np.int64)]
+    for t, doc, gram_doc in sliced():
+        if len(t.words):
+            most, mean = _pooled(own("gram", t.grams, gram_doc), t.n_grams)
+            known.append(np.stack([own("word", t.words, doc), most, mean], 1).astype(np.float32))
+        word_parts.append(_small(t.words).astype(np.int16))
+        gram_parts.append(_small(t.grams).astype(np.int16))
+        size_parts.append(t.n_grams)
+        ends.append(t.upto + ends[-1][-1])
+    if not known:
+        return Model(zero, zero, None)
+    words, grams, n_grams, upto = np.concatenate(word_parts), np.concatenate(gram_parts), np.concatenate(size_parts), np.concatenate(ends)[1:]
+    word_of, gram_of = np.append(words, 0).astype(np.int16), grams
+    gram_at = np.append(np.cumsum(n_grams) - n_grams, 0)
+    x = np.zeros((len(words) + 1, Network.FEATURES), np.float32)
+    x[:-1, :3] = np.concatenate(known)
+
+    def refresh() -> None:
+        """The learnt vectors of all words, a part at a time."""
+        for a in range(0, len(words), 100_000):
+            b = min(a + 100_000, len(words))
+            x[a:b, 3 : 3 + WORD_DIM] = net.p["word"][words[a:b]]
+            first = int(gram_at[a])
+            x[a:b, 3 + WORD_DIM :] = np.add.reduceat(net.p["char"][gram_of[first : first + int(n_grams[a:b].sum())]], gram_at[a:b] - first) / n_grams[a:b, None]
+
+    refresh()
+    n_grams = np.append(n_grams, 0)
+    at, whose = model.windows(Tokens(words, grams, n_grams, upto))
     starts = np.flatnonzero(np.append(True, whose[1:] != whose[:-1]))
     strength = np.where(at >= 0, (x[:, 0] + x[:, 1])[at], -9).max(1)
     rng = np.random.default_rng(seed)
-    gram_at = np.append(np.cumsum(t.n_grams) - t.n_grams, 0)
-    n_grams = np.append(t.n_grams, 0)
-    word_of = np.append(_small(t.words), 0)
-    gram_of = _small(t.grams)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
@@ -289,13 +318,12 @@ def train(samples: list[tuple[str, int]], updates: int = 160, seed: int = 5) ->
                 m[name] = 0.9 * m[name] + 0.1 * grad
                 v[name] = 0.99 * v[name] + 0.01 * grad * grad
                 net.p[name] = (net.p[name] - rate * (0.05 if name in ("word", "char") else 1) * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-        fresh = model.features(t, own_words, own_grams)
-        x[:, :] = fresh
-        strength = model.window_scores(x, at)
+        refresh()
+        strength = np.concatenate([model.window_scores(x[w := np.unique(at[a : a + 1024])], np.where(at[a : a + 1024] < 0, -1, np.searchsorted(w, at[a : a + 1024]))) for a in range(0, len(at), 1024)])
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic: int = 1000, clean: int = 2000, chars: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, toxic: int = 1000, clean: int = 1500, chars: int = 10_000) -> Model:
     """Trains on a bounded sample: at most `toxic` and `clean` labelled texts of at most `chars` characters.
 
     Rows whose crc32(doc_id) mod 5 is 0 are held out. The rows of least hash are taken, so the
