@@ -40,7 +40,7 @@ def _decoded(col):
 
 
 def _letter(digits):
-    return F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32BE")
+    return F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
 
 
 def read_statements(spark: SparkSession, path: str) -> DataFrame:
