@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import stored, texts
+from .common import pieces, stored, texts
 
 END = 2
 CYCLE = 32
@@ -63,10 +63,14 @@ def _rounds(quantum: list[int], window: int, cycle: int) -> list[list[int]]:
     deficit, taken = [0] * n, [[0] for _ in quantum]
     for _ in range(cycle):
         deficit = [d + q for d, q in zip(deficit, quantum, strict=True)]  # in 1/cycle tokens
-        take = [d // cycle for d in deficit]
+        take = [max(0, d // cycle) for d in deficit]  # below zero: a queue that was ahead
         short = window - sum(take)
-        for i in sorted(range(n), key=lambda i: (take[i] * cycle - deficit[i], i))[:short]:
+        behind = sorted(range(n), key=lambda i: (take[i] * cycle - deficit[i], i))
+        for i in behind[: max(0, short)]:
             take[i] += 1
+        for i in [i for i in reversed(behind) if take[i]] if short < 0 else []:
+            give = min(take[i], -short, 1)
+            take[i], short = take[i] - give, short + give
         deficit = [d - t * cycle for d, t in zip(deficit, take, strict=True)]
         for i in range(n):
             taken[i].append(taken[i][-1] + take[i])
@@ -155,7 +159,7 @@ def tokenized(docs: DataFrame, path: str, max_queues: int) -> DataFrame:
 
     def run(batches):
         enc, part, before = encoder(path, "<u2", False), TaskContext.get().partitionId(), {}
-        for batch in batches:
+        for batch in pieces(batches):
             names, sources, whole = batch.column(0), batch.column(1).to_pylist(), texts(batch.column(2))
             for a, done in enc.encode_texts(whole):
                 ids = [i + END.to_bytes(2, "little") for i, _ in done]
@@ -199,7 +203,7 @@ def pack(docs: DataFrame, path: str, length: int = 4096, window_sequences: int =
     def run(batches):
         segments, number = plan.value
         places = Places(segments, window, length)
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for doc, queue, base, n, ids in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 packed = np.frombuffer(ids, "<u2").astype("<u4").tobytes()

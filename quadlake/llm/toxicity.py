@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, mixed, slices, texts
+from .common import mixed, pieces, PrefixHash, slices, texts
 
 WINDOW, STRIDE = 64, 48
 BITS, SMALL = 18, 1024
@@ -246,7 +246,7 @@ def train(samples: list[tuple[str, int]], updates: int = 160, seed: int = 5) ->
     def own(name: str, hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """Evidence without the text that it is for."""
         bucket, label = _bucket(hashes), y[owner]
-        return evidence(counts[name][1][bucket] - label, counts[name][0][bucket] - (1 - label), n1, n0)
+        return evidence(counts[name][1][bucket] - label, counts[name][0][bucket] - (1 - label), n1 - label, n0 - (1 - label))
 
     net = Network()
     model = Model(*(evidence(counts[n][1], counts[n][0], n1, n0) for n in ("word", "gram")), net)
@@ -337,7 +337,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = 1000, clean: int = 1500
 
 
 def _score_batches(batches, model: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    for batch in batches:
+    for batch in pieces(batches):
         whole = texts(batch.column("text"))
         scores = np.empty(len(whole))
         for a, b in slices(whole, len, 1_000_000):
