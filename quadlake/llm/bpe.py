@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import PrefixHash, slices, texts
+from .common import pieces, PrefixHash, slices, texts
 
 SHORT = 32
 NONE = np.int32(1 << 30)
@@ -190,7 +190,7 @@ class Encoder:
     once and kept (up to `keep` chunks, then the store begins anew).
     """
 
-    def __init__(self, path: str, pattern: str, keep: int = 1_000_000, dtype: str = "<u4", decode: bool = True):
+    def __init__(self, path: str, pattern: str, keep: int = 400_000, dtype: str = "<u4", decode: bool = True):
         self.v, self.path, self.keep, self.dtype, self.decoding = Vocabulary(path), path, keep, dtype, decode
         self.space = regex.compile("[\t-\r ]")
         self.words_or_end = regex.compile(pattern + r"|\n").findall
@@ -277,7 +277,7 @@ class Encoder:
         self.n += len(n)
         self.table.add(keys, checks, rows)
 
-    def encode_texts(self, whole: list[str], most: int = 2_000_000) -> Iterator[tuple[int, list[tuple[bytes, bytes]]]]:
+    def encode_texts(self, whole: list[str], most: int = 1_000_000) -> Iterator[tuple[int, list[tuple[bytes, bytes]]]]:
         """encode() in slices of bounded size, with the place of each slice's first text.
 
         A text above the bound is cut at white space, which no token crosses.
@@ -359,7 +359,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def run(batches):
         enc = encoder(path)
-        for batch in batches:
+        for batch in pieces(batches):
             names, whole = batch.column(0), texts(batch.column(1))
             for a, out in enc.encode_texts(whole):
                 yield pa.record_batch(
@@ -375,7 +375,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         enc = encoder(path)
-        for batch in batches:
+        for batch in pieces(batches):
             names, whole = batch.column(0), texts(batch.column(1))
             for a, done in enc.encode_texts(whole):
                 out = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(s).hexdigest()) for i, s in done]

@@ -51,6 +51,13 @@ def texts(column: pa.ChunkedArray | pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def pieces(batches, rows: int = 1000):
+    """The batches in parts of at most so many rows, which bounds what a worker holds as Python objects."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def slices(rows: list, size_of, most: int):
     """Index ranges [a, b) whose sizes add up to at most `most` (one larger item makes a range alone)."""
     a = total = 0

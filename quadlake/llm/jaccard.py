@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, mixed, signed, slices, stored, texts
+from .common import mixed, pieces, PrefixHash, signed, slices, stored, texts
 from .components import connected
 
 BANDS, ROWS, STEP = 26, 5, 16
@@ -140,7 +140,7 @@ class Verifier:
 
 
 def _signatures(batches, words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         names, whole = batch.column(0), texts(batch.column(1))
         ids = names.to_pylist()
         for a, b in slices(whole, len, 1_000_000):
@@ -155,7 +155,7 @@ def _signatures(batches, words: int) -> Iterator[pa.RecordBatch]:
 
 
 def _bands(batches) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
         values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
         hashes = np.zeros(values.shape[:2], np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
@@ -165,7 +165,7 @@ def _bands(batches) -> Iterator[pa.RecordBatch]:
 
 
 def _with_shingles(batches, words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         whole = texts(batch.column("text"))
         for a, b in slices(whole, len, 1_000_000):
             part = batch.slice(a, b - a)
@@ -212,7 +212,7 @@ def _verified(batches, verifier: Verifier) -> Iterator[pa.RecordBatch]:
         return ids[some], links[some], ids[roots[some]]
 
     done: list[tuple] = []
-    for batch in batches:
+    for batch in pieces(batches):
         columns = [batch.column(c).to_pylist() for c in ("comp", "bi", "bj", "class_id", "members", "sig", "grams", "block")]
         for comp, bi, bj, *row in zip(*columns, strict=True):
             if (comp, bi, bj) != key:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, signed, slices, stored, texts
+from .common import pieces, PrefixHash, signed, slices, stored, texts
 
 WIDTH, GRAM = 400, 100
 MOST = 200
@@ -66,7 +66,7 @@ def runs(data: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int = WIDT
 
 
 def _run_rows(batches) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         names, whole = batch.column(0), [x.encode() for x in texts(batch.column(1))]
         ids = names.to_numpy(zero_copy_only=False)
         for a, b in slices(whole, len, 1_000_000):
@@ -153,7 +153,7 @@ def _by_suffix(batches) -> Iterator[pa.RecordBatch]:
     def out():
         return pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*done, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["m", "u", "n", "ranges"])
 
-    for batch in batches:
+    for batch in pieces(batches):
         for m, *row in zip(*(batch.column(c).to_pylist() for c in ("m", "u", "n", "c", "place", "context")), strict=True):
             if m != key:
                 if len(rows) > 1:
@@ -171,7 +171,7 @@ def _by_suffix(batches) -> Iterator[pa.RecordBatch]:
 
 def _ask(batches, buckets: int) -> Iterator[pa.RecordBatch]:
     """Window hashes of contexts, packed by bucket."""
-    for batch in batches:
+    for batch in pieces(batches):
         for a in range(0, batch.num_rows, 1000):
             part = batch.slice(a, 1000)
             m, u, n = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("m", "u", "n"))
@@ -197,7 +197,7 @@ def _packed(entries: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
 def _buckets(batches) -> Iterator[bytes]:
     """The joined entries of each bucket, from rows sorted by bucket."""
     key, parts = None, []
-    for batch in batches:
+    for batch in pieces(batches):
         for bucket, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if bucket != key:
                 if parts:
@@ -239,7 +239,7 @@ def _ranges(batches) -> Iterator[pa.RecordBatch]:
 
 def _contexts(batches) -> Iterator[pa.RecordBatch]:
     names = ["m", "u", "n", "c", "place", "context"]
-    for batch in batches:
+    for batch in pieces(batches):
         for text, needs in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
             raw = text.encode()
             rows = [(x["m"], x["u"], x["n"], x["c"], x["place"], raw[x["start"] : x["start"] + x["n"] + WIDTH - 1]) for x in needs]
@@ -248,7 +248,7 @@ def _contexts(batches) -> Iterator[pa.RecordBatch]:
 
 def _spans(batches) -> Iterator[pa.RecordBatch]:
     """Byte ranges to remove, packed by row of runs."""
-    for batch in batches:
+    for batch in pieces(batches):
         out = []
         for starts, n, ranges in zip(*(batch.column(c).to_pylist() for c in ("starts", "n", "ranges")), strict=True):
             own = np.array([[0, n]], np.int64) if ranges is None else np.frombuffer(ranges, "<u4").reshape(-1, 2).astype(np.int64)
@@ -313,7 +313,7 @@ def substring_digests(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for text, spans in zip(texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 raw, kept, own = _removed(text, spans)
@@ -332,7 +332,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             kept = [None if text is None else _removed(text, spans)[1].decode(errors="ignore") for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True)]
             names = [c for c in batch.schema.names if c != "__spans"]
             yield pa.record_batch([pa.array(kept, pa.string()) if c == "text" else batch.column(c) for c in names], names)

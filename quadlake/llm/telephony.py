@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import pieces, texts
 
 RATE = 8000
 UNIT = 192
@@ -149,7 +149,7 @@ def store_texts(docs: DataFrame, kind: str = "mulaw") -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             names, whole = batch.column(0), [x.encode() for x in texts(batch.column(1))]
             a = 0
             while a < len(whole):
@@ -187,7 +187,7 @@ def decode_audio(media: DataFrame, id_col: str = "id", media_col: str = "media")
         return to_wave(resampled(pcm).tobytes(), "pcm", 2 * rate)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
                 yield pa.record_batch([part.column(0), pa.array([one(x) for x in part.column(1).to_pylist()], pa.binary())], ["id", "pcm"])

@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bpe import Vocabulary
-from .common import texts
+from .common import pieces, texts
 
 #: The split pattern of the byte-level vocabulary.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -117,7 +117,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
         if path not in _made:
             _made[path] = Counter(path)
         count = _made[path].count
-        for batch in batches:
+        for batch in pieces(batches):
             whole = texts(batch.column(1))
             n = [count(x) for x in whole]
             yield pa.record_batch(
