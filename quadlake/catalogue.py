@@ -112,9 +112,20 @@ _QUADS = """WITH q AS (
 _BOUND = {"s": Iri(BASE + "nation/3"), "p": Iri(BASE + "n_regionkey"), "o": Iri(BASE + "region/3"), "g": Iri(BASE + "graph/nation")}
 
 
+_mapped: dict[str, tuple[SparkSession, MappedGraph]] = {}
+
+
+def mapped_tables(spark: SparkSession, sf_dir: str) -> MappedGraph:
+    """The standard mapping, made once for a session and folder: it reads the footers of all tables."""
+    known = _mapped.get(sf_dir)
+    if known is None or known[0] is not spark:
+        _mapped[sf_dir] = (spark, standard_mapping(spark, sf_dir))
+    return _mapped[sf_dir][1]
+
+
 def small_store(spark: SparkSession, sf_dir: str) -> QuadStore:
     """Regions and nations as stored quads."""
-    mapped = standard_mapping(spark, sf_dir)
+    mapped = mapped_tables(spark, sf_dir)
     return QuadStore.of(statements(MappedGraph(spark, [t for t in mapped.tables if t.name in ("region", "nation")])))
 
 
@@ -172,7 +183,7 @@ _STORE: dict[str, tuple[Callable, str]] = {
 
 
 def _query(text: str) -> Callable:
-    return lambda spark, sf_dir: sparql(standard_mapping(spark, sf_dir), PREFIX + text)
+    return lambda spark, sf_dir: sparql(mapped_tables(spark, sf_dir), PREFIX + text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
