@@ -7,7 +7,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +47,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_id() -> Column:
+    """doc_id; for rows without one, a number over 2^62 made from the text, so that they take part like others."""
+    low = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1))
+    return F.coalesce(F.col("doc_id").cast("long"), low.bitwiseOR(F.lit(1 << 62)))
+
+
 def texts(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """Python strings of an Arrow column; null becomes empty."""
     return [x or "" for x in column.to_pylist()]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, pieces, PrefixHash, signed, slices, stored, texts
+from .common import mixed, pieces, PrefixHash, row_id, signed, slices, stored, texts
 from .components import connected
 
 BANDS, ROWS, STEP = 26, 5, 16
@@ -151,7 +151,7 @@ def _signatures(batches, words: int) -> Iterator[pa.RecordBatch]:
                 for k, row in zip(full, minhashes([sets[k] for k in full]), strict=True):
                     values[k] = row.tobytes()
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else f"{doc}".encode() for s, doc in zip(sets, ids[a:b], strict=True)]
-            yield pa.record_batch([names.slice(a, b - a), pa.array(keys, pa.binary()), pa.array(list(map(len, sets)), pa.int64()), pa.array(values, pa.binary())], ["doc_id", "key", "n", "sig"])
+            yield pa.record_batch([names.slice(a, b - a), pa.array(keys, pa.binary()), pa.array(list(map(len, sets)), pa.int64()), pa.array(values, pa.binary()), batch.column(2).slice(a, b - a)], ["doc_id", "key", "n", "sig", "unnamed"])
 
 
 def _bands(batches) -> Iterator[pa.RecordBatch]:
@@ -236,17 +236,19 @@ def jaccard_join(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (
     similarity of at least the threshold, copies included), component_id (smallest doc_id
     reached by links), kept (doc_id is component_id). Null, empty and blank texts have no
     shingles: they are linked to nothing and are kept. Shorter texts than n words have one
-    shingle. doc_id identifies a text; repeated rows count as documents of their own. An empty
-    table gives an empty one; columns other than doc_id and text are not read.
+    shingle. doc_id identifies a text; repeated rows count as documents of their own. Rows
+    without a doc_id take part under a number made from their text, which is larger than usual
+    ids; their doc_id stays null. An empty table gives an empty one; columns other than doc_id
+    and text are not read.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed_ = stored(source.mapInArrow(lambda it: _signatures(it, words), "doc_id long, key binary, n long, sig binary"), "signatures")
+    source = docs.select(row_id().alias("doc_id"), F.col("doc_id").isNull().alias("unnamed"), F.col("text").cast("string").alias("text"))
+    signed_ = stored(source.select("doc_id", "text", "unnamed").mapInArrow(lambda it: _signatures(it, words), "doc_id long, key binary, n long, sig binary, unnamed boolean"), "signatures")
     classes = stored(signed_.groupBy("key").agg(F.min(F.struct("doc_id", "n", "sig")).alias("x"), F.count("*").alias("members")).select("key", F.col("x.doc_id").alias("class_id"), F.col("x.n").alias("n"), F.col("x.sig").alias("sig"), "members"), "classes")
-    bands = classes.where("n > 0 AND class_id IS NOT NULL").select("class_id", "sig").mapInArrow(_bands, "band long, class_id long")
+    bands = classes.where("n > 0").select("class_id", "sig").mapInArrow(_bands, "band long, class_id long")
     buckets = stored(bands.groupBy("band").agg(F.min("class_id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("band", "rep"), "buckets")
     groups = stored(connected(bands.join(buckets, "band").where("class_id <> rep").select(F.col("class_id").alias("a"), F.col("rep").alias("b"))), "groups")
     few = classes.select("class_id", "members", "sig").join(groups.select(F.col("id").alias("class_id"), F.col("component").alias("comp")), "class_id").dropDuplicates(["class_id"])
-    members = stored(source.join(few, source["doc_id"] == few["class_id"]).select("comp", "class_id", "members", "sig", "text").mapInArrow(lambda it: _with_shingles(it, words), "comp long, class_id long, members long, sig binary, grams binary"), "members")
+    members = stored(source.join(few, source["doc_id"] == few["class_id"]).select("comp", "class_id", "members", "sig", "text").dropDuplicates(["class_id"]).mapInArrow(lambda it: _with_shingles(it, words), "comp long, class_id long, members long, sig binary, grams binary"), "members")
     sizes = stored(members.groupBy("comp").agg(F.count("*").alias("size")), "sizes").where("size > 1")
     wide = F.least(F.lit(2048), F.greatest(F.lit(block), F.col("size") / 16))
     blocks = sizes.select("comp", F.ceil(F.col("size") / wide).cast("int").alias("blocks"))
@@ -257,6 +259,6 @@ def jaccard_join(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (
     component = connected(found.select(F.col("class_id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("class_id").agg(F.sum("links").alias("links"))
     facts = stored(classes.select("key", "class_id", "n", "members").join(links, "class_id", "left").join(component.select(F.col("id").alias("class_id"), "component"), "class_id", "left"), "facts")
-    joined = signed_.select("doc_id", "key").join(facts, "key")
-    result = joined.select("doc_id", "class_id", F.when(F.col("n") > 0, F.coalesce("links", F.lit(0)) + F.col("members") - 1).otherwise(0).cast("long").alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
-    return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    joined = signed_.select("doc_id", "key", "unnamed").join(facts, "key")
+    result = joined.select("doc_id", "unnamed", "class_id", F.when(F.col("n") > 0, F.coalesce("links", F.lit(0)) + F.col("members") - 1).otherwise(0).cast("long").alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
+    return result.select(F.when(~F.col("unnamed"), F.col("doc_id")).alias("doc_id"), "class_id", "n_links", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

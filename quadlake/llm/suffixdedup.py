@@ -11,7 +11,8 @@ extend that way: together, all windows that any two members share.
 
 Anchors with very many different contexts (a passage in a third of all documents) are not
 brought together. The hashes of their windows are exchanged in packed form by hash value,
-so that each task gets an even share whatever the passage.
+so that each task gets an even share whatever the passage: a window's many copies are dealt
+over shares, answered within them, and one of each share is compared with the other shares'.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, PrefixHash, signed, slices, stored, texts
+from .common import pieces, PrefixHash, row_id, signed, slices, stored, texts
 
 WIDTH, GRAM = 400, 100
-MOST = 200
+MOST, SHARE = 200, 1 << 16
 ENTRY = np.dtype([("h", "<u8"), ("m", "<i8"), ("u", "<i8"), ("n", "<u4"), ("w", "<u4")])
 REPLY = np.dtype([("m", "<i8"), ("u", "<i8"), ("n", "<u4"), ("w", "<u4")])
 
@@ -169,8 +170,8 @@ def _by_suffix(batches) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _ask(batches, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Window hashes of contexts, packed by bucket."""
+def _ask(batches, buckets: int, shares: int) -> Iterator[pa.RecordBatch]:
+    """Window hashes of contexts, packed by bucket and share (of equal contexts' hashes)."""
     for batch in pieces(batches):
         for a in range(0, batch.num_rows, 1000):
             part = batch.slice(a, 1000)
@@ -183,7 +184,8 @@ def _ask(batches, buckets: int) -> Iterator[pa.RecordBatch]:
             at = (np.cumsum(size) - size)[who] + w
             e = np.empty(len(who), ENTRY)
             e["h"], e["m"], e["u"], e["n"], e["w"] = hashed.of(at, at + WIDTH), m[who], u[who], n[who], w
-            yield _packed(e, e["h"] % np.uint64(buckets))
+            share = (e["u"].view(np.uint64) >> np.uint64(20)) % np.uint64(shares)
+            yield _packed(e, e["h"] % np.uint64(buckets) * np.uint64(shares) + share)
 
 
 def _packed(entries: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
@@ -208,18 +210,28 @@ def _buckets(batches) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def _answer(batches, buckets: int) -> Iterator[pa.RecordBatch]:
-    """The windows whose hash and anchor another class has too, packed by class."""
+def _answer(batches, buckets: int, again: bool) -> Iterator[pa.RecordBatch]:
+    """The windows whose hash and anchor another class has too, packed by class.
+
+    With `again`, also one window of each hash and anchor, packed by hash, to compare shares.
+    """
     for raw in _buckets(batches):
         e = np.frombuffer(raw, ENTRY)
         e = e[np.lexsort((e["m"], e["h"]))]
         same = (e["h"][1:] == e["h"][:-1]) & (e["m"][1:] == e["m"][:-1])
+        if again:
+            one = e[~np.append(False, same)]
+            yield _marked(_packed(one, one["h"] % np.uint64(buckets)), True)
         e = e[np.append(same, False) | np.append(False, same)]
         if len(e):
             reply = np.empty(len(e), REPLY)
             for c in REPLY.names:
                 reply[c] = e[c]
-            yield _packed(reply, (e["u"].view(np.uint64) >> np.uint64(7)) % np.uint64(buckets))
+            yield _marked(_packed(reply, (e["u"].view(np.uint64) >> np.uint64(7)) % np.uint64(buckets)), False)
+
+
+def _marked(rows: pa.RecordBatch, again: bool) -> pa.RecordBatch:
+    return rows.append_column("again", pa.array([again] * rows.num_rows, pa.bool_()))
 
 
 def _ranges(batches) -> Iterator[pa.RecordBatch]:
@@ -269,8 +281,8 @@ def _merged(spans: np.ndarray) -> np.ndarray:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans) of the documents with repeated strings: packed byte ranges, a list of binaries."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(doc_id as row_id() gives it, spans) of the documents with repeated strings: packed byte ranges, a list of binaries."""
+    source = docs.select(row_id().alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stored(source.mapInArrow(_run_rows, "doc_id long, m long, u long, n long, place long, starts array<long>"), "runs")
     classes = stored(rows.groupBy("m", "u", "n").agg(F.sum(F.size("starts")).alias("c"), F.min("place").alias("place"), F.min(F.struct("doc_id", F.col("starts")[0].alias("start"))).alias("at")), "classes")
     anchors = stored(classes.groupBy("m").agg(F.count("*").alias("contexts"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("single")).where("contexts > 1 AND single > 0").select("m", "contexts"), "anchors")
@@ -285,9 +297,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     if not often.isEmpty():
         many = stored(shared.join(often.select("m"), "m", "left_semi"), "many")
         buckets = max(256, (many.agg(F.sum("n")).first()[0] or 0) >> 19)
-        asked = many.mapInArrow(lambda it: _ask(it, buckets), "bucket long, entries binary").repartition("bucket").sortWithinPartitions("bucket")
-        answered = asked.mapInArrow(lambda it: _answer(it, buckets), "bucket long, entries binary").repartition("bucket").sortWithinPartitions("bucket")
-        ranges = answered.mapInArrow(_ranges, form).join(many.where("c = 1").select("m", "u", "n"), ["m", "u", "n"], "left_semi")
+        shares = -(-often.agg(F.max("contexts")).first()[0] // SHARE)
+
+        def by_bucket(df: DataFrame) -> DataFrame:
+            return df.select("bucket", "entries").repartition("bucket").sortWithinPartitions("bucket")
+
+        asked = by_bucket(many.mapInArrow(lambda it: _ask(it, -(-buckets // shares), shares), "bucket long, entries binary"))
+        packed = "bucket long, entries binary, again boolean"
+        answered = asked.mapInArrow(lambda it: _answer(it, buckets, shares > 1), packed)
+        if shares > 1:
+            answered = stored(answered, "answers")
+            answered = answered.where("NOT again").union(by_bucket(answered.where("again")).mapInArrow(lambda it: _answer(it, buckets, False), packed))
+        ranges = by_bucket(answered).mapInArrow(_ranges, form).join(many.where("c = 1").select("m", "u", "n"), ["m", "u", "n"], "left_semi")
         found.append(stored(ranges, "ranges"))
     whole = classes.where("c > 1").select("m", "u", "n", F.lit(None).cast("binary").alias("ranges"))
     for x in found:
@@ -308,8 +329,9 @@ def substring_digests(docs: DataFrame) -> DataFrame:
     """What removing every byte of a repeated 400-byte string leaves of each document.
 
     Columns doc_id, n_bytes, n_removed, n_spans, kept_sha256. Null and empty texts and texts
-    under 400 bytes lose nothing; repeated rows are repeats of each other; an empty table gives
-    an empty one; columns other than doc_id and text are not read.
+    under 400 bytes lose nothing; repeated rows are repeats of each other; doc_id identifies a
+    text, and rows without one are told apart by their text; an empty table gives an empty one;
+    columns other than doc_id and text are not read.
     """
 
     def run(batches):
@@ -320,23 +342,26 @@ def substring_digests(docs: DataFrame) -> DataFrame:
                 out.append((len(raw), len(raw) - len(kept), len(own), hashlib.sha256(kept).hexdigest()))
             yield pa.record_batch([batch.column(0), *(pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = source.join(stored(repeated_spans(docs), "spans"), "doc_id", "left").select("doc_id", "text", "spans")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_id().alias("id"), F.col("text").cast("string").alias("text"))
+    spans = stored(repeated_spans(docs), "spans").select(F.col("doc_id").alias("id"), "spans")
+    joined = source.join(spans, "id", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeated strings removed from `text`; all other columns as they were.
 
-    Bytes of a character that is cut through go too. A null text stays null.
+    Bytes of a character that is cut through go too. A null text stays null, and other columns
+    may have any names.
     """
 
     def run(batches):
         for batch in pieces(batches):
-            kept = [None if text is None else _removed(text, spans)[1].decode(errors="ignore") for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True)]
-            names = [c for c in batch.schema.names if c != "__spans"]
-            yield pa.record_batch([pa.array(kept, pa.string()) if c == "text" else batch.column(c) for c in names], names)
+            row = batch.column(0)
+            kept = [None if text is None else _removed(text, spans)[1].decode(errors="ignore") for text, spans in zip(row.field("text").to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.record_batch([pa.array(kept, pa.string()) if c == "text" else row.field(c) for c in names], names)
 
-    spans = stored(repeated_spans(docs), "spans").select(F.col("doc_id").alias("__doc"), F.col("spans").alias("__spans"))
-    joined = docs.join(spans, docs["doc_id"] == spans["__doc"], "left").drop("__doc")
+    names = docs.columns
+    spans = stored(repeated_spans(docs), "spans").select(F.col("doc_id").alias("id"), "spans")
+    joined = docs.select(F.struct("*").alias("row"), row_id().alias("id")).join(spans, "id", "left").select("row", "spans")
     return joined.mapInArrow(run, docs.schema)

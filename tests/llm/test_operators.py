@@ -101,9 +101,10 @@ def test_jaccard(docs):
     assert [got[i].n_links for i in (0, 1, 2, 8, 9)] == [0, 0, 0, 1, 1]
 
 
-@pytest.mark.parametrize("most", [200, 0])
-def test_suffix_dedup(docs, monkeypatch, most):
+@pytest.mark.parametrize(("most", "share"), [(200, 1 << 16), (0, 1 << 16), (0, 1)])
+def test_suffix_dedup(docs, monkeypatch, most, share):
     monkeypatch.setattr(suffixdedup, "MOST", most)
+    monkeypatch.setattr(suffixdedup, "SHARE", share)
     raw = [(t or "").encode() for t in TEXTS]
     seen = defaultdict(int)
     for t in raw:
