@@ -327,13 +327,14 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = 1000, clean: int = 1500
     """Trains on a bounded sample: at most `toxic` and `clean` labelled texts of at most `chars` characters.
 
     Rows whose crc32(doc_id) mod 5 is 0 are held out. The rows of least hash are taken, so the
-    sample does not depend on partitioning. Labels that are null or lack a text are left out.
+    sample does not depend on partitioning. Labels that are null or lack a text are left out;
+    of rows that repeat a doc_id one text is taken, so that the driver gets no more than the sample.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     few = known.where("toxic = 1").orderBy(*order).limit(toxic).union(known.where("toxic = 0").orderBy(*order).limit(clean))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= chars).join(F.broadcast(few), "doc_id").collect()
-    return train([(r.text, r.toxic) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= chars).join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    return train([(r.text, r.toxic) for r in sorted(rows, key=lambda r: r.doc_id)])
 
 
 def _score_batches(batches, model: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:

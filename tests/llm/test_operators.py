@@ -165,6 +165,14 @@ def test_toxicity(spark, docs):
     assert toxicity.train([]).network is None
 
 
+def test_toxicity_sample_takes_a_text_once(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "train", lambda samples: samples)
+    docs = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "c"), (3, None), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (4, None), (None, 1)], "doc_id long, toxic int")
+    held = {i for i in (1, 2) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert toxicity.fit(docs, labels) == [x for i, x in ((1, ("a", 1)), (2, ("c", 0))) if i not in held]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)]
     got = {r.id: r.component for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
