@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import functions as F
 
 from ..functions.expr import compile_expression, number_of, order_keys, text_of, truth_of
@@ -16,6 +18,11 @@ from .relation import Relation, build, columns, parts, spec_of
 PROPERTY_FUNCTIONS: dict = {}
 
 
+def register_property_function(iri: str, function: Callable[[Compiler, Triple, object], Relation]) -> None:
+    """From now on, patterns with that predicate mean what the function gives; it binds the triple's variables."""
+    PROPERTY_FUNCTIONS[iri] = function
+
+
 class Compiler:
     """source: a mapped graph or a quad store; default and named: graphs of FROM and FROM NAMED."""
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quadlake.api import contexts, explain_algebra, sparql
 from quadlake.functions.terms import numeric
-from quadlake.plans.algebra import Iri
+from quadlake.plans.algebra import Bgp, Iri, Triple
+from quadlake.plans.compiler import PROPERTY_FUNCTIONS, register_property_function
 from quadlake.plans.parser import ParseError, parse
 from quadlake.sources.ntriples import parse_lines, parse_pattern
 from quadlake.sources.store import QuadStore
@@ -62,6 +63,13 @@ def test_cyclic_path_ends(store):
     assert get(sparql(store, "SELECT ?y WHERE { <http://e/a> <http://e/knows>+ ?y }")) == [("<http://e/a>",), ("<http://e/b>",), ("<http://e/c>",)]
 
 
+def test_property_function(store, monkeypatch):
+    monkeypatch.setattr("quadlake.plans.compiler.PROPERTY_FUNCTIONS", dict(PROPERTY_FUNCTIONS))
+    register_property_function("http://e/knownBy", lambda compiler, t, graph: compiler.compile(Bgp([Triple(t.o, Iri("http://e/knows"), t.s)]), graph))
+    assert get(sparql(store, "SELECT ?x ?v WHERE { ?x <http://e/knownBy> <http://e/a> ; <http://e/age> ?v FILTER(?v = 5) }")) == [("<http://e/b>", get(sparql(store, "SELECT ?v WHERE { <http://e/b> <http://e/age> ?v }"))[0][0])]
+    assert len(get(sparql(store, "SELECT ?x ?y WHERE { ?x <http://e/knownBy> ?y }"))) == 4
+
+
 def test_graph(store):
     assert get(sparql(store, "SELECT ?s WHERE { GRAPH <http://e/g1> { ?s ?p ?o } }")) == [("<http://e/a>",)]
 
