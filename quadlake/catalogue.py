@@ -13,6 +13,7 @@ from .plans.algebra import Iri, Literal
 from .sources.mapping import MappedGraph, standard_mapping
 from .sources.ntriples import parse_lines
 from .sources.store import QuadStore
+from .storage import persisted
 
 BASE = "http://example.org/"
 PREFIX = "PREFIX : <http://example.org/> PREFIX xsd: <http://www.w3.org/2001/XMLSchema#> "
@@ -129,56 +130,132 @@ def small_store(spark: SparkSession, sf_dir: str) -> QuadStore:
     return QuadStore.of(statements(MappedGraph(spark, [t for t in mapped.tables if t.name in ("region", "nation")])))
 
 
+_stored: dict[str, tuple[SparkSession, QuadStore]] = {}
+
+
+def whole_store(spark: SparkSession, sf_dir: str) -> QuadStore:
+    """All mapped tables as stored quads, written once for a session and folder."""
+    known = _stored.get(sf_dir)
+    if known is None or known[0] is not spark:
+        _stored[sf_dir] = (spark, QuadStore(spark, persisted(QuadStore.of(statements(mapped_tables(spark, sf_dir))).quads)))
+    return _stored[sf_dir][1]
+
+
+#: name -> (table, keys, column -> kind); a kind is str, int, integer, double, time, iri, lang or the prefix of a reference.
+_TABLES: dict[str, tuple[str, str, str]] = {
+    "region": ("region", "r_regionkey", "r_regionkey:int r_name:str"),
+    "nation": ("nation", "n_nationkey", "n_nationkey:int n_name:str n_regionkey:region/"),
+    "customer": ("customer", "c_custkey", "c_custkey:integer c_name:str c_nationkey:nation/ c_acctbal:double c_mktsegment:str"),
+    "supplier": ("supplier", "s_suppkey", "s_suppkey:integer s_name:str s_nationkey:nation/ s_acctbal:double"),
+    "part": ("part", "p_partkey", "p_partkey:integer p_name:str p_brand:str p_type:str p_size:int p_retailprice:double"),
+    "order": ("orders", "o_orderkey", "o_orderkey:integer o_custkey:customer/ o_orderstatus:str o_totalprice:double o_orderdate:time o_orderpriority:str"),
+    "lineitem": ("lineitem", "l_orderkey l_linenumber l_partkey l_suppkey l_quantity l_extendedprice", "l_orderkey:order/ l_partkey:part/ l_suppkey:supplier/ l_linenumber:int l_quantity:double l_extendedprice:double l_discount:double l_tax:double l_returnflag:str l_linestatus:str l_shipdate:time"),
+    "event": ("events", "event_id", "event_id:integer ts:time user_id:user/ event_type:str value:double props:str"),
+    "doc": ("documents", "doc_id", "doc_id:integer text:lang source:str n_chars:integer"),
+    "label": ("labels", "doc_id", "doc_id:doc/ quality:int toxic:int"),
+    "page": ("pages", "page_id", "page_id:integer url:iri html:str"),
+    "bench": ("benchmark", "item_id", "item_id:integer text:str"),
+    "conv": ("conversations", "conv_id turn", "conv_id:integer turn:integer role:str text:str"),
+}
+
+
+def _all_quads() -> str:
+    """SQL of all quads of the mapped tables, each once."""
+    xsd, parts = "http://www.w3.org/2001/XMLSchema#", []
+
+    def quoted(c: str) -> str:
+        out = f"replace(replace({c}, '\\', '\\\\'), '\"', '\\\"')"
+        for code, mark in ((10, "n"), (13, "r"), (9, "t")):
+            out = f"replace({out}, chr({code}), '\\{mark}')"
+        return f"'\"' || {out} || '\"'"
+
+    for name, (source, keys, columns) in _TABLES.items():
+        s = f"'<{BASE}{name}/' || " + " || '/' || ".join(keys.split()) + " || '>'"
+        g = f"'<{BASE}graph/' || source || '>'" if name == "doc" else f"'<{BASE}graph/{name}>'"
+        rows = [("'<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>'", f"'<{BASE}{name.capitalize()}>'", "true")]
+        for c, kind in (x.split(":") for x in columns.split()):
+            if kind in ("str", "lang"):
+                o = quoted(c) + (" || '@' || lang" if kind == "lang" else "")
+            elif kind in ("int", "integer", "double"):
+                o = f"'\"' || {c} || '\"^^<{xsd}{kind}>'"
+            elif kind == "time":
+                o = f"'\"' || strftime({c}, '%Y-%m-%dT%H:%M:%S') || '\"^^<{xsd}dateTime>'"
+            else:
+                o = f"'<{'' if kind == 'iri' else BASE + kind}' || {c} || '>'"
+            rows.append((f"'<{BASE}{c}>'", o, f"{c} IS NOT NULL"))
+        if name == "conv":
+            rows.append((f"'<{BASE}next>'", f"'<{BASE}conv/' || conv_id || '/' || (turn + 1) || '>'", "true"))
+        parts += [f"SELECT {s} AS s, {p} AS p, {o} AS o, {g} AS g FROM {source} WHERE {where}" for p, o, where in rows]
+    return "WITH q AS (\n  " + "\n  UNION ".join(parts) + "\n) "
+
+
+_ALL_QUADS = _all_quads()
+
+
 def _pattern(places: str) -> tuple[Callable, str]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return small_store(spark, sf_dir).match(**{c: _BOUND[c] for c in places})
+        return (whole_store if places else small_store)(spark, sf_dir).match(**{c: _BOUND[c] for c in places})
 
     where = " AND ".join(f"{c} = '<{_BOUND[c].value}>'" for c in places)
     return run, _QUADS + "SELECT s, p, o, g FROM q" + (f" WHERE {where}" if where else "")
 
 
-def _over_store(text: str) -> Callable:
-    return lambda spark, sf_dir: sparql(small_store(spark, sf_dir), PREFIX + text)
+def _over_store(text: str, store: Callable = whole_store) -> Callable:
+    return lambda spark, sf_dir: sparql(store(spark, sf_dir), PREFIX + text)
 
 
-def _roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = small_store(spark, sf_dir)
+def _roundtrip(store: QuadStore) -> DataFrame:
     dictionary = store.dictionary()
     return store.decoded(store.encoded(dictionary), dictionary).select("s", "p", "o", "g")
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = small_store(spark, sf_dir).quads.select(F.concat_ws(" ", "s", "p", "o", "g", F.lit(".")).alias("value"))
+def _lines(store: QuadStore) -> DataFrame:
+    lines = store.quads.select(F.concat_ws(" ", "s", "p", "o", "g", F.lit(".")).alias("value"))
     return QuadStore.of(parse_lines(lines)).quads.select("s", "p", "o", "g")
 
 
-def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _kinds(store: QuadStore) -> DataFrame:
     t = F.col("term")
     kind = F.when(is_iri(t), "iri").when(is_blank(t), "blank").when(numeric(t).isNotNull(), "numeric").when(datatype(t).isNotNull(), "literal")
-    return small_store(spark, sf_dir).terms().groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    return store.terms().groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
 def _lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = small_store(spark, sf_dir)
+    store = whole_store(spark, sf_dir)
     found = store.lookup(store.dictionary(), [Iri(BASE + "region/1"), Literal("ASIA"), Iri("http://nowhere/")])
     return found.select("term", F.col("id").isNotNull().alias("known"))
 
 
+def _properties(store: QuadStore) -> DataFrame:
+    return store.property_table().select("s", F.explode("properties").alias("p", "o")).select("s", "p", F.array_join("o", "\n").alias("o"))
+
+
+_GRAPHS = "SELECT ?g (COUNT(*) AS ?n) WHERE { GRAPH ?g { ?s ?p ?o } } GROUP BY ?g"
+
 _STORE: dict[str, tuple[Callable, str]] = {
     **{"pat_" + ("".join(c for c in "spog" if n >> "spog".index(c) & 1) or "none"): _pattern("".join(c for c in "spog" if n >> "spog".index(c) & 1)) for n in range(16)},
-    "pat_range": (lambda spark, d: small_store(spark, d).match(p=Iri(BASE + "n_nationkey"), low=3, high=6), _QUADS + "SELECT s, p, o, g FROM q WHERE p = '<http://example.org/n_nationkey>' AND regexp_extract(o, '^\"(\\d+)', 1)::INT BETWEEN 3 AND 6"),
-    "pat_count": (lambda spark, d: small_store(spark, d).match(p=_BOUND["p"]).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM nation"),
+    "pat_range": (lambda spark, d: whole_store(spark, d).match(p=Iri(BASE + "n_nationkey"), low=3, high=6), _QUADS + "SELECT s, p, o, g FROM q WHERE p = '<http://example.org/n_nationkey>' AND regexp_extract(o, '^\"(\\d+)', 1)::INT BETWEEN 3 AND 6"),
+    "pat_count": (lambda spark, d: whole_store(spark, d).match(p=_BOUND["p"]).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM nation"),
     "store_join": (_over_store("SELECT ?n ?r WHERE { ?k :n_name ?n ; :n_regionkey/:r_name ?r }"), "SELECT '\"' || n_name || '\"' AS n, '\"' || r_name || '\"' AS r FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "store_filter": (_over_store("SELECT ?k WHERE { ?k :n_nationkey ?i FILTER(?i >= 10 && ?i < 13.5) }"), "SELECT '<http://example.org/nation/' || n_nationkey || '>' AS k FROM nation WHERE n_nationkey BETWEEN 10 AND 13"),
-    "store_graph": (_over_store("SELECT ?g (COUNT(*) AS ?n) WHERE { GRAPH ?g { ?s ?p ?o } } GROUP BY ?g"), "SELECT '<http://example.org/graph/region>' AS g, 3 * count(*) AS n FROM region UNION ALL SELECT '<http://example.org/graph/nation>', 4 * count(*) FROM nation"),
-    "dict_encode_roundtrip": (_roundtrip, _QUADS + "SELECT s, p, o, g FROM q"),
+    "store_graph": (_over_store(_GRAPHS, small_store), "SELECT '<http://example.org/graph/region>' AS g, 3 * count(*) AS n FROM region UNION ALL SELECT '<http://example.org/graph/nation>', 4 * count(*) FROM nation"),
+    "dict_encode_roundtrip": (lambda spark, d: _roundtrip(small_store(spark, d)), _QUADS + "SELECT s, p, o, g FROM q"),
     "dict_lookup": (_lookup, "SELECT * FROM (VALUES ('<http://example.org/region/1>', true), ('\"ASIA\"', true), ('<http://nowhere/>', false)) t(term, known)"),
-    "nquads_roundtrip": (_lines, _QUADS + "SELECT s, p, o, g FROM q"),
-    "term_kind_counts": (_kinds, _QUADS + "SELECT CASE WHEN t LIKE '<%' THEN 'iri' WHEN t LIKE '%^^%' THEN 'numeric' ELSE 'literal' END AS kind, count(DISTINCT t) AS n FROM (SELECT s AS t FROM q UNION ALL SELECT p FROM q UNION ALL SELECT o FROM q UNION ALL SELECT g FROM q) GROUP BY 1"),
+    "nquads_roundtrip": (lambda spark, d: _lines(small_store(spark, d)), _QUADS + "SELECT s, p, o, g FROM q"),
+    "term_kind_counts": (lambda spark, d: _kinds(small_store(spark, d)), _QUADS + "SELECT CASE WHEN t LIKE '<%' THEN 'iri' WHEN t LIKE '%^^%' THEN 'numeric' ELSE 'literal' END AS kind, count(DISTINCT t) AS n FROM (SELECT s AS t FROM q UNION ALL SELECT p FROM q UNION ALL SELECT o FROM q UNION ALL SELECT g FROM q) GROUP BY 1"),
     "hexastore_view": (lambda spark, d: small_store(spark, d).hexastore("p").select("p", F.array_join(F.transform("entries", lambda e: F.concat(e["s"], F.lit(" "), e["o"])), "\n").alias("entries")), _QUADS + "SELECT p, string_agg(s || ' ' || o, chr(10) ORDER BY s, o) AS entries FROM q GROUP BY p"),
     "property_table": (lambda spark, d: small_store(spark, d).property_table([f"<{BASE}n_name>", f"<{BASE}r_name>"]).select("s", F.col(f"`<{BASE}n_name>`")[0].alias("n"), F.col(f"`<{BASE}r_name>`")[0].alias("r")), "SELECT '<http://example.org/nation/' || n_nationkey || '>' AS s, '\"' || n_name || '\"' AS n, NULL AS r FROM nation UNION ALL SELECT '<http://example.org/region/' || r_regionkey || '>', NULL, '\"' || r_name || '\"' FROM region"),
-    "subject_lookup": (lambda spark, d: small_store(spark, d).subject(BASE + "nation/3"), _QUADS + "SELECT p, o FROM q WHERE s = '<http://example.org/nation/3>'"),
-    "predicate_statistics": (lambda spark, d: small_store(spark, d).quads.groupBy("p").agg(F.count("*").alias("quads"), F.count_distinct("s").alias("subjects"), F.count_distinct("o").alias("objects")), _QUADS + "SELECT p, count(*) AS quads, count(DISTINCT s) AS subjects, count(DISTINCT o) AS objects FROM q GROUP BY p"),
+    "subject_lookup": (lambda spark, d: whole_store(spark, d).subject(BASE + "nation/3"), _QUADS + "SELECT p, o FROM q WHERE s = '<http://example.org/nation/3>'"),
+    "predicate_statistics": (lambda spark, d: small_store(spark, d).statistics(), _QUADS + "SELECT p, count(*) AS quads, count(DISTINCT s) AS subjects, count(DISTINCT o) AS objects FROM q GROUP BY p"),
+    # The same layouts over all mapped tables; the SQL of the queries above covers regions and nations alone.
+    "all_quads": (lambda spark, d: whole_store(spark, d).match(), _ALL_QUADS + "SELECT s, p, o, g FROM q"),
+    "all_store_graph": (_over_store(_GRAPHS), _ALL_QUADS + "SELECT g, count(*) AS n FROM q GROUP BY g"),
+    "all_dict_encode_roundtrip": (lambda spark, d: _roundtrip(whole_store(spark, d)), _ALL_QUADS + "SELECT s, p, o, g FROM q"),
+    "all_nquads_roundtrip": (lambda spark, d: _lines(whole_store(spark, d)), _ALL_QUADS + "SELECT s, p, o, g FROM q"),
+    "all_term_kind_counts": (lambda spark, d: _kinds(whole_store(spark, d)), _ALL_QUADS + "SELECT CASE WHEN t LIKE '<%' THEN 'iri' WHEN regexp_matches(t, '\"\\^\\^<http://www.w3.org/2001/XMLSchema#(int|integer|double)>$') THEN 'numeric' ELSE 'literal' END AS kind, count(DISTINCT t) AS n FROM (SELECT s AS t FROM q UNION ALL SELECT p FROM q UNION ALL SELECT o FROM q UNION ALL SELECT g FROM q) GROUP BY 1"),
+    "all_hexastore": (lambda spark, d: whole_store(spark, d).hexastore_parts("p").select("p", F.inline("entries")), _ALL_QUADS + "SELECT DISTINCT p, s, o FROM q"),
+    "all_property_table": (lambda spark, d: _properties(whole_store(spark, d)), _ALL_QUADS + "SELECT s, p, string_agg(o, chr(10) ORDER BY o) AS o FROM (SELECT DISTINCT s, p, o FROM q) GROUP BY s, p"),
+    "all_predicate_statistics": (lambda spark, d: whole_store(spark, d).statistics(), _ALL_QUADS + "SELECT p, count(*) AS quads, count(DISTINCT s) AS subjects, count(DISTINCT o) AS objects FROM q GROUP BY p"),
 }
 
 

@@ -13,7 +13,8 @@ from ..plans.parser import unescape
 
 DEFAULT_GRAPH = "http://DEFAULT_CONTEXT"
 _IRI, _BLANK = r"<[^<>\"{}|^`\\\s]*>", r"_:[A-Za-z0-9_][\w.-]*"
-_LITERAL = r'"(?:[^"\\\n\r]|\\.)*"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^<>\s]*>)?'
+#: Possessive, so that a long literal is matched in a loop and not on the stack.
+_LITERAL = r'"(?:[^"\\\n\r]++|\\.)*+"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^<>\s]*>)?'
 LINE = rf"^\s*({_IRI}|{_BLANK})\s*({_IRI})\s*({_IRI}|{_BLANK}|{_LITERAL})\s*({_IRI}|{_BLANK})?\s*\.\s*(?:#.*)?$"
 _TERM = re.compile(rf"\s*(\?|{_IRI}|{_BLANK}|{_LITERAL})")
 

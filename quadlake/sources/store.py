@@ -141,6 +141,14 @@ class QuadStore:
         rest = [c for c in "spo" if c not in bound]
         return self.quads.groupBy(*bound).agg(F.sort_array(F.collect_set(F.struct(*rest))).alias("entries"))
 
+    def hexastore_parts(self, *bound: str, most: int = 100_000) -> DataFrame:
+        """Like hexastore, with the tuples of a hot value dealt over parts of about `most`: a row for each value and part."""
+        rest = [c for c in "spo" if c not in bound]
+        rows = self.quads.select("s", "p", "o").distinct()
+        parts = rows.groupBy(*bound).agg(F.ceil(F.count("*") / most).alias("parts"))
+        dealt = rows.join(parts, [*bound]).withColumn("part", F.pmod(F.xxhash64(*rest), "parts"))
+        return dealt.groupBy(*bound, "part").agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("entries"))
+
     def property_table(self, predicates: list[str] | None = None) -> DataFrame:
         """One row a subject: a map from predicate to its sorted values, or a column for each given predicate."""
         values = self.quads.groupBy("s", "p").agg(F.sort_array(F.collect_set("o")).alias("o"))
@@ -149,8 +157,8 @@ class QuadStore:
         return values.groupBy("s").pivot("p", predicates).agg(F.first("o"))
 
     def statistics(self) -> DataFrame:
-        """Quads, subjects and objects by predicate."""
-        return self.quads.groupBy("p").agg(F.count("*").alias("quads"), F.approx_count_distinct("s").alias("subjects"), F.approx_count_distinct("o").alias("objects"))
+        """Quads, distinct subjects and distinct objects by predicate, exactly."""
+        return self.quads.groupBy("p").agg(F.count("*").alias("quads"), F.count_distinct("s").alias("subjects"), F.count_distinct("o").alias("objects"))
 
     # for the compiler
     def _rows(self, graph, default: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quadlake import catalogue
 from quadlake.api import contexts, explain_algebra, sparql
 from quadlake.functions.terms import numeric
 from quadlake.plans.algebra import Bgp, Iri, Triple
@@ -43,6 +44,12 @@ def test_parsing_counts_bad_lines(spark):
     assert rows.count() == 10
 
 
+def test_long_literals(spark):
+    text = '"' + 'word \\" \\n ' * 20_000 + '"'
+    rows = parse_lines(spark.createDataFrame([(f"<http://e/a> <http://e/b> {text} .",)], "value string")).collect()
+    assert [(r.o, r._corrupt) for r in rows] == [(text, None)] and parse_pattern(f"? ? {text}")[2] == text
+
+
 def test_quads_are_a_set(store):
     assert store.quads.count() == 8
     assert store.count(s=Iri("http://e/a")) == 3
@@ -112,6 +119,25 @@ def test_save_open_append_and_stream(store, spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/quads").count() == 9
 
 
+def test_store_queries_cover_all_tables(spark, tiny):
+    graph = catalogue.mapped_tables(spark, tiny)
+    want = {f"<{p}>" for p in graph.predicates()}
+    assert {r.p for r in catalogue.queries()["all_predicate_statistics"](spark, tiny).collect()} == want
+    assert len(graph.tables) == 13 == len(catalogue._TABLES)
+
+
+def test_statistics_are_exact(spark):
+    rows = spark.range(20_000).select(F.concat(F.lit("<http://e/"), "id", F.lit(">")).alias("s"), F.lit("<http://e/p>").alias("p"), F.concat(F.lit('"'), F.col("id") % 7000, F.lit('"')).alias("o"), F.lit("<http://e/g>").alias("g"))
+    assert get(QuadStore.of(rows).statistics()) == [("<http://e/p>", 20_000, 20_000, 7000)]
+
+
+def test_hot_predicate_is_split(spark):
+    rows = [(f"<http://e/{i}>", "<http://e/hot>", '"x"', f"<http://e/g{k}>") for i in range(1000) for k in range(2)] + [("<http://e/1>", "<http://e/cold>", '"y"', "<http://e/g>")]
+    parts = QuadStore.of(spark.createDataFrame(rows, "s string, p string, o string, g string")).hexastore_parts("p", most=100).collect()
+    assert max(len(r.entries) for r in parts) < 200 and all(r.entries == sorted(r.entries) for r in parts)
+    assert sorted((r.p, *e) for r in parts for e in r.entries) == sorted({(p, s, o) for s, p, o, _ in rows})
+
+
 def test_errors_and_tools():
     with pytest.raises(ParseError):
         parse("SELECT ?x WHERE { SERVICE <http://e/> { ?x ?p ?o } }")
