@@ -16,12 +16,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of smallest doc_id.
+    """One row of each group of near copies: the one of smallest doc_id; rows without one come last.
 
-    Rows that repeat a doc_id are one document and stay or go together; rows without one stay.
+    Rows are told apart by a number of their own, so repeated rows and rows without a doc_id
+    are members like others. Texts without words are near copies of nothing and all stay.
     """
-    gone = jaccard.jaccard_join(docs).where("NOT kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    key = "__row" + "_" * max(map(len, docs.columns))
+    rows = stored(docs.withColumn(key, F.monotonically_increasing_id()), "rows")  # stored: another run may give other numbers
+    found = jaccard.jaccard_join(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    named = rows.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
+    kept = found.join(named, "row").groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias(key))
+    return rows.join(kept, key, "left_semi").select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,6 +72,17 @@ def test_stages_keep_columns(odd, spark):
     assert suffixdedup.without_repeats(none).count() == corpus_pipeline.drop_near_duplicates(spark, none, "").count() == 0
 
 
+def test_one_row_of_each_group_of_copies(spark):
+    other = " ".join(f"other{i}" for i in range(120))
+    rows = [(None, COPY), (9, COPY + " more"), (4, COPY), (4, COPY), (None, COPY), (None, other), (None, other), (None, other + " end"), (7, "short"), (None, ""), (None, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long").repartition(3)
+    once = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text) for r in once if r.doc_id) == [(4, COPY), (7, "short"), (8, "")]
+    assert sorted(str(r.text)[:5] for r in once if r.doc_id is None) == ["", "None", "other"]
+    left = corpus_pipeline.drop_repeats(spark, spark.createDataFrame(once, docs.schema), "").collect()
+    assert sorted(map(str, left)) == sorted(map(str, once))
+
+
 def test_null_columns_elsewhere(spark):
     pages = spark.createDataFrame([(None, None, 1), (None, "http://a.org/x", 2), (1, "", 3)], "page_id long, url string, host int")
     assert sorted(r.verdict for r in urlfilter.judge_urls(pages).collect()) == ["allow"] * 3
