@@ -7,6 +7,11 @@ queue, so after it all deficits are zero and the schedule repeats: where any tok
 queue goes has a closed form. Partitions only need to know how many tokens of each queue
 stand in the partitions before them; that, with the schedule, is all they carry over.
 When a queue runs dry, the others share its part in proportion: a new schedule begins.
+
+Such a schedule's tables grow with the square of the number of queues. With very many, the
+places come from virtual time instead: at time v a queue has given weight * v tokens until it
+runs dry, window k ends when all have given k windows of tokens, and whole numbers of tokens
+follow by rounding each queue alone. That needs two numbers a queue and no tables.
 """
 
 from __future__ import annotations
@@ -154,7 +159,73 @@ class Places:
                     p, at = p + n, at + n
 
 
-def tokenized(docs: DataFrame, path: str, max_queues: int) -> DataFrame:
+class VirtualPlaces:
+    """Like Places, for any number of queues; a block of about a window holds each queue's share within one token.
+
+    A queue's tokens before block k are its exact share of k windows, rounded at a phase of its
+    own, so that blocks differ little from whole windows. Queues without a weight come after
+    all others, with equal shares.
+    """
+
+    def __init__(self, totals: list[int], weights: list[float], window: int, length: int):
+        self.window, self.length = window, length
+        self.totals, self.weights = np.array(totals, np.int64), np.array(weights, np.float64)
+        self.phase = np.arange(1, len(totals) + 1) * 0.6180339887498949 % 1
+        late = (self.weights <= 0) & (self.totals > 0)
+        self.blocks = -(-int(self.totals.sum()) // window)
+        self.rate = np.where(self.weights > 0, self.weights, 1.0)
+        ends = self.totals / self.rate
+        self.start = np.where(late, ends[~late].max(initial=0.0), 0.0)
+        times, at = np.unique(np.concatenate([self.start, self.start + ends]), return_inverse=True)
+        speed = np.bincount(at[: len(ends)], self.rate, len(times)) - np.bincount(at[len(ends) :], self.rate, len(times))
+        served = np.concatenate([[0.0], np.cumsum(np.maximum(np.cumsum(speed), 0)[:-1] * np.diff(times))])
+        self.times, self.served = times, np.maximum.accumulate(served)
+        self.known: dict[int, tuple] = {}
+        self.most = max(4, 2_000_000 // max(1, len(totals)))
+
+    def _taken(self, k: int, queue=slice(None)):
+        """Tokens of the queues before block k."""
+        if k <= 0:
+            return self.totals[queue] * 0
+        if k >= self.blocks:
+            return self.totals[queue]
+        v = np.interp(float(k) * self.window, self.served, self.times)
+        given = np.maximum(v - self.start[queue], 0) * self.rate[queue]
+        return np.minimum(self.totals[queue], np.floor(given + self.phase[queue]).astype(np.int64))
+
+    def _block(self, k: int) -> tuple:
+        """What each queue has given before block k, has given after it, and where its part begins."""
+        if k not in self.known:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            a, b = self._taken(k), self._taken(k + 1)
+            self.known[k] = (a, b, int(a.sum()) + np.cumsum(b - a) - (b - a))
+        return self.known[k]
+
+    def _holding(self, queue: int, p: int) -> int:
+        """The block with token p of a queue."""
+        v = self.start[queue] + (p + 1 - self.phase[queue]) / self.rate[queue]
+        k = min(max(int(np.interp(v, self.times, self.served) / self.window), 0), self.blocks - 1)
+        while self._taken(k, queue) > p:
+            k -= 1
+        while self._taken(k + 1, queue) <= p:
+            k += 1
+        return k
+
+    def of(self, queue: int, a: int, b: int):
+        p = a
+        while p < b:
+            before, after, begins = self._block(self._holding(queue, p))
+            stop = min(b, int(after[queue]))
+            at = int(begins[queue]) + p - int(before[queue])
+            while p < stop:
+                sequence, offset = divmod(at, self.length)
+                n = min(stop - p, self.length - offset)
+                yield p, n, sequence, offset
+                p, at = p + n, at + n
+
+
+def tokenized(docs: DataFrame, path: str) -> DataFrame:
     """Every document's ids, its queue, and the tokens of that queue before it in its partition; stored."""
 
     def run(batches):
@@ -171,10 +242,6 @@ def tokenized(docs: DataFrame, path: str, max_queues: int) -> DataFrame:
                 yield pa.record_batch([names.slice(a, len(n)), pa.array(sources[a : a + len(n)], pa.string()), pa.array([part] * len(n), pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "queue", "part", "at", "n", "ids"])
 
     rows = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("queue"), "text")
-    sources = rows.groupBy("queue").count()
-    if sources.limit(max_queues + 1).count() > max_queues:
-        top = [r.queue for r in sources.orderBy(F.desc("count"), "queue").limit(max_queues - 1).collect()]
-        rows = rows.withColumn("queue", F.when(F.col("queue").isin(top), F.col("queue")).otherwise("\0others"))
     return stored(rows.mapInArrow(run, "doc_id long, queue string, part long, at long, n long, ids binary"), "tokens")
 
 
@@ -183,26 +250,30 @@ def pack(docs: DataFrame, path: str, length: int = 4096, window_sequences: int =
 
     Every window of `window_sequences` sequences holds the sources in proportion to `weights`
     (default: the corpus's own proportions; sources without a weight come last). Only the last
-    sequence may be shorter than `length`. A null source is the queue ''; beyond max_queues
-    sources, the rarest share one queue; null and empty texts consist of the end id alone;
+    sequence may be shorter than `length`. A null source is the queue ''. With over max_queues
+    sources the shares are kept by virtual time, where a window's ends may be off by some
+    tokens; every source stays a queue. Totals of all sources are held by the driver and, as
+    numbers, by the workers. Null and empty texts consist of the end id alone;
     repeated rows are packed once each; an empty table gives an empty one; other columns are
     not read.
     """
     spark, window = docs.sparkSession, length * window_sequences
-    tokens = tokenized(docs, path, max_queues)
+    tokens = tokenized(docs, path)
     sums = stored(tokens.groupBy("part", "queue").agg(F.sum("n").alias("n")), "sums")
     totals = {r.queue: r.n for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
     queues = sorted(totals)
-    segments = schedule([totals[q] for q in queues], [float(totals[q]) if weights is None else float(weights.get(q, 0)) for q in queues], window)
+    sizes = [totals[q] for q in queues]
+    wanted = [float(totals[q]) if weights is None else float(weights.get(q, 0)) for q in queues]
+    segments = schedule(sizes, wanted, window) if len(queues) <= max_queues else None
     before = sums.select("part", "queue", (F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")).alias("base"))
     if sums.count() <= 200_000:
         before = F.broadcast(before)
     number = {q: i for i, q in enumerate(queues)}
-    plan = spark.sparkContext.broadcast((segments, number))
+    plan = spark.sparkContext.broadcast((segments, number, (sizes, wanted) if segments is None else None))
 
     def run(batches):
-        segments, number = plan.value
-        places = Places(segments, window, length)
+        segments, number, shares = plan.value
+        places = Places(segments, window, length) if shares is None else VirtualPlaces(*shares, window, length)
         for batch in pieces(batches):
             rows = []
             for doc, queue, base, n, ids in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):

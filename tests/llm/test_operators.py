@@ -94,6 +94,37 @@ def test_many_small_queues():
         assert sorted(spots) == [divmod(i, 16) for i in range(sum(totals))]
 
 
+def test_virtual_places():
+    rng = np.random.default_rng(4)
+    for trial in range(40):
+        n = int(rng.integers(1, 60))
+        totals = [int(x) for x in rng.integers(0, 300, n)]
+        weights = [[float(x) for x in totals], [float(x) for x in rng.integers(0, 4, n)], [0.0] * n][trial % 3]
+        places = packing.VirtualPlaces(totals, weights, 64, 16)
+        spots = {(q, p + k): sequence * 16 + offset + k for q, total in enumerate(totals) for a in range(0, total, 50) for p, size, sequence, offset in places.of(q, a, min(total, a + 50)) for k in range(size)}
+        assert sorted(spots.values()) == list(range(sum(totals)))
+        if trial % 3 == 0 and sum(totals):
+            for k in range(places.blocks):
+                assert all(abs(int(t) - x * min(1, k * 64 / sum(totals))) <= 1 for t, x in zip(places._taken(k), totals, strict=True))
+        late = [spots[q, p] for q, p in spots if not weights[q]]
+        if any(weights) and late:
+            assert min(late) + 64 + n >= sum(t for t, w in zip(totals, weights, strict=True) if w)
+
+
+def test_every_source_is_a_queue(spark):
+    rows = [(i, f"word{i} and more words {i}" * (1 + i % 3), f"site{i % 40}") for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = {f"site{k}": 8.0 if k == 39 else 1.0 for k in range(1, 40)}
+    few, many = (packing.pack(frame, WORDS, length=64, window_sequences=4, weights=weights, max_queues=m).collect() for m in (1024, 8))
+    assert {r.queue for r in many} == {f"site{k}" for k in range(40)} and all(r.queue == f"site{r.doc_id % 40}" for r in many)
+    spots = [sorted(r.sequence_id * 64 + r.offset + k for r in rows for k in range(r.length)) for rows in (few, many)]
+    assert spots[0] == spots[1] == list(range(len(spots[0])))
+    last = {q: max(r.sequence_id for r in many if r.queue == q) for q in ("site0", "site3", "site39")}
+    assert last["site39"] < last["site3"] < last["site0"]
+    part = [sum(r.length for r in many if r.queue == q and r.sequence_id < 4) for q in ("site39", "site3")]
+    assert part[0] > 5 * part[1] > 0
+
+
 def test_jaccard(docs):
     got = by_id(jaccard.jaccard_join(docs))
     assert [got[i].n_links for i in (10, 11, 12)] == [2, 2, 2] and [got[i].component_id for i in (10, 11, 12)] == [10] * 3
