@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,13 +35,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
-def discard(df: DataFrame) -> None:
+def discard(*tables: DataFrame) -> None:
     """Deletes what stored() wrote; only for tables that nothing reads any more."""
-    path = getattr(df, "_stored_at", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,7 +98,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 class PrefixHash:
     """64-bit polynomial hashes of any substring of a byte array, from one prefix sum.
 
-    The hash of a substring depends on its bytes alone, not on where it stands.
+    The hash of a substring depends on its bytes alone, not on where it stands. Different
+    long strings can be built that have one hash, so it proposes and never decides.
     """
 
     BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -129,3 +132,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def word_keys(data: bytes, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys and 32-bit checks of the non-empty strings at `start`, `size` bytes long.
+
+    Up to 15 bytes they are made from all bytes at once, two words a string; equal keys of
+    strings as long, up to 8 bytes, mean equal strings. Others go through a 128-bit hash.
+    """
+    whole = np.frombuffer(data + bytes(16), np.uint8)
+    word = np.ndarray((len(data) + 8,), "<u8", whole, strides=(1,))
+    n = size.astype(np.uint64)
+    eight = np.uint64(8)
+    low = word[start] & (np.uint64(2**64 - 1) >> ((eight - np.minimum(n, eight)) * eight))
+    more = np.minimum(np.maximum(n, eight) - eight, np.uint64(7)) * eight
+    high = word[np.minimum(start + 8, len(data))] & ((np.uint64(1) << more) - np.uint64(1))
+    high |= n << np.uint64(56)
+    keys = mixed(mixed(low) + mixed(high))
+    checks = (mixed(low ^ high * np.uint64(_ODD)) >> np.uint64(32)).astype(np.uint32)
+    far = np.flatnonzero(size > 15)
+    if len(far):
+        hashed = xxhash.xxh3_128_digest
+        both = np.frombuffer(b"".join([hashed(data[a:b]) for a, b in zip(start[far].tolist(), (start[far] + size[far]).tolist(), strict=True)]), np.uint64)
+        keys[far], checks[far] = both[0::2], (both[1::2] >> np.uint64(32)).astype(np.uint32)
+    return keys, checks

@@ -1,36 +1,42 @@
 """Exact substring deduplication with enhanced suffix arrays over content-anchored contexts.
 
-Every window of 400 bytes has an anchor: its 100-byte gram of least hash (the leftmost, if
-tied). Equal windows have equal anchors at equal places, so only occurrences of one anchor
-need be compared. The windows that share one occurrence are a run; its bytes are a context.
-Equal contexts are one class, and a class seen twice is repeated as a whole. The remaining
-contexts of an anchor are sorted by what follows the anchor (a suffix array of the anchored
-suffixes, with common-prefix lengths); a stack scan yields the common-prefix interval tree,
-and for each interval the diversity of what stands to the left tells how far its members
-extend that way: together, all windows that any two members share.
-
-Anchors with very many different contexts (a passage in a third of all documents) are not
-brought together. The hashes of their windows are exchanged in packed form by hash value,
-so that each task gets an even share whatever the passage: a window's many copies are dealt
-over shares, answered within them, and one of each share is compared with the other shares'.
+Every window of `width` bytes has an anchor: its gram (a quarter of the width) of least hash,
+the leftmost if tied. Equal windows have equal anchors at equal places, so only occurrences of
+one anchor need be compared. The windows that share one occurrence are a run; its bytes are a
+context. Equal contexts are one class, and a class seen twice is repeated as a whole. The
+contexts of an anchor are sorted by what follows the anchor's start (a suffix array of the
+anchored suffixes, with common-prefix lengths); a stack scan yields the common-prefix interval
+tree from the leaves up. An interval's members are kept sorted by what stands to their left,
+smaller sets joining larger ones, so that every member knows the longest left extension that it
+shares with any other: where the lefts are diverse, that is where the repeat ends. Together
+these are all windows that any two members share.
+
+An anchor with more than MOST different contexts (a passage in a third of all documents) is
+split: windows that reach at least half way to the left share a longer anchor, and all others
+reach at least half way to the right and share another one. Each half's contexts are trimmed to
+the bytes its windows can reach; those that become equal are repeated over the whole half, one
+of them stays to be compared with the others, and halves that still are too large are split
+again. So no task holds more than MOST contexts, and the halves shrink to a single window.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, PrefixHash, row_id, signed, slices, stored, texts
+from .common import discard, pieces, PrefixHash, row_id, signed, slices, stored, texts
 
-WIDTH, GRAM = 400, 100
-MOST, SHARE = 200, 1 << 16
-ENTRY = np.dtype([("h", "<u8"), ("m", "<i8"), ("u", "<i8"), ("n", "<u4"), ("w", "<u4")])
-REPLY = np.dtype([("m", "<i8"), ("u", "<i8"), ("n", "<u4"), ("w", "<u4")])
+#: Bytes of a string that is removed where it repeats, and of one that is reported as a passage:
+#: passages of over 50 words are longer than that.
+WIDTH, PASSAGE = 400, 200
+MOST = 4096
 
 
 def sliding_least(keys: np.ndarray, span: int) -> np.ndarray:
@@ -43,53 +49,56 @@ def sliding_least(keys: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[span - 1 : span - 1 + n])
 
 
-def runs(data: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def runs(data: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor in texts data[begin:end]: text, first window, windows,
     anchor's place after the first window, hash of the anchor, hash of the context."""
-    none = np.empty(0, np.int64)
-    if len(data) < width:
+    none, gram = np.empty(0, np.int64), width // 4
+    n = np.maximum(end - begin - width + 1, 0)
+    whose = np.repeat(np.arange(len(n)), n)
+    if not len(whose):
         return none, none, none, none, none, none
-    hashed = PrefixHash(data)
-    grams = hashed.windows(gram)
+    grams = PrefixHash(data).windows(gram)
     low = np.uint64((1 << 24) - 1)
     least = sliding_least((grams & ~low) | np.arange(len(grams), dtype=np.uint64), width - gram + 1)
-    anchor = (least & low).astype(np.int64)
-    n = np.maximum(end - begin - width + 1, 0)
-    whose = np.repeat(np.arange(len(n)), n)
     window = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(len(whose))
-    if not len(window):
-        return none, none, none, none, none, none
-    at = anchor[window]
+    at = (least[window] & low).astype(np.int64)
     first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (whose[1:] != whose[:-1])))
     count = np.diff(np.append(first, len(window)))
-    start = window[first]
-    return whose[first], start - begin[whose[first]], count, at[first] - start, signed(grams[at[first]]), signed(hashed.of(start, start + count + width - 1))
+    start, raw, hashed = window[first], data.tobytes(), xxhash.xxh3_64_intdigest
+    contexts = np.fromiter((hashed(raw[a:b]) for a, b in zip(start.tolist(), (start + count + width - 1).tolist(), strict=True)), np.uint64, len(start))
+    return whose[first], start - begin[whose[first]], count, at[first] - start, signed(grams[at[first]]), signed(contexts)
 
 
-def _run_rows(batches) -> Iterator[pa.RecordBatch]:
+def _run_rows(batches, width: int) -> Iterator[pa.RecordBatch]:
+    """The runs of each text (columns id, text), or of its spans if a third column has them."""
+    step = 4_000_000
     for batch in pieces(batches):
         names, whole = batch.column(0), [x.encode() for x in texts(batch.column(1))]
         ids = names.to_numpy(zero_copy_only=False)
+        within = batch.column(2).to_pylist() if batch.num_columns > 2 else None
         for a, b in slices(whole, len, 1_000_000):
             parts, begin = [], []
-            step = 4_000_000
             for k in range(a, b):
-                for at in range(0, max(1, len(whole[k]) - WIDTH + 1), step):
-                    parts.append(whole[k][at : at + step + WIDTH - 1])
-                    begin.append((k, at))
+                own = [(0, len(whole[k]))] if within is None else _merged(np.frombuffer(b"".join(within[k]), np.int64).reshape(-1, 2)).tolist()
+                for lo, hi in own:
+                    for at in range(lo, max(lo + 1, hi - width + 1), step):
+                        if hi - at >= width:
+                            parts.append(whole[k][at : min(hi, at + step + width - 1)])
+                            begin.append((k, at))
             for i, j in slices(parts, len, 1_000_000):
                 size = np.fromiter(map(len, parts[i:j]), np.int64, j - i)
                 ends = np.cumsum(size)
-                whose, start, n, place, m, u = runs(np.frombuffer(b"".join(parts[i:j]), np.uint8), ends - size, ends)
+                whose, start, n, place, m, u = runs(np.frombuffer(b"".join(parts[i:j]), np.uint8), ends - size, ends, width)
                 if not len(whose):
                     continue
+                doc, shift = np.array(begin[i:j], np.int64).T
+                start, whose = start + shift[whose], doc[whose]
                 order = np.lexsort((start, n, u, m, whose))  # equal contexts of a text make one row
                 whose, start, n, place, m, u = (x[order] for x in (whose, start, n, place, m, u))
                 same = (whose[1:] == whose[:-1]) & (m[1:] == m[:-1]) & (u[1:] == u[:-1]) & (n[1:] == n[:-1])
                 first = np.flatnonzero(np.append(True, ~same))
-                doc, shift = np.array(begin[i:j], np.int64).T
-                starts = pa.ListArray.from_arrays(pa.array(np.append(first, len(start)), pa.int32()), pa.array(start + shift[whose], pa.int64()))
-                yield pa.record_batch([pa.array(ids[doc[whose[first]]], pa.int64()), pa.array(m[first]), pa.array(u[first]), pa.array(n[first]), pa.array(place[first]), starts], ["doc_id", "m", "u", "n", "place", "starts"])
+                starts = pa.ListArray.from_arrays(pa.array(np.append(first, len(start)), pa.int32()), pa.array(start, pa.int64()))
+                yield pa.record_batch([pa.array(ids[whose[first]], pa.int64()), pa.array(m[first]), pa.array(u[first]), pa.array(n[first]), pa.array(place[first]), starts], ["doc_id", "m", "u", "n", "place", "starts"])
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -99,68 +108,86 @@ def common(a: bytes, b: bytes) -> int:
     return n - (x.bit_length() + 7) // 8
 
 
-def interval_tree(lcps: list[int]) -> Iterator[tuple[int, int, int]]:
-    """The common-prefix intervals (length, first, last) of a suffix array; lcps[i] is between i and i + 1."""
-    stack = [(0, 0)]
-    for i, lcp in enumerate([*lcps, -1]):
-        left = i
-        while stack and stack[-1][0] > lcp:
-            length, left = stack.pop()
-            if length > 0:
-                yield length, left, i
-        if lcp >= 0 and (not stack or stack[-1][0] < lcp):
-            stack.append((lcp, left))
-
+def shared_extensions(contexts: list[bytes], places: list[int]) -> Iterator[tuple[int, int, int]]:
+    """The common-prefix interval tree, leaves first: (prefix length, member, left extension).
 
-def repeat_groups(contexts: list[bytes], places: list[int], width: int = WIDTH) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """Maximal repeats around a shared anchor: (prefix length, members with their left extension).
-
-    A group is all members of a common-prefix interval; a member's left extension is the
-    longest it shares with any other, 0 where the bytes to the left are all different.
+    A member's left extension in an interval is the longest that it shares with any other
+    member; it is given where it is longer than in all intervals inside, which have longer
+    prefixes. places[i] is where the anchor, from which prefixes count, starts in contexts[i].
     """
     right = [c[p:] for c, p in zip(contexts, places, strict=True)]
     left = [c[:p][::-1] for c, p in zip(contexts, places, strict=True)]
+    by_left = sorted(range(len(left)), key=left.__getitem__)
+    rank = [0] * len(left)
+    for i, k in enumerate(by_left):
+        rank[k] = i
+    best = [-1] * len(left)
+
+    def joined(a: list[int], b: list[int], length: int) -> Iterator[tuple[int, int, int]]:
+        """Puts the smaller set of ranks into the larger one, which `kept` then holds."""
+        nonlocal kept
+        small, kept = (a, b) if len(a) < len(b) else (b, a)
+        for x in small:
+            at = bisect_left(kept, x)
+            beside = ([kept[at - 1]] if at else []) + ([kept[at]] if at < len(kept) else [])
+            kept.insert(at, x)
+            for y in beside:
+                i, j = by_left[x], by_left[y]
+                extension = common(left[i], left[j])
+                for k in (i, j):
+                    if extension > best[k]:
+                        best[k] = extension
+                        yield length, k, extension
+
     order = sorted(range(len(right)), key=right.__getitem__)
-    by_left = {k: i for i, k in enumerate(sorted(range(len(left)), key=left.__getitem__))}
-    lcps = [common(right[a], right[b]) for a, b in zip(order, order[1:], strict=False)]
-    for length, a, b in interval_tree(lcps):
-        if length < GRAM:
-            continue
-        members = sorted(order[a : b + 1], key=by_left.__getitem__)
-        shared = [common(left[x], left[y]) for x, y in zip(members, members[1:], strict=False)]
-        best = [max(x, y) for x, y in zip([0, *shared], [*shared, 0], strict=True)]
-        yield length, list(zip(members, best, strict=True))
+    stack: list[tuple[int, list[int]]] = []
+    for i, k in enumerate(order):
+        lcp = common(right[k], right[order[i + 1]]) if i + 1 < len(order) else 0
+        kept = [rank[k]]
+        while stack and stack[-1][0] >= max(lcp, 1):
+            length, members = stack.pop()
+            yield from joined(members, kept, length)
+            if length == lcp:
+                break
+        if lcp:
+            stack.append((lcp, kept))
 
 
 def repeated_windows(contexts: list[bytes], places: list[int], counts: list[int], width: int = WIDTH) -> list[list[tuple[int, int]]]:
-    """For each context, the ranges [a, b) of its windows that stand in another one too."""
+    """For each context, ranges [a, b) that cover just its windows that stand in another one too."""
     found: list[list[tuple[int, int]]] = [[] for _ in contexts]
-    for length, members in repeat_groups(contexts, places, width):
-        for k, extension in members:
-            a, b = max(0, places[k] - extension), min(counts[k] - 1, places[k] - width + length)
-            if a <= b and (a, b + 1) not in found[k]:
-                found[k].append((a, b + 1))
+    for length, k, extension in shared_extensions(contexts, places):
+        a, b = max(0, places[k] - extension), min(counts[k] - 1, places[k] - width + length)
+        if a <= b:
+            found[k].append((a, b + 1))
     return found
 
 
-def _by_suffix(batches) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by anchor; ranges of repeated windows for classes seen once."""
+FOUND = "m long, u long, n long, ranges binary"
+
+
+def _by_suffix(batches, width: int) -> Iterator[pa.RecordBatch]:
+    """Contexts sorted by key, m, u and n; ranges of repeated windows for those that are not whole repeats.
+
+    A context's windows are those numbered from `first`, if it is a part of a class's context.
+    """
     key, rows, done = None, [], []
 
     def finish():
-        found = repeated_windows([r[4] for r in rows], [r[3] for r in rows], [r[1] for r in rows])
-        done.extend((key, r[0], r[1], np.array(f, "<u4").tobytes()) for r, f in zip(rows, found, strict=True) if f and r[2] == 1)
+        found = repeated_windows([r[6] for r in rows], [r[5] for r in rows], [len(r[6]) - width + 1 for r in rows], width)
+        done.extend((*r[:3], (np.array(f, "<u4") + r[4]).astype("<u4").tobytes()) for r, f in zip(rows, found, strict=True) if f and r[3] == 1)
 
     def out():
         return pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*done, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["m", "u", "n", "ranges"])
 
     for batch in pieces(batches):
-        for m, *row in zip(*(batch.column(c).to_pylist() for c in ("m", "u", "n", "c", "place", "context")), strict=True):
-            if m != key:
+        for k, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "m", "u", "n", "c", "first", "place", "context")), strict=True):
+            if k != key:
                 if len(rows) > 1:
                     finish()
-                key, rows = m, []
-            rows.append(row)
+                key, rows = k, []
+            if not rows or rows[-1][:3] != row[:3]:  # repeated rows of a document bring a context twice
+                rows.append(row)
         if len(done) > 2000:
             yield out()
             done = []
@@ -170,102 +197,78 @@ def _by_suffix(batches) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _ask(batches, buckets: int, shares: int) -> Iterator[pa.RecordBatch]:
-    """Window hashes of contexts, packed by bucket and share (of equal contexts' hashes)."""
+def _halves(batches, width: int) -> Iterator[pa.RecordBatch]:
+    """Each context's part in the two halves of its group's left extensions lo to hi."""
     for batch in pieces(batches):
-        for a in range(0, batch.num_rows, 1000):
-            part = batch.slice(a, 1000)
-            m, u, n = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("m", "u", "n"))
-            contexts = part.column("context").to_pylist()
-            size = np.fromiter(map(len, contexts), np.int64, len(contexts))
-            hashed = PrefixHash(np.frombuffer(b"".join(contexts), np.uint8))
-            who = np.repeat(np.arange(len(n)), n)
-            w = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-            at = (np.cumsum(size) - size)[who] + w
-            e = np.empty(len(who), ENTRY)
-            e["h"], e["m"], e["u"], e["n"], e["w"] = hashed.of(at, at + WIDTH), m[who], u[who], n[who], w
-            share = (e["u"].view(np.uint64) >> np.uint64(20)) % np.uint64(shares)
-            yield _packed(e, e["h"] % np.uint64(buckets) * np.uint64(shares) + share)
-
-
-def _packed(entries: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(bucket, kind="stable")
-    entries, bucket = entries[order], bucket[order]
-    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64)
-    ends = np.append(first[1:], len(bucket))
-    return pa.record_batch([pa.array(bucket[first].astype(np.int64)), pa.array([entries[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())], ["bucket", "entries"])
-
-
-def _buckets(batches) -> Iterator[bytes]:
-    """The joined entries of each bucket, from rows sorted by bucket."""
-    key, parts = None, []
-    for batch in pieces(batches):
-        for bucket, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if bucket != key:
-                if parts:
-                    yield b"".join(parts)
-                key, parts = bucket, []
-            parts.append(entries)
-    if parts:
-        yield b"".join(parts)
-
-
-def _answer(batches, buckets: int, again: bool) -> Iterator[pa.RecordBatch]:
-    """The windows whose hash and anchor another class has too, packed by class.
-
-    With `again`, also one window of each hash and anchor, packed by hash, to compare shares.
-    """
-    for raw in _buckets(batches):
-        e = np.frombuffer(raw, ENTRY)
-        e = e[np.lexsort((e["m"], e["h"]))]
-        same = (e["h"][1:] == e["h"][:-1]) & (e["m"][1:] == e["m"][:-1])
-        if again:
-            one = e[~np.append(False, same)]
-            yield _marked(_packed(one, one["h"] % np.uint64(buckets)), True)
-        e = e[np.append(same, False) | np.append(False, same)]
-        if len(e):
-            reply = np.empty(len(e), REPLY)
-            for c in REPLY.names:
-                reply[c] = e[c]
-            yield _marked(_packed(reply, (e["u"].view(np.uint64) >> np.uint64(7)) % np.uint64(buckets)), False)
-
-
-def _marked(rows: pa.RecordBatch, again: bool) -> pa.RecordBatch:
-    return rows.append_column("again", pa.array([again] * rows.num_rows, pa.bool_()))
-
-
-def _ranges(batches) -> Iterator[pa.RecordBatch]:
-    for raw in _buckets(batches):
-        e = np.frombuffer(raw, REPLY)
-        e = e[np.lexsort((e["w"], e["n"], e["u"], e["m"]))]
-        new = np.append(True, (e["m"][1:] != e["m"][:-1]) | (e["u"][1:] != e["u"][:-1]) | (e["n"][1:] != e["n"][:-1]))
-        gap = new | np.append(True, e["w"][1:] > e["w"][:-1] + 1)
-        first = np.flatnonzero(gap)
-        last = np.append(first[1:], len(e)) - 1
-        pairs = np.stack([e["w"][first], e["w"][last] + 1], 1).astype("<u4")
-        starts = np.flatnonzero(new[first])
-        ends = np.append(starts[1:], len(first))
-        head = e[first[starts]]
-        yield pa.record_batch([pa.array(head["m"].astype(np.int64)), pa.array(head["u"].astype(np.int64)), pa.array(head["n"].astype(np.int64)), pa.array([pairs[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())], ["m", "u", "n", "ranges"])
-
-
-def _contexts(batches) -> Iterator[pa.RecordBatch]:
-    names = ["m", "u", "n", "c", "place", "context"]
+        rows = []
+        for key, m, u, n, first, place, lo, hi, context in zip(*(batch.column(c).to_pylist() for c in ("key", "m", "u", "n", "first", "place", "lo", "hi", "context")), strict=True):
+            middle = (lo + hi) // 2
+            for a, b in ((lo, middle), (middle + 1, hi)):
+                # windows of left extension a to b: all have the a bytes before the anchor and width - b from it
+                if a <= b and place >= a and len(context) - place >= width - b:
+                    cut = max(0, place - b)
+                    part = context[cut : place + width - a]
+                    gram = context[place - a : place + width - b]
+                    rows.append((signed64(xxhash.xxh3_64_intdigest(gram, seed=(key ^ a) & (1 << 64) - 1)), m, u, n, first + cut, place - cut, a, b, xxhash.xxh3_128_digest(part), part))
+        if rows:
+            yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 8, pa.binary(), pa.binary()), strict=True)], ["key", "m", "u", "n", "first", "place", "lo", "hi", "digest", "context"])
+
+
+def signed64(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _split(many: DataFrame, width: int) -> list[DataFrame]:
+    """Repeated windows of the contexts of anchors that are too large for one task, as stored tables."""
+    found, part = [], "key long, m long, u long, n long, first long, place long, lo long, hi long, digest binary, context binary"
+    work = many.select("key", "m", "u", "n", F.lit(0).cast("long").alias("first"), "place", F.lit(0).cast("long").alias("lo"), F.lit(width - width // 4).cast("long").alias("hi"), "context")
+    before: list[DataFrame] = [many]
+    while True:
+        parts = stored(work.mapInArrow(lambda it: _halves(it, width), part), "parts")
+        discard(*before)
+        columns = [c for c in parts.columns if c not in ("key", "digest")]
+        equal = stored(parts.groupBy("key", "digest").agg(F.count("*").alias("c"), F.min(F.struct(*columns)).alias("one")), "equal")
+        groups = equal.groupBy("key").agg(F.count("*").alias("size"))
+        # windows number first to first + len(context) - width are repeated wherever two parts are equal
+        whole = parts.select("key", "digest", "m", "u", "n", "first", F.length("context").alias("size")).join(equal.where("c > 1").select("key", "digest"), ["key", "digest"])
+        pack = lambda it: _whole_ranges(it, width)
+        found.append(stored(whole.select("m", "u", "n", "first", "size").mapInArrow(pack, FOUND), "whole"))
+        rows = equal.join(groups.where("size > 1"), "key").select("key", "c", "size", "one.*")
+        small = rows.where(F.col("size") <= MOST).select("key", "m", "u", "n", "c", "first", "place", "context")
+        found.append(stored(small.repartition("key").sortWithinPartitions("key", "m", "u", "n").mapInArrow(lambda it: _by_suffix(it, width), FOUND), "suffixes"))
+        work = stored(rows.where(F.col("size") > MOST).drop("c", "size"), "work")
+        discard(parts, equal)
+        before = [work]
+        if work.isEmpty():
+            discard(work)
+            return found
+
+
+def _whole_ranges(batches, width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        first, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("first", "size"))
+        ranges = np.stack([first, first + size - width + 1], 1).astype("<u4")
+        yield pa.record_batch([*(batch.column(c) for c in ("m", "u", "n")), pa.array([x.tobytes() for x in ranges], pa.binary())], ["m", "u", "n", "ranges"])
+
+
+def _contexts(batches, width: int) -> Iterator[pa.RecordBatch]:
+    names = ["key", "m", "u", "n", "c", "first", "place", "contexts", "context"]
     for batch in pieces(batches):
         for text, needs in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
             raw = text.encode()
-            rows = [(x["m"], x["u"], x["n"], x["c"], x["place"], raw[x["start"] : x["start"] + x["n"] + WIDTH - 1]) for x in needs]
-            yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 5, pa.binary()), strict=True)], names)
+            for a in range(0, len(needs), 5000):
+                rows = [(x["m"], x["m"], x["u"], x["n"], x["c"], 0, x["place"], x["contexts"], raw[x["start"] : x["start"] + x["n"] + width - 1]) for x in needs[a : a + 5000]]
+                yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 8, pa.binary()), strict=True)], names)
 
 
-def _spans(batches) -> Iterator[pa.RecordBatch]:
+def _spans(batches, width: int) -> Iterator[pa.RecordBatch]:
     """Byte ranges to remove, packed by row of runs."""
     for batch in pieces(batches):
         out = []
         for starts, n, ranges in zip(*(batch.column(c).to_pylist() for c in ("starts", "n", "ranges")), strict=True):
             own = np.array([[0, n]], np.int64) if ranges is None else np.frombuffer(ranges, "<u4").reshape(-1, 2).astype(np.int64)
             spans = np.array(starts, np.int64)[:, None, None] + own
-            spans[:, :, 1] += WIDTH - 1
+            spans[:, :, 1] += width - 1
             out.append(_merged(spans.reshape(-1, 2)).tobytes())
         yield pa.record_batch([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "spans"])
 
@@ -280,88 +283,106 @@ def _merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], reach[np.append(first[1:], len(spans)) - 1]], 1)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id as row_id() gives it, spans) of the documents with repeated strings: packed byte ranges, a list of binaries."""
+def _long(width: int):
+    """Packed spans with at least one of that length."""
+
+    def run(batches):
+        for batch in pieces(batches):
+            kept = [i for i, x in enumerate(batch.column(1).to_pylist()) if (np.diff(_merged(np.frombuffer(b"".join(x), np.int64).reshape(-1, 2))) >= width).any()]
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return run
+
+
+def repeated_spans(docs: DataFrame, width: int = WIDTH, within: DataFrame | None = None) -> DataFrame:
+    """(doc_id as row_id() gives it, spans) of the documents with strings of `width` bytes that
+    stand anywhere else too: packed byte ranges, a list of binaries; a stored table.
+
+    `within` may be the spans of a smaller width: repeats of this width can only lie in those.
+    """
     source = docs.select(row_id().alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(source.mapInArrow(_run_rows, "doc_id long, m long, u long, n long, place long, starts array<long>"), "runs")
+    read = source
+    if within is not None:
+        read = source.join(within.mapInArrow(_long(width), within.schema), "doc_id")
+    rows = stored(read.mapInArrow(lambda it: _run_rows(it, width), "doc_id long, m long, u long, n long, place long, starts array<long>"), "runs")
     classes = stored(rows.groupBy("m", "u", "n").agg(F.sum(F.size("starts")).alias("c"), F.min("place").alias("place"), F.min(F.struct("doc_id", F.col("starts")[0].alias("start"))).alias("at")), "classes")
     anchors = stored(classes.groupBy("m").agg(F.count("*").alias("contexts"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("single")).where("contexts > 1 AND single > 0").select("m", "contexts"), "anchors")
-    wanted = classes.join(anchors, "m").groupBy("at.doc_id").agg(F.collect_list(F.struct("m", "u", "n", "c", "place", F.col("at.start").alias("start"))).alias("needs"))
-    shared = source.join(wanted, "doc_id").select("text", "needs").mapInArrow(_contexts, "m long, u long, n long, c long, place long, context binary")
-    shared = stored(shared.dropDuplicates(["m", "u", "n"]), "contexts")
-    often = stored(anchors.where(F.col("contexts") > MOST), "often")
-    usual = shared.join(anchors.where(F.col("contexts") <= MOST).select("m"), "m", "left_semi")
-    form = "m long, u long, n long, ranges binary"
-    suffixes = stored(usual.repartition("m").sortWithinPartitions("m").mapInArrow(_by_suffix, form), "suffixes")
-    found = [suffixes]
-    if not often.isEmpty():
-        many = stored(shared.join(often.select("m"), "m", "left_semi"), "many")
-        buckets = max(256, (many.agg(F.sum("n")).first()[0] or 0) >> 19)
-        shares = -(-often.agg(F.max("contexts")).first()[0] // SHARE)
-
-        def by_bucket(df: DataFrame) -> DataFrame:
-            return df.select("bucket", "entries").repartition("bucket").sortWithinPartitions("bucket")
-
-        asked = by_bucket(many.mapInArrow(lambda it: _ask(it, -(-buckets // shares), shares), "bucket long, entries binary"))
-        packed = "bucket long, entries binary, again boolean"
-        answered = asked.mapInArrow(lambda it: _answer(it, buckets, shares > 1), packed)
-        if shares > 1:
-            answered = stored(answered, "answers")
-            answered = answered.where("NOT again").union(by_bucket(answered.where("again")).mapInArrow(lambda it: _answer(it, buckets, False), packed))
-        ranges = by_bucket(answered).mapInArrow(_ranges, form).join(many.where("c = 1").select("m", "u", "n"), ["m", "u", "n"], "left_semi")
-        found.append(stored(ranges, "ranges"))
+    wanted = classes.join(anchors, "m").groupBy("at.doc_id").agg(F.collect_list(F.struct("m", "u", "n", "c", "place", "contexts", F.col("at.start").alias("start"))).alias("needs"))
+    shared = source.join(wanted, "doc_id").select("text", "needs").mapInArrow(lambda it: _contexts(it, width), "key long, m long, u long, n long, c long, first long, place long, contexts long, context binary")
+    often = (anchors.agg(F.max("contexts")).first()[0] or 0) > MOST
+    if often:  # kept, since both ways read it
+        shared = stored(shared, "contexts")
+    usual = shared.where(F.col("contexts") <= MOST).drop("contexts")
+    found = [stored(usual.repartition("key").sortWithinPartitions("key", "m", "u", "n").mapInArrow(lambda it: _by_suffix(it, width), FOUND), "suffixes")]
+    if often:
+        many = stored(shared.where(F.col("contexts") > MOST).dropDuplicates(["m", "u", "n"]), "many")
+        discard(shared)
+        found += _split(many, width)
     whole = classes.where("c > 1").select("m", "u", "n", F.lit(None).cast("binary").alias("ranges"))
-    for x in found:
-        whole = whole.unionByName(x)
-    spans = rows.join(stored(whole, "repeats"), ["m", "u", "n"]).select("doc_id", "n", "starts", "ranges").mapInArrow(_spans, "doc_id long, spans binary")
-    return spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    single = classes.where("c = 1").select("m", "u", "n")
+    for i, x in enumerate(found):
+        whole = whole.unionByName(x if i == 0 else x.join(single, ["m", "u", "n"], "left_semi"))
+    spans = rows.join(whole, ["m", "u", "n"]).select("doc_id", "n", "starts", "ranges").mapInArrow(lambda it: _spans(it, width), "doc_id long, spans binary")
+    out = stored(spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans")), "spans")
+    discard(rows, classes, anchors, *found)
+    return out
 
 
-def _removed(text: str, spans: list[bytes] | None) -> tuple[bytes, bytes, np.ndarray]:
-    """The text's bytes, what stays of them, and the ranges that go."""
-    raw = text.encode()
+def _removed(raw: bytes, spans: list[bytes] | None) -> tuple[bytes, np.ndarray]:
+    """What stays of the bytes, and the ranges that go."""
     own = _merged(np.frombuffer(b"".join(spans), np.int64).reshape(-1, 2)) if spans else np.empty((0, 2), np.int64)
     edges = [0, *own.ravel().tolist(), len(raw)]
-    return raw, b"".join([raw[a:b] for a, b in zip(edges[0::2], edges[1::2], strict=True)]), own
+    return b"".join([raw[a:b] for a, b in zip(edges[0::2], edges[1::2], strict=True)]), own
 
 
-def substring_digests(docs: DataFrame) -> DataFrame:
-    """What removing every byte of a repeated 400-byte string leaves of each document.
+def substring_digests(docs: DataFrame, width: int = WIDTH, passage: int = PASSAGE) -> DataFrame:
+    """What removing every byte of a repeated string of `width` bytes leaves of each document.
 
-    Columns doc_id, n_bytes, n_removed, n_spans, kept_sha256. Null and empty texts and texts
-    under 400 bytes lose nothing; repeated rows are repeats of each other; doc_id identifies a
-    text, and rows without one are told apart by their text; an empty table gives an empty one;
-    columns other than doc_id and text are not read.
+    Columns doc_id, n_bytes, n_removed, n_spans, kept_sha256; and passage_bytes, n_passages: the
+    bytes and maximal runs of what strings of `passage` bytes repeat, whether they go or not
+    (passage is at most width). Null and empty texts and texts under `passage` bytes lose
+    nothing; repeated rows are repeats of each other; doc_id identifies a text, and rows without
+    one are told apart by their text; an empty table gives an empty one; columns other than
+    doc_id and text are not read. Texts of any length are read in steps of 4,000,000 bytes.
     """
 
     def run(batches):
         for batch in pieces(batches):
             out = []
-            for text, spans in zip(texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                raw, kept, own = _removed(text, spans)
-                out.append((len(raw), len(raw) - len(kept), len(own), hashlib.sha256(kept).hexdigest()))
-            yield pa.record_batch([batch.column(0), *(pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            for text, fine, coarse in zip(texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                raw = text.encode()
+                kept, own = _removed(raw, fine)
+                rest, passages = _removed(raw, coarse)
+                out.append((len(raw), len(raw) - len(kept), len(own), hashlib.sha256(kept).hexdigest(), len(raw) - len(rest), len(passages)))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            yield pa.record_batch([batch.column(0), *(pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), types, strict=True))], DIGESTS)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_id().alias("id"), F.col("text").cast("string").alias("text"))
-    spans = stored(repeated_spans(docs), "spans").select(F.col("doc_id").alias("id"), "spans")
-    joined = source.join(spans, "id", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    coarse = repeated_spans(docs, passage)
+    fine = repeated_spans(docs, width, coarse) if passage < width else coarse
+    spans = coarse.select(F.col("doc_id").alias("id"), F.col("spans").alias("coarse")).join(fine.select(F.col("doc_id").alias("id"), F.col("spans").alias("fine")), "id", "left")
+    joined = source.join(spans, "id", "left").select("doc_id", "text", "fine", "coarse")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, passage_bytes long, n_passages long")
+
+
+DIGESTS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "passage_bytes", "n_passages"]
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """The documents with repeated strings removed from `text`; all other columns as they were.
+def without_repeats(docs: DataFrame, width: int = PASSAGE) -> DataFrame:
+    """The documents with strings of `width` bytes that stand anywhere else too removed from
+    `text`; all other columns as they were.
 
-    Bytes of a character that is cut through go too. A null text stays null, and other columns
-    may have any names.
+    Bytes of a character that is cut through go too. A null text stays null, an empty one empty,
+    an empty table empty; texts of any length are read whole; and other columns may have any names.
     """
 
     def run(batches):
         for batch in pieces(batches):
             row = batch.column(0)
-            kept = [None if text is None else _removed(text, spans)[1].decode(errors="ignore") for text, spans in zip(row.field("text").to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            kept = [None if text is None else _removed(text.encode(), spans)[0].decode(errors="ignore") for text, spans in zip(row.field("text").to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.record_batch([pa.array(kept, pa.string()) if c == "text" else row.field(c) for c in names], names)
 
     names = docs.columns
-    spans = stored(repeated_spans(docs), "spans").select(F.col("doc_id").alias("id"), "spans")
+    spans = repeated_spans(docs, width).select(F.col("doc_id").alias("id"), "spans")
     joined = docs.select(F.struct("*").alias("row"), row_id().alias("id")).join(spans, "id", "left").select("row", "spans")
     return joined.mapInArrow(run, docs.schema)

@@ -29,18 +29,18 @@ def shingled(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
 
 
-def removal(texts):
-    """What the removal of repeated 400-byte strings leaves of each text."""
+def removal(texts, width=200):
+    """What the removal of repeated strings of that many bytes leaves of each text."""
     raw, seen = [(t or "").encode() for t in texts], defaultdict(int)
     for t in raw:
-        for i in range(len(t) - 399):
-            seen[t[i : i + 400]] += 1
+        for i in range(len(t) - width + 1):
+            seen[t[i : i + width]] += 1
     out = []
     for t in raw:
         gone = bytearray(len(t))
-        for k in range(len(t) - 399):
-            if seen[t[k : k + 400]] > 1:
-                gone[k : k + 400] = b"\1" * 400
+        for k in range(len(t) - width + 1):
+            if seen[t[k : k + width]] > 1:
+                gone[k : k + width] = b"\1" * width
         out.append(bytes(b for b, x in zip(t, gone, strict=True) if not x))
     return out
 
@@ -116,11 +116,12 @@ def test_jaccard_like_brute_force(spark):
 def test_pipeline_like_brute_force(spark, tmp_path):
     rng = np.random.default_rng(2)
     some = lambda n: " ".join(rng.choice([f"v{i}" for i in range(300)], n))
-    passage = some(150)
+    passage, short = some(150), some(51)
+    assert len(short) < 400
     texts = [some(int(rng.integers(40, 200))) for _ in range(160)]
     for i in range(0, 60, 2):
         texts[i] += " vilething"
-    texts += [texts[101] + " tail", texts[101], f"{some(80)} {passage} {some(90)}", f"{some(70)} {passage} {some(60)}", None, ""]
+    texts += [texts[101] + " tail", texts[101], f"{some(80)} {passage} {some(90)}", f"{some(70)} {passage} {some(60)}", f"{some(80)} {short} {some(70)}", f"{some(60)} {short}", None, ""]
     source = [f"s{i % 3}" for i in range(len(texts))]
     documents = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, (t, s) in enumerate(zip(texts, source, strict=True))], "doc_id long, text string, lang string, source string, n_chars long")
     documents.write.parquet(f"{tmp_path}/documents.parquet")
@@ -136,3 +137,4 @@ def test_pipeline_like_brute_force(spark, tmp_path):
         assert r.ids_crc32 == zlib.crc32(packed[r.doc_id][r.start : r.start + r.length].tobytes()) and r.queue == source[r.doc_id]
         lengths[r.doc_id] += r.length
     assert lengths == {i: len(x) for i, x in packed.items()}
+    assert not any(short.encode() in t for t in removal([texts[i] for i in keep]))

@@ -132,22 +132,61 @@ def test_jaccard(docs):
     assert [got[i].n_links for i in (0, 1, 2, 8, 9)] == [0, 0, 0, 1, 1]
 
 
-@pytest.mark.parametrize(("most", "share"), [(200, 1 << 16), (0, 1 << 16), (0, 1)])
-def test_suffix_dedup(docs, monkeypatch, most, share):
-    monkeypatch.setattr(suffixdedup, "MOST", most)
-    monkeypatch.setattr(suffixdedup, "SHARE", share)
-    raw = [(t or "").encode() for t in TEXTS]
+def removed(raw, width):
+    """Which bytes strings of that width cover that stand twice or more."""
     seen = defaultdict(int)
     for t in raw:
-        for i in range(len(t) - 399):
-            seen[t[i : i + 400]] += 1
+        for i in range(len(t) - width + 1):
+            seen[t[i : i + width]] += 1
+    out = []
+    for t in raw:
+        gone = np.zeros(len(t) + 1, bool)
+        for k in range(len(t) - width + 1):
+            if seen[t[k : k + width]] > 1:
+                gone[k : k + width] = True
+        out.append(gone)
+    return out
+
+
+def spans_of(gone):
+    return int((gone[1:] < gone[:-1]).sum())
+
+
+@pytest.mark.parametrize("most", [4096, 1])
+def test_suffix_dedup(docs, monkeypatch, most):
+    monkeypatch.setattr(suffixdedup, "MOST", most)
+    raw = [(t or "").encode() for t in TEXTS]
+    gone, passages = removed(raw, 400), removed(raw, 200)
     for i, r in by_id(suffixdedup.substring_digests(docs)).items():
-        gone = np.zeros(len(raw[i]) + 1, bool)
-        for k in range(len(raw[i]) - 399):
-            if seen[raw[i][k : k + 400]] > 1:
-                gone[k : k + 400] = True
-        kept = bytes(b for b, x in zip(raw[i], gone, strict=False) if not x)
-        assert (r.n_removed, r.n_spans, r.kept_sha256) == (int(gone.sum()), int((gone[1:] < gone[:-1]).sum()), hashlib.sha256(kept).hexdigest())
+        kept = bytes(b for b, x in zip(raw[i], gone[i], strict=False) if not x)
+        assert (r.n_removed, r.n_spans, r.kept_sha256) == (int(gone[i].sum()), spans_of(gone[i]), hashlib.sha256(kept).hexdigest())
+        assert (r.passage_bytes, r.n_passages) == (int(passages[i].sum()), spans_of(passages[i]))
+
+
+@pytest.mark.parametrize("most", [4096, 3, 1])
+def test_suffix_dedup_of_small_strings(spark, monkeypatch, most):
+    """Few letters and short widths, so that anchors are popular, periodic and split many times."""
+    monkeypatch.setattr(suffixdedup, "MOST", most)
+    rng = np.random.default_rng(most)
+    shared = "".join(rng.choice(list("abcd"), 40))
+    texts = ["".join(rng.choice(list("ab" if i % 2 else "abcd"), rng.integers(0, 60))) for i in range(40)] + [f"{'x' * i}{shared[i % 7 : 40 - i % 5]}{'y' * (i % 3)}" for i in range(25)] + ["z" * 90, "zy" * 30]
+    raw = [t.encode() for t in texts]
+    gone, passages = removed(raw, 24), removed(raw, 12)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for i, r in by_id(suffixdedup.substring_digests(frame, 24, 12)).items():
+        assert (r.n_removed, r.n_spans, r.passage_bytes, r.n_passages) == (int(gone[i].sum()), spans_of(gone[i]), int(passages[i].sum()), spans_of(passages[i]))
+
+
+def test_interval_tree_like_brute_force():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        width, letters = 8, list("ab"[: int(rng.integers(1, 3))])
+        rows = {("".join(rng.choice(letters, a)) + "zz" + "".join(rng.choice(letters, b)), a) for a, b in rng.integers(0, 7, (10, 2)).tolist() if a + b >= 6}
+        contexts, places = [c.encode() for c, _ in rows], [a for _, a in rows]
+        counts = [len(c) - width + 1 for c in contexts]
+        for i, found in enumerate(suffixdedup.repeated_windows(contexts, places, counts, width)):
+            twice = {w for w in range(counts[i]) if any(j != i and places[j] >= places[i] - w and contexts[j][places[j] - places[i] + w :][:width] == contexts[i][w : w + width] for j in range(len(contexts)))}
+            assert {w for a, b in found for w in range(a, b)} == twice
 
 
 def test_hnsw(spark):
