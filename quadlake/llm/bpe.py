@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import pieces, PrefixHash, slices, texts
+from .common import pieces, slices, texts, word_keys
 
 SHORT = 32
 NONE = np.int32(1 << 30)
@@ -305,8 +305,7 @@ class Encoder:
         edge = np.flatnonzero(gap[1:] != gap[:-1])
         start, end = edge[0::2], edge[1::2]
         size = end - start
-        keys = PrefixHash(data).of(start, end) if len(start) else np.empty(0, np.uint64)
-        checks = size.astype(np.uint32) if not len(start) else (size.astype(np.uint32) | data[start].astype(np.uint32) << 16 | data[end - 1].astype(np.uint32) << 24)
+        keys, checks = word_keys(joined, start, size)
         row = self.table.find(keys, checks)
         new = np.flatnonzero(row < 0)
         if len(new):

@@ -1,12 +1,17 @@
 """Jaccard join of word n-gram sets with Bayesian candidate pruning.
 
-Documents with the same set of shingles are one class. MinHash bands propose candidates:
-classes that share a band belong to one candidate group. Within a group, pairs compare
-their MinHash values some at a time; after n values of which m agree, the posterior of the
-similarity (uniform prior) is Beta(m + 1, n - m + 1), and a pair is dropped as soon as the
-probability of reaching the threshold falls below a tolerance. What is left is verified
-exactly on the sets of 64-bit shingle hashes. Large groups are split into blocks, and pairs
-of blocks are compared by separate tasks that return counts and spanning links, never pairs.
+Documents with the same set of shingles are one class. Candidates are the pairs of classes
+that share a MinHash band. They compare their MinHash values some at a time; after n values of
+which m agree, the posterior of the similarity (uniform prior) is Beta(m + 1, n - m + 1), and
+a pair is dropped as soon as the probability of reaching the threshold falls below a
+tolerance. What is left is verified exactly on the sets of 64-bit shingle hashes.
+
+Classes connected by bands make a group. Its pairs are looked for in one of two ways, by which
+compares fewer: where the group is dense, among all its members at once, so that each class's
+shingles travel once; where it is a chain of small bands, band by band, and a pair is judged
+in the first band that it shares. Both find the same links. Units of work that are too many or
+too long are split into blocks, and pairs of blocks are compared by separate tasks that return
+counts and spanning links, never pairs.
 """
 
 from __future__ import annotations
@@ -20,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, pieces, PrefixHash, row_id, signed, slices, stored, texts
+from .common import discard, mixed, pieces, row_id, signed, slices, stored, texts, word_keys
 from .components import connected
 
 BANDS, ROWS, STEP = 26, 5, 16
 VALUES = BANDS * ROWS
+#: Pairs compared at a time, bytes of shingles in a block, and the cost of a unit of work in pairs.
+PAIRS, BLOCK_BYTES, UNIT = 200_000, 8_000_000, 256
 _RANDOM = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, (2, VALUES), dtype=np.uint64)
 FACTORS, TERMS = _RANDOM[0] | np.uint64(1), _RANDOM[1]
 _WORD = [np.uint64(pow(0xD1342543DE82EF95, k, 1 << 64)) for k in range(16)]
@@ -37,13 +44,14 @@ def shingles(batch: list[str], words: int = 5) -> list[np.ndarray]:
     has one shingle of all its words; one without words has none.
     """
     raw = [x.lower().encode() for x in batch]
-    data = np.frombuffer(b"\n".join(raw), np.uint8)
+    joined = b"\n".join(raw)
+    data = np.frombuffer(joined, np.uint8)
     gap = np.empty(len(data) + 2, bool)
     gap[0] = gap[-1] = True
     np.logical_or(data == 32, (data >= 9) & (data <= 13), out=gap[1:-1])
     edge = np.flatnonzero(gap[1:] != gap[:-1])
     start, end = edge[0::2], edge[1::2]
-    word = PrefixHash(data).of(start, end) if len(start) else np.empty(0, np.uint64)
+    word = word_keys(joined, start, end - start)[0]
     upto = np.searchsorted(start, np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)).tolist()
     n = max(0, len(word) - words + 1)
     grams = np.zeros(n, np.uint64)
@@ -96,11 +104,24 @@ class Verifier:
         self.top, self.bottom = threshold
         self.enough = least_agreeing(self.top / self.bottom, tolerance)
 
-    def pairs(self, values: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Rows (i, j) of verified pairs; with `same`, left is right and each pair is taken once."""
+    def pairs(self, values: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bool, band: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (i, j) of verified pairs that share a band; with `same`, left is right and each pair is taken once.
+
+        With a band's number, only the pairs whose first shared band it is.
+        """
         sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-        i, j = np.triu_indices(len(left), 1) if same else tuple(x.ravel() for x in np.indices((len(left), len(right))))
-        i, j = left[i], right[j]
+        out = [self._part(values, sets, sizes, left[a : a + step], right, left[a:] if same else None, band) for step in [max(1, PAIRS // max(1, len(right)))] for a in range(0, len(left), step)]
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (left[:0], left[:0])
+
+    def _part(self, values, sets, sizes, left, right, after, band):
+        """pairs() for some of the left rows; with `after`, the rows from the first of them on stand for right."""
+        if after is None:
+            i, j = (x.ravel() for x in np.indices((len(left), len(right))))
+            i, j = left[i], right[j]
+        else:
+            i, j = (x.ravel() for x in np.indices((len(left), len(after))))
+            i, j = i[i < j], j[i < j]
+            i, j = left[i], after[j]
         fits = np.minimum(sizes[i], sizes[j]) * self.bottom >= np.maximum(sizes[i], sizes[j]) * self.top
         i, j = i[fits], j[fits]
         agree, done = np.zeros(len(i), np.int64), 0
@@ -110,7 +131,11 @@ class Verifier:
             agree += (values[i, done:n] == values[j, done:n]).sum(1)
             done, keep = n, agree >= enough
             i, j, agree = i[keep], j[keep], agree[keep]
-        return self._exact(sets, sizes, i, j)
+        shared = (values[i] == values[j]).reshape(len(i), BANDS, ROWS).all(2)
+        own = shared.any(1) if band < 0 else shared[:, band] & ~shared[:, :band].any(1)
+        i, j = i[own], j[own]
+        out = [self._exact(sets, sizes, i[a:b], j[a:b]) for a, b in slices((sizes[i] + sizes[j]).tolist(), int, 4_000_000)]
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (i, j)
 
     def _exact(self, sets, sizes, i, j):
         used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
@@ -161,7 +186,7 @@ def _bands(batches) -> Iterator[pa.RecordBatch]:
         hashes = np.zeros(values.shape[:2], np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
         for r in range(ROWS):
             hashes = mixed(hashes ^ values[:, :, r])
-        yield pa.record_batch([pa.array(signed(hashes.ravel())), pa.array(np.repeat(ids, BANDS))], ["band", "class_id"])
+        yield pa.record_batch([pa.array(signed(hashes.ravel())), pa.array(np.tile(np.arange(BANDS), len(ids))), pa.array(np.repeat(ids, BANDS))], ["band", "place", "class_id"])
 
 
 def _with_shingles(batches, words: int) -> Iterator[pa.RecordBatch]:
@@ -189,7 +214,7 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
 
 
 def _verified(batches, verifier: Verifier) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group; yields links and a spanning link of each class and group."""
+    """Rows sorted by unit and blocks; yields links and a spanning link of each class in them."""
     key, rows = None, []
 
     def finish():
@@ -201,9 +226,9 @@ def _verified(batches, verifier: Verifier) -> Iterator[pa.RecordBatch]:
         values = np.frombuffer(b"".join([r[3] for r in pick]), np.uint32).reshape(len(pick), VALUES)
         sets = [np.frombuffer(r[4], np.uint64) for r in pick]
         block = np.array([r[5] for r in pick])
-        same = key[1] == key[2]
-        left = np.flatnonzero(block == key[1])
-        i, j = verifier.pairs(values, sets, left, left if same else np.flatnonzero(block == key[2]), same)
+        same = key[2] == key[3]
+        left = np.flatnonzero(block == key[2])
+        i, j = verifier.pairs(values, sets, left, left if same else np.flatnonzero(block == key[3]), same, key[1])
         links = np.zeros(len(ids), np.int64)
         np.add.at(links, i, members[j])
         np.add.at(links, j, members[i])
@@ -213,13 +238,13 @@ def _verified(batches, verifier: Verifier) -> Iterator[pa.RecordBatch]:
 
     done: list[tuple] = []
     for batch in pieces(batches):
-        columns = [batch.column(c).to_pylist() for c in ("comp", "bi", "bj", "class_id", "members", "sig", "grams", "block")]
-        for comp, bi, bj, *row in zip(*columns, strict=True):
-            if (comp, bi, bj) != key:
+        columns = [batch.column(c).to_pylist() for c in ("unit", "place", "bi", "bj", "class_id", "members", "sig", "grams", "block")]
+        for unit, place, bi, bj, *row in zip(*columns, strict=True):
+            if (unit, place, bi, bj) != key:
                 if rows:
                     done.append(finish())
-                key, rows = (comp, bi, bj), []
-            rows.append((comp, *row))
+                key, rows = (unit, place, bi, bj), []
+            rows.append((unit, *row))
         if len(done) > 1000:
             yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*done, strict=True)], ["class_id", "links", "root"])
             done = []
@@ -244,21 +269,35 @@ def jaccard_join(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (
     source = docs.select(row_id().alias("doc_id"), F.col("doc_id").isNull().alias("unnamed"), F.col("text").cast("string").alias("text"))
     signed_ = stored(source.select("doc_id", "text", "unnamed").mapInArrow(lambda it: _signatures(it, words), "doc_id long, key binary, n long, sig binary, unnamed boolean"), "signatures")
     classes = stored(signed_.groupBy("key").agg(F.min(F.struct("doc_id", "n", "sig")).alias("x"), F.count("*").alias("members")).select("key", F.col("x.doc_id").alias("class_id"), F.col("x.n").alias("n"), F.col("x.sig").alias("sig"), "members"), "classes")
-    bands = classes.where("n > 0").select("class_id", "sig").mapInArrow(_bands, "band long, class_id long")
-    buckets = stored(bands.groupBy("band").agg(F.min("class_id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("band", "rep"), "buckets")
+    bands = classes.where("n > 0").select("class_id", "sig").mapInArrow(_bands, "band long, place long, class_id long")
+    buckets = stored(bands.groupBy("band").agg(F.min("class_id").alias("rep"), F.count("*").alias("c")).where("c > 1"), "buckets")
     groups = stored(connected(bands.join(buckets, "band").where("class_id <> rep").select(F.col("class_id").alias("a"), F.col("rep").alias("b"))), "groups")
-    few = classes.select("class_id", "members", "sig").join(groups.select(F.col("id").alias("class_id"), F.col("component").alias("comp")), "class_id").dropDuplicates(["class_id"])
-    members = stored(source.join(few, source["doc_id"] == few["class_id"]).select("comp", "class_id", "members", "sig", "text").dropDuplicates(["class_id"]).mapInArrow(lambda it: _with_shingles(it, words), "comp long, class_id long, members long, sig binary, grams binary"), "members")
-    sizes = stored(members.groupBy("comp").agg(F.count("*").alias("size")), "sizes").where("size > 1")
+    few = classes.select("class_id", "members", "n", "sig").join(groups.select(F.col("id").alias("class_id"), F.col("component").alias("comp")), "class_id")
+    members = stored(source.select("doc_id", "text").join(few, F.col("doc_id") == F.col("class_id")).select("comp", "class_id", "members", "sig", "text").dropDuplicates(["class_id"]).mapInArrow(lambda it: _with_shingles(it, words), "comp long, class_id long, members long, sig binary, grams binary"), "members")
+    size = F.col("c").cast("double")
+    by_band = buckets.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("comp")), "rep").groupBy("comp").agg(F.sum(size * size + UNIT).alias("by_band"))
+    whole = groups.groupBy(F.col("component").alias("comp")).agg(F.count("*").cast("double").alias("whole"))
+    sparse = stored(whole.join(by_band, "comp").where("by_band < whole * whole").select("comp"), "sparse")
+    dense = members.join(sparse, "comp", "left_anti").withColumnRenamed("comp", "unit").withColumn("place", F.lit(-1).cast("long"))
+    in_bands = few.join(sparse, "comp", "left_semi").select("class_id", "sig").mapInArrow(_bands, "band long, place long, class_id long").join(buckets.select("band"), "band")
+    banded = in_bands.withColumnRenamed("band", "unit").join(members.drop("comp"), "class_id")
+    units = dense.unionByName(banded)
+    weights = groups.select(F.col("id").alias("class_id"), F.col("component").alias("comp")).join(classes.select("class_id", "n"), "class_id")
+    sizes = stored(
+        weights.join(sparse, "comp", "left_anti").select(F.col("comp").alias("unit"), F.lit(-1).cast("long").alias("place"), "n")
+        .unionByName(in_bands.join(classes.select("class_id", "n"), "class_id").select(F.col("band").alias("unit"), "place", "n"))
+        .groupBy("unit", "place").agg(F.count("*").alias("size"), F.sum(F.col("n") * 8).alias("bytes")), "sizes").where("size > 1")
     wide = F.least(F.lit(2048), F.greatest(F.lit(block), F.col("size") / 16))
-    blocks = sizes.select("comp", F.ceil(F.col("size") / wide).cast("int").alias("blocks"))
-    placed = members.join(blocks, "comp").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
-    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("comp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "class_id", "members", "sig", "grams", "block")
+    blocks = sizes.select("unit", "place", F.greatest(F.ceil(F.col("size") / wide), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    placed = units.join(blocks, ["unit", "place"]).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
+    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("unit", "place", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "class_id", "members", "sig", "grams", "block")
     verifier = Verifier(threshold, tolerance)
-    found = stored(paired.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj").mapInArrow(lambda it: _verified(it, verifier), "class_id long, links long, root long"), "found")
+    found = stored(paired.repartition("unit", "place", "bi", "bj").sortWithinPartitions("unit", "place", "bi", "bj").mapInArrow(lambda it: _verified(it, verifier), "class_id long, links long, root long"), "found")
+    discard(members, groups, buckets, sparse)
     component = connected(found.select(F.col("class_id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("class_id").agg(F.sum("links").alias("links"))
     facts = stored(classes.select("key", "class_id", "n", "members").join(links, "class_id", "left").join(component.select(F.col("id").alias("class_id"), "component"), "class_id", "left"), "facts")
+    discard(classes, found)
     joined = signed_.select("doc_id", "key", "unnamed").join(facts, "key")
     result = joined.select("doc_id", "unnamed", "class_id", F.when(F.col("n") > 0, F.coalesce("links", F.lit(0)) + F.col("members") - 1).otherwise(0).cast("long").alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
     return result.select(F.when(~F.col("unnamed"), F.col("doc_id")).alias("doc_id"), "class_id", "n_links", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

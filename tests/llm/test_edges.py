@@ -1,5 +1,6 @@
 """Nulls in every column, repeated rows, long texts, clashing names; the pipeline against brute force."""
 
+import hashlib
 import zlib
 from collections import defaultdict
 
@@ -9,11 +10,12 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quadlake.llm import bpe, chat, hnsw, jaccard, packing, suffixdedup, telephony, token_counts, toxicity, urlfilter
+from quadlake.llm import bpe, chat, common, hnsw, jaccard, packing, suffixdedup, telephony, token_counts, toxicity, urlfilter
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, n long, spans string, id long, class_id long, comp long, queue string, part long, row string, component string, __gone long, sig string"
 LONG = " ".join(f"w{i}" for i in range(30_000))
+NEARLY = " ".join(f"near{i}" for i in range(90))
 COPY = " ".join(f"copy{i}" for i in range(120))
 ROWS = [(1, COPY), (1, COPY), (2, COPY + " more"), (None, COPY), (None, COPY), (None, None), (None, ""), (3, None), (4, ""), (5, LONG), (6, LONG + " end"), (7, "short"), (8, "short"), ((1 << 60) + 1, "big id " + COPY[:300])]
 
@@ -113,6 +115,47 @@ def test_jaccard_like_brute_force(spark):
         assert [got[i].component_id for i in range(len(sets))] == root
 
 
+def chain(k, words=60, step=4):
+    return " ".join(f"c{i}" for i in range(k * step, k * step + words))
+
+
+@pytest.mark.parametrize("unit", [256, 0, 1 << 40])
+def test_jaccard_chain(spark, monkeypatch, unit):
+    """A long chain of links, a dense group and a small one: band by band, as groups, and as the costs say."""
+    monkeypatch.setattr(jaccard, "UNIT", unit)
+    monkeypatch.setattr(jaccard, "PAIRS", 5000)
+    texts = [chain(k) for k in range(500)] + [NEARLY + f" end{k}" for k in range(150)] + ["a b c d e f g h i j k l", "a b c d e f g h i j k l m", "A b c d  e f g h i j k l"]
+    sets = [shingled(t) for t in texts]
+    got = {r.doc_id: r for r in jaccard.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=64).collect()}
+    for i in range(500):
+        assert got[i].n_links == sum(5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for j in range(max(0, i - 3), min(500, i + 4)) if j != i) and got[i].component_id == 0
+    assert {(got[i].n_links, got[i].component_id) for i in range(500, 650)} == {(149, 500)}
+    assert [(got[i].n_links, got[i].component_id) for i in range(650, 653)] == [(2, 650)] * 3
+
+
+def test_long_words_of_equal_polynomials(spark):
+    """Words of two letters in Thue-Morse order, and with the letters swapped, have equal polynomial hashes."""
+    for n in (512, 1024, 2048):
+        word = "".join("ab"[k.bit_count() % 2] for k in range(n))
+        pair = [f"x{word}y", "x" + word.translate(str.maketrans("ab", "ba")) + "y"]
+        frame = spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string")
+        lib = Tokenizer.from_file(WORDS)
+        want = [hashlib.sha256(np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest() for t in pair]
+        assert [r.ids_sha256 for r in bpe.digests(frame.coalesce(1), WORDS).orderBy("doc_id").collect()] == want
+        assert len({r.class_id for r in jaccard.jaccard_join(frame).collect()}) == 2
+
+
+def test_word_keys():
+    rng = np.random.default_rng(5)
+    words = sorted({bytes(rng.integers(0, 3, n).astype(np.uint8)) for n in rng.integers(1, 40, 5000)})
+    data, size = b" ".join(words), np.array([len(w) for w in words])
+    keys, checks = common.word_keys(data, np.cumsum(size + 1) - size - 1, size)
+    assert len(set(keys.tolist())) == len(words)
+    for k, w in enumerate(words[:50]):
+        alone = common.word_keys(b"other " + w, np.array([6]), np.array([len(w)]))
+        assert (alone[0][0], alone[1][0]) == (keys[k], checks[k])
+
+
 def test_pipeline_like_brute_force(spark, tmp_path):
     rng = np.random.default_rng(2)
     some = lambda n: " ".join(rng.choice([f"v{i}" for i in range(300)], n))
