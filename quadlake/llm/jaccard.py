@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, mixed, pieces, row_id, signed, slices, stored, texts, word_keys
-from .components import connected
+from .components import connected, roots
 
 BANDS, ROWS, STEP = 26, 5, 16
 VALUES = BANDS * ROWS
@@ -197,22 +197,6 @@ def _with_shingles(batches, words: int) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([*(part.column(c) for c in ("comp", "class_id", "members", "sig")), pa.array([s.tobytes() for s in shingles(whole[a:b], words)], pa.binary())], ["comp", "class_id", "members", "sig", "grams"])
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
-    parent = list(range(n))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        a, b = find(a), find(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    return [find(x) for x in range(n)]
-
-
 def _verified(batches, verifier: Verifier) -> Iterator[pa.RecordBatch]:
     """Rows sorted by unit and blocks; yields links and a spanning link of each class in them."""
     key, rows = None, []
@@ -233,8 +217,7 @@ def _verified(batches, verifier: Verifier) -> Iterator[pa.RecordBatch]:
         np.add.at(links, i, members[j])
         np.add.at(links, j, members[i])
         some = np.flatnonzero(links)
-        roots = np.array(_roots(len(ids), i, j))
-        return ids[some], links[some], ids[roots[some]]
+        return ids[some], links[some], ids[roots(len(ids), i, j)[some]]
 
     done: list[tuple] = []
     for batch in pieces(batches):

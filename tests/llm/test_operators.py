@@ -203,6 +203,23 @@ def test_hnsw(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in range(900, 905))
 
 
+@pytest.mark.parametrize("recall", [0.98, 0.0])
+def test_hnsw_dense_cluster_and_rare_links(spark, recall):
+    """A cluster of 2000 near copies, 40 lone pairs, and searches that miss links: all ends count all links."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(2000, 24))
+    v = np.concatenate([rng.normal(size=24) * 5 + rng.normal(size=(2000, 24)) * 0.2, base, base[:40] + rng.normal(size=(40, 24)) * 0.03]).astype(np.float32)
+    u = v.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = by_id(hnsw.near_duplicates(frame, beam=40 if recall else 1, recall=recall), "vec_id")
+    found = np.array([got[i].n_links for i in range(len(v))])
+    assert (found == near.sum(1) - 1).mean() > (0.999 if recall else 0.5)
+    assert all((got[i].n_links, got[i].component_id) == (got[i + 2000].n_links, got[i + 2000].component_id) for i in range(2000, 2040))
+    assert got[0].audited_recall >= recall
+
+
 def test_url_rules(spark):
     urls = ["http://a.EXAMPLE.org/es/x", "https://example.org/en/12?q", "http://b.com/fr/", "x.com/de/", None, "http://www.de.com/de/1#f", "http://org/"]
     got = by_id(urlfilter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")), "page_id")
