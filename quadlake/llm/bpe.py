@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import pieces, slices, texts, word_keys
+from .common import freed, pieces, slices, texts, word_keys
 
 SHORT = 32
 NONE = np.int32(1 << 30)
@@ -366,7 +366,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                     ["doc_id", "n_tokens", "ids", "decoded"],
                 )
 
-    return docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text").mapInArrow(freed(run), "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -380,4 +380,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 out = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(s).hexdigest()) for i, s in done]
                 yield pa.record_batch([names.slice(a, len(out)), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(freed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import freed
+
 #: The template's turn marks and the control strings of common chat templates.
 HEAD, FOOT = b"<|turn|>", b"<|end|>"
 CONTROLS = ["<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
@@ -72,7 +74,7 @@ def format_turns(turns: DataFrame, roles: tuple[str, ...] = ("assistant",)) -> D
                 loss = np.fromiter((x in roles for x in role), bool, n)
                 yield pa.record_batch([part.column(0), part.column(1), out.cast(pa.binary()), pa.array(start), pa.array(start + size * loss)], ["conv_id", "turn", "formatted", "loss_start", "loss_end"])
 
-    return turns.select("conv_id", "turn", "role", "text").mapInArrow(run, "conv_id long, turn long, formatted binary, loss_start long, loss_end long")
+    return turns.select("conv_id", "turn", "role", "text").mapInArrow(freed(run), "conv_id long, turn long, formatted binary, loss_start long, loss_end long")
 
 
 def parse(formatted: bytes) -> tuple[str, str]:
@@ -119,7 +121,7 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array([x], t) for x, t in zip(row(), TYPES, strict=True)], FIELDS)
 
     dealt = format_turns(turns).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
-    return dealt.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return dealt.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(freed(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 FIELDS = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, mixed, stored
+from .common import discard, freed, mixed, stored
 from .components import connected, roots
 
 LINKS, BUILD_BEAM, BEAM, WIDEST = 12, 40, 40, 640
@@ -349,7 +349,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, shard_size: int = 5
     n_shards, n_slices = max(shards, -(-total // shard_size)), max(1, -(-total // slice_size))
     dim = F.size("v").cast("long").alias("dim")
     shard = F.pmod(F.xxhash64("class_id"), F.lit(n_shards)).alias("shard")
-    graphs = stored(classes.select(dim, shard, "class_id", "members", "v").repartition("dim", "shard").sortWithinPartitions("dim", "shard", "class_id").mapInArrow(_build, "dim long, shard long, graph binary"), "graphs")
+    graphs = stored(classes.select(dim, shard, "class_id", "members", "v").repartition("dim", "shard").sortWithinPartitions("dim", "shard", "class_id").mapInArrow(freed(_build), "dim long, shard long, graph binary"), "graphs")
 
     def asked(queries: DataFrame, slices: int, exact: bool) -> DataFrame:
         """The links of those vectors: each shard's graph goes to every slice, each vector to every shard."""
@@ -361,7 +361,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, shard_size: int = 5
         rows = queries.select(dim, numbers(n_shards).alias("shard"), part, "class_id", "v", F.lit(None).cast("binary").alias("graph"))
         opened = graphs.select("dim", "shard", numbers(slices).alias("slice"), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast(kind).alias("v"), "graph")
         dealt = rows.unionByName(opened).repartition(n_shards * slices, "dim", "shard", "slice").sortWithinPartitions("dim", "shard", "slice", F.col("class_id").asc_nulls_first())
-        return stored(dealt.mapInArrow(lambda it: _search(it, least, exact, beam, recall), LINKED), "links")
+        return stored(dealt.mapInArrow(freed(lambda it: _search(it, least, exact, beam, recall)), LINKED), "links")
 
     found = asked(classes, n_slices, False)
     audit = found.agg(F.sum("true").alias("true"), F.sum("audited").alias("audited")).first()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, mixed, pieces, row_id, signed, slices, stored, texts, word_keys
+from .common import discard, freed, mixed, pieces, row_id, signed, slices, stored, texts, word_keys
 from .components import connected, roots
 
 BANDS, ROWS, STEP = 26, 5, 16
@@ -168,7 +168,7 @@ def _signatures(batches, words: int) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         names, whole = batch.column(0), texts(batch.column(1))
         ids = names.to_pylist()
-        for a, b in slices(whole, len, 1_000_000):
+        for a, b in slices(whole, len, 500_000):
             sets = shingles(whole[a:b], words)
             full = [k for k, s in enumerate(sets) if len(s)]
             values = [b""] * len(sets)
@@ -192,7 +192,7 @@ def _bands(batches) -> Iterator[pa.RecordBatch]:
 def _with_shingles(batches, words: int) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         whole = texts(batch.column("text"))
-        for a, b in slices(whole, len, 1_000_000):
+        for a, b in slices(whole, len, 500_000):
             part = batch.slice(a, b - a)
             yield pa.record_batch([*(part.column(c) for c in ("comp", "class_id", "members", "sig")), pa.array([s.tobytes() for s in shingles(whole[a:b], words)], pa.binary())], ["comp", "class_id", "members", "sig", "grams"])
 
@@ -250,19 +250,19 @@ def jaccard_join(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (
     and text are not read.
     """
     source = docs.select(row_id().alias("doc_id"), F.col("doc_id").isNull().alias("unnamed"), F.col("text").cast("string").alias("text"))
-    signed_ = stored(source.select("doc_id", "text", "unnamed").mapInArrow(lambda it: _signatures(it, words), "doc_id long, key binary, n long, sig binary, unnamed boolean"), "signatures")
+    signed_ = stored(source.select("doc_id", "text", "unnamed").mapInArrow(freed(lambda it: _signatures(it, words)), "doc_id long, key binary, n long, sig binary, unnamed boolean"), "signatures")
     classes = stored(signed_.groupBy("key").agg(F.min(F.struct("doc_id", "n", "sig")).alias("x"), F.count("*").alias("members")).select("key", F.col("x.doc_id").alias("class_id"), F.col("x.n").alias("n"), F.col("x.sig").alias("sig"), "members"), "classes")
-    bands = classes.where("n > 0").select("class_id", "sig").mapInArrow(_bands, "band long, place long, class_id long")
+    bands = classes.where("n > 0").select("class_id", "sig").mapInArrow(freed(_bands), "band long, place long, class_id long")
     buckets = stored(bands.groupBy("band").agg(F.min("class_id").alias("rep"), F.count("*").alias("c")).where("c > 1"), "buckets")
     groups = stored(connected(bands.join(buckets, "band").where("class_id <> rep").select(F.col("class_id").alias("a"), F.col("rep").alias("b"))), "groups")
     few = classes.select("class_id", "members", "n", "sig").join(groups.select(F.col("id").alias("class_id"), F.col("component").alias("comp")), "class_id")
-    members = stored(source.select("doc_id", "text").join(few, F.col("doc_id") == F.col("class_id")).select("comp", "class_id", "members", "sig", "text").dropDuplicates(["class_id"]).mapInArrow(lambda it: _with_shingles(it, words), "comp long, class_id long, members long, sig binary, grams binary"), "members")
+    members = stored(source.select("doc_id", "text").join(few, F.col("doc_id") == F.col("class_id")).select("comp", "class_id", "members", "sig", "text").dropDuplicates(["class_id"]).mapInArrow(freed(lambda it: _with_shingles(it, words)), "comp long, class_id long, members long, sig binary, grams binary"), "members")
     size = F.col("c").cast("double")
     by_band = buckets.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("comp")), "rep").groupBy("comp").agg(F.sum(size * size + UNIT).alias("by_band"))
     whole = groups.groupBy(F.col("component").alias("comp")).agg(F.count("*").cast("double").alias("whole"))
     sparse = stored(whole.join(by_band, "comp").where("by_band < whole * whole").select("comp"), "sparse")
     dense = members.join(sparse, "comp", "left_anti").withColumnRenamed("comp", "unit").withColumn("place", F.lit(-1).cast("long"))
-    in_bands = few.join(sparse, "comp", "left_semi").select("class_id", "sig").mapInArrow(_bands, "band long, place long, class_id long").join(buckets.select("band"), "band")
+    in_bands = few.join(sparse, "comp", "left_semi").select("class_id", "sig").mapInArrow(freed(_bands), "band long, place long, class_id long").join(buckets.select("band"), "band")
     banded = in_bands.withColumnRenamed("band", "unit").join(members.drop("comp"), "class_id")
     units = dense.unionByName(banded)
     weights = groups.select(F.col("id").alias("class_id"), F.col("component").alias("comp")).join(classes.select("class_id", "n"), "class_id")
@@ -275,7 +275,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (
     placed = units.join(blocks, ["unit", "place"]).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("unit", "place", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "class_id", "members", "sig", "grams", "block")
     verifier = Verifier(threshold, tolerance)
-    found = stored(paired.repartition("unit", "place", "bi", "bj").sortWithinPartitions("unit", "place", "bi", "bj").mapInArrow(lambda it: _verified(it, verifier), "class_id long, links long, root long"), "found")
+    found = stored(paired.repartition("unit", "place", "bi", "bj").sortWithinPartitions("unit", "place", "bi", "bj").mapInArrow(freed(lambda it: _verified(it, verifier)), "class_id long, links long, root long"), "found")
     discard(members, groups, buckets, sparse)
     component = connected(found.select(F.col("class_id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("class_id").agg(F.sum("links").alias("links"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import pieces, stored, texts
+from .common import freed, pieces, stored, texts
 
 END = 2
 CYCLE = 32
@@ -242,7 +242,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.record_batch([names.slice(a, len(n)), pa.array(sources[a : a + len(n)], pa.string()), pa.array([part] * len(n), pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "queue", "part", "at", "n", "ids"])
 
     rows = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("queue"), "text")
-    return stored(rows.mapInArrow(run, "doc_id long, queue string, part long, at long, n long, ids binary"), "tokens")
+    return stored(rows.mapInArrow(freed(run), "doc_id long, queue string, part long, at long, n long, ids binary"), "tokens")
 
 
 def pack(docs: DataFrame, path: str, length: int = 4096, window_sequences: int = 8, weights: dict[str, float] | None = None, max_queues: int = 1024) -> DataFrame:
@@ -286,7 +286,7 @@ def pack(docs: DataFrame, path: str, length: int = 4096, window_sequences: int =
                 yield pa.record_batch([*(pa.array(x, pa.int64()) for x in numbers), pa.array(names, pa.string())], FIELDS)
 
     placed = tokens.join(before, ["part", "queue"]).select("doc_id", "queue", (F.col("base") + F.col("at")).alias("base"), "n", "ids")
-    return placed.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string")
+    return placed.mapInArrow(freed(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string")
 
 
 FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"]

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, pieces, PrefixHash, row_id, signed, slices, stored, texts
+from .common import discard, freed, pieces, PrefixHash, row_id, signed, slices, stored, texts
 
 #: Bytes of a string that is removed where it repeats, and of one that is reported as a passage:
 #: passages of over 50 words are longer than that.
@@ -76,7 +76,7 @@ def _run_rows(batches, width: int) -> Iterator[pa.RecordBatch]:
         names, whole = batch.column(0), [x.encode() for x in texts(batch.column(1))]
         ids = names.to_numpy(zero_copy_only=False)
         within = batch.column(2).to_pylist() if batch.num_columns > 2 else None
-        for a, b in slices(whole, len, 1_000_000):
+        for a, b in slices(whole, len, 500_000):
             parts, begin = [], []
             for k in range(a, b):
                 own = [(0, len(whole[k]))] if within is None else _merged(np.frombuffer(b"".join(within[k]), np.int64).reshape(-1, 2)).tolist()
@@ -85,7 +85,7 @@ def _run_rows(batches, width: int) -> Iterator[pa.RecordBatch]:
                         if hi - at >= width:
                             parts.append(whole[k][at : min(hi, at + step + width - 1)])
                             begin.append((k, at))
-            for i, j in slices(parts, len, 1_000_000):
+            for i, j in slices(parts, len, 500_000):
                 size = np.fromiter(map(len, parts[i:j]), np.int64, j - i)
                 ends = np.cumsum(size)
                 whose, start, n, place, m, u = runs(np.frombuffer(b"".join(parts[i:j]), np.uint8), ends - size, ends, width)
@@ -224,7 +224,7 @@ def _split(many: DataFrame, width: int) -> list[DataFrame]:
     work = many.select("key", "m", "u", "n", F.lit(0).cast("long").alias("first"), "place", F.lit(0).cast("long").alias("lo"), F.lit(width - width // 4).cast("long").alias("hi"), "context")
     before: list[DataFrame] = [many]
     while True:
-        parts = stored(work.mapInArrow(lambda it: _halves(it, width), part), "parts")
+        parts = stored(work.mapInArrow(freed(lambda it: _halves(it, width)), part), "parts")
         discard(*before)
         columns = [c for c in parts.columns if c not in ("key", "digest")]
         equal = stored(parts.groupBy("key", "digest").agg(F.count("*").alias("c"), F.min(F.struct(*columns)).alias("one")), "equal")
@@ -232,10 +232,10 @@ def _split(many: DataFrame, width: int) -> list[DataFrame]:
         # windows number first to first + len(context) - width are repeated wherever two parts are equal
         whole = parts.select("key", "digest", "m", "u", "n", "first", F.length("context").alias("size")).join(equal.where("c > 1").select("key", "digest"), ["key", "digest"])
         pack = lambda it: _whole_ranges(it, width)
-        found.append(stored(whole.select("m", "u", "n", "first", "size").mapInArrow(pack, FOUND), "whole"))
+        found.append(stored(whole.select("m", "u", "n", "first", "size").mapInArrow(freed(pack), FOUND), "whole"))
         rows = equal.join(groups.where("size > 1"), "key").select("key", "c", "size", "one.*")
         small = rows.where(F.col("size") <= MOST).select("key", "m", "u", "n", "c", "first", "place", "context")
-        found.append(stored(small.repartition("key").sortWithinPartitions("key", "m", "u", "n").mapInArrow(lambda it: _by_suffix(it, width), FOUND), "suffixes"))
+        found.append(stored(small.repartition("key").sortWithinPartitions("key", "m", "u", "n").mapInArrow(freed(lambda it: _by_suffix(it, width)), FOUND), "suffixes"))
         work = stored(rows.where(F.col("size") > MOST).drop("c", "size"), "work")
         discard(parts, equal)
         before = [work]
@@ -303,17 +303,17 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, within: DataFrame | None
     source = docs.select(row_id().alias("doc_id"), F.col("text").cast("string").alias("text"))
     read = source
     if within is not None:
-        read = source.join(within.mapInArrow(_long(width), within.schema), "doc_id")
-    rows = stored(read.mapInArrow(lambda it: _run_rows(it, width), "doc_id long, m long, u long, n long, place long, starts array<long>"), "runs")
+        read = source.join(within.mapInArrow(freed(_long(width)), within.schema), "doc_id")
+    rows = stored(read.mapInArrow(freed(lambda it: _run_rows(it, width)), "doc_id long, m long, u long, n long, place long, starts array<long>"), "runs")
     classes = stored(rows.groupBy("m", "u", "n").agg(F.sum(F.size("starts")).alias("c"), F.min("place").alias("place"), F.min(F.struct("doc_id", F.col("starts")[0].alias("start"))).alias("at")), "classes")
     anchors = stored(classes.groupBy("m").agg(F.count("*").alias("contexts"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("single")).where("contexts > 1 AND single > 0").select("m", "contexts"), "anchors")
     wanted = classes.join(anchors, "m").groupBy("at.doc_id").agg(F.collect_list(F.struct("m", "u", "n", "c", "place", "contexts", F.col("at.start").alias("start"))).alias("needs"))
-    shared = source.join(wanted, "doc_id").select("text", "needs").mapInArrow(lambda it: _contexts(it, width), "key long, m long, u long, n long, c long, first long, place long, contexts long, context binary")
+    shared = source.join(wanted, "doc_id").select("text", "needs").mapInArrow(freed(lambda it: _contexts(it, width)), "key long, m long, u long, n long, c long, first long, place long, contexts long, context binary")
     often = (anchors.agg(F.max("contexts")).first()[0] or 0) > MOST
     if often:  # kept, since both ways read it
         shared = stored(shared, "contexts")
     usual = shared.where(F.col("contexts") <= MOST).drop("contexts")
-    found = [stored(usual.repartition("key").sortWithinPartitions("key", "m", "u", "n").mapInArrow(lambda it: _by_suffix(it, width), FOUND), "suffixes")]
+    found = [stored(usual.repartition("key").sortWithinPartitions("key", "m", "u", "n").mapInArrow(freed(lambda it: _by_suffix(it, width)), FOUND), "suffixes")]
     if often:
         many = stored(shared.where(F.col("contexts") > MOST).dropDuplicates(["m", "u", "n"]), "many")
         discard(shared)
@@ -322,7 +322,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, within: DataFrame | None
     single = classes.where("c = 1").select("m", "u", "n")
     for i, x in enumerate(found):
         whole = whole.unionByName(x if i == 0 else x.join(single, ["m", "u", "n"], "left_semi"))
-    spans = rows.join(whole, ["m", "u", "n"]).select("doc_id", "n", "starts", "ranges").mapInArrow(lambda it: _spans(it, width), "doc_id long, spans binary")
+    spans = rows.join(whole, ["m", "u", "n"]).select("doc_id", "n", "starts", "ranges").mapInArrow(freed(lambda it: _spans(it, width)), "doc_id long, spans binary")
     out = stored(spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans")), "spans")
     discard(rows, classes, anchors, *found)
     return out
@@ -362,7 +362,7 @@ def substring_digests(docs: DataFrame, width: int = WIDTH, passage: int = PASSAG
     fine = repeated_spans(docs, width, coarse) if passage < width else coarse
     spans = coarse.select(F.col("doc_id").alias("id"), F.col("spans").alias("coarse")).join(fine.select(F.col("doc_id").alias("id"), F.col("spans").alias("fine")), "id", "left")
     joined = source.join(spans, "id", "left").select("doc_id", "text", "fine", "coarse")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, passage_bytes long, n_passages long")
+    return joined.mapInArrow(freed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, passage_bytes long, n_passages long")
 
 
 DIGESTS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "passage_bytes", "n_passages"]
@@ -385,4 +385,4 @@ def without_repeats(docs: DataFrame, width: int = PASSAGE) -> DataFrame:
     names = docs.columns
     spans = repeated_spans(docs, width).select(F.col("doc_id").alias("id"), "spans")
     joined = docs.select(F.struct("*").alias("row"), row_id().alias("id")).join(spans, "id", "left").select("row", "spans")
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(freed(run), docs.schema)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pieces, texts
+from .common import freed, pieces, texts
 
 RATE = 8000
 UNIT = 192
@@ -163,7 +163,7 @@ def store_texts(docs: DataFrame, kind: str = "mulaw") -> DataFrame:
                 yield pa.record_batch([names.slice(a, b - a), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], FIELDS)
                 a = b
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return docs.select("doc_id", "text").mapInArrow(freed(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 FIELDS = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -192,4 +192,4 @@ def decode_audio(media: DataFrame, id_col: str = "id", media_col: str = "media")
                 part = batch.slice(i, 64)
                 yield pa.record_batch([part.column(0), pa.array([one(x) for x in part.column(1).to_pylist()], pa.binary())], ["id", "pcm"])
 
-    return media.selectExpr(f"CAST(`{id_col}` AS long) AS id", f"`{media_col}` AS media").mapInArrow(run, "id long, pcm binary")
+    return media.selectExpr(f"CAST(`{id_col}` AS long) AS id", f"`{media_col}` AS media").mapInArrow(freed(run), "id long, pcm binary")

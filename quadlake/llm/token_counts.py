@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bpe import Vocabulary
-from .common import pieces, texts
+from .common import freed, pieces, texts
 
 #: The split pattern of the byte-level vocabulary.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -125,4 +125,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text").mapInArrow(freed(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, pieces, PrefixHash, slices, texts
+from .common import freed, mixed, pieces, PrefixHash, slices, texts
 
 WINDOW, STRIDE = 64, 48
 BITS, SMALL = 18, 1024
@@ -341,7 +341,7 @@ def _score_batches(batches, model: Model) -> Iterator[tuple[pa.RecordBatch, np.n
     for batch in pieces(batches):
         whole = texts(batch.column("text"))
         scores = np.empty(len(whole))
-        for a, b in slices(whole, len, 1_000_000):
+        for a, b in slices(whole, len, 500_000):
             scores[a:b] = model.scores(whole[a:b])
         yield batch, scores
 
@@ -359,7 +359,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(freed(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
@@ -370,4 +370,4 @@ def without_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFram
         for batch, scores in _score_batches(batches, shared.value):
             yield batch.filter(pa.array(scores < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freed(run), docs.schema)

@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import freed
+
 Rule = tuple[str, str, str]  # verdict, host, path
 #: The rules of the query.
 RULES: list[Rule] = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -121,7 +123,7 @@ def fit(urls: DataFrame, rules: list[Rule], url_col: str = "url") -> tuple[Judge
                 if new:
                     yield pa.record_batch([pa.array(x, pa.string()) for x in zip(*sorted(new), strict=True)], ["verdict", "key"])
 
-        found = column.mapInArrow(passed, "verdict string, key string").distinct().limit(8 * total + 1001).collect()
+        found = column.mapInArrow(freed(passed), "verdict string, key string").distinct().limit(8 * total + 1001).collect()
         if len(found) <= 8 * total + 1000:
             break
         rate /= 64
@@ -153,7 +155,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule] = RULES, default: str = "allo
                 rows.append((host, path, rule, verdict))
             yield pa.record_batch([batch.column(0), *(pa.array(list(x), pa.string()) for x in (zip(*rows, strict=True) if rows else [()] * 4))], ["page_id", "host", "path", "rule", "verdict"])
 
-    return pages.selectExpr(f"`{id_col}` AS page_id", f"`{url_col}` AS url").mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
+    return pages.selectExpr(f"`{id_col}` AS page_id", f"`{url_col}` AS url").mapInArrow(freed(run), "page_id long, host string, path string, rule string, verdict string")
 
 
 SQL = """
