@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -36,14 +37,24 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+def uses(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """df, which reads those stored tables: discard(df) deletes them."""
+    df._uses = tables
+    return df
+
+
 def discard(*tables: DataFrame) -> None:
-    """Deletes what stored() wrote; only for tables that nothing reads any more."""
+    """Deletes what stored() wrote for them, when nothing reads it any more, and lets Spark drop shuffle files that nothing refers to."""
+    spark = None
     for df in tables:
-        path = getattr(df, "_stored_at", None)
+        spark, path = df.sparkSession, getattr(df, "_stored_at", None)
         if path:
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        discard(*getattr(df, "_uses", ()))
+    if spark is not None:
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import discard, stored, uses
 
 
 def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -33,7 +33,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """For every id in edges (a, b): the smallest id it reaches. Columns id, component.
+    """For every id in edges (a, b): the smallest id it reaches. Columns id, component; discard() it after use.
 
     Null ends, loops and repeated edges are ignored; no edges give an empty table.
     """
@@ -48,7 +48,7 @@ def connected(edges: DataFrame) -> DataFrame:
         lower = stored(large.groupBy("a").agg(F.min("b").alias("m")), "lower")
         small = large.join(lower, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e"))
         after = stored(small.select("e.a", "e.b").where("a > b").distinct(), "edges")
-        for x in (now, least, large, lower):
-            discard(x)
+        discard(now, least, large, lower)
         now = after
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    found = now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    return uses(found, now)

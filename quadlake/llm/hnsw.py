@@ -376,7 +376,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, shard_size: int = 5
         edges = found.unionByName(again)
     component = connected(edges.select(F.col("class_id").alias("a"), F.col("root").alias("b")))
     facts = stored(classes.join(links, "class_id", "left").join(component.select(F.col("id").alias("class_id"), "component"), "class_id", "left"), "facts")
-    discard(classes, graphs, found, sums, *([again] if uneven else []))
+    discard(classes, graphs, found, sums, component, *([again] if uneven else []))
     measured = F.lit(min(1.0, audit.audited / audit.true) if audit.true else None).cast("double").alias("audited_recall")
     joined = source.join(facts, "v", "left")
     result = joined.select("vec_id", F.coalesce(F.coalesce("links", F.lit(0)) + F.col("members") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "class_id", "vec_id").alias("component_id"))

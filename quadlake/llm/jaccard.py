@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, freed, mixed, pieces, row_id, signed, slices, stored, texts, word_keys
+from .common import discard, freed, mixed, pieces, row_id, signed, slices, stored, texts, uses, word_keys
 from .components import connected, roots
 
 BANDS, ROWS, STEP = 26, 5, 16
@@ -254,7 +254,9 @@ def jaccard_join(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (
     classes = stored(signed_.groupBy("key").agg(F.min(F.struct("doc_id", "n", "sig")).alias("x"), F.count("*").alias("members")).select("key", F.col("x.doc_id").alias("class_id"), F.col("x.n").alias("n"), F.col("x.sig").alias("sig"), "members"), "classes")
     bands = classes.where("n > 0").select("class_id", "sig").mapInArrow(freed(_bands), "band long, place long, class_id long")
     buckets = stored(bands.groupBy("band").agg(F.min("class_id").alias("rep"), F.count("*").alias("c")).where("c > 1"), "buckets")
-    groups = stored(connected(bands.join(buckets, "band").where("class_id <> rep").select(F.col("class_id").alias("a"), F.col("rep").alias("b"))), "groups")
+    joined = connected(bands.join(buckets, "band").where("class_id <> rep").select(F.col("class_id").alias("a"), F.col("rep").alias("b")))
+    groups = stored(joined, "groups")
+    discard(joined)
     few = classes.select("class_id", "members", "n", "sig").join(groups.select(F.col("id").alias("class_id"), F.col("component").alias("comp")), "class_id")
     members = stored(source.select("doc_id", "text").join(few, F.col("doc_id") == F.col("class_id")).select("comp", "class_id", "members", "sig", "text").dropDuplicates(["class_id"]).mapInArrow(freed(lambda it: _with_shingles(it, words)), "comp long, class_id long, members long, sig binary, grams binary"), "members")
     size = F.col("c").cast("double")
@@ -269,18 +271,20 @@ def jaccard_join(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (
     sizes = stored(
         weights.join(sparse, "comp", "left_anti").select(F.col("comp").alias("unit"), F.lit(-1).cast("long").alias("place"), "n")
         .unionByName(in_bands.join(classes.select("class_id", "n"), "class_id").select(F.col("band").alias("unit"), "place", "n"))
-        .groupBy("unit", "place").agg(F.count("*").alias("size"), F.sum(F.col("n") * 8).alias("bytes")), "sizes").where("size > 1")
+        .groupBy("unit", "place").agg(F.count("*").alias("size"), F.sum(F.col("n") * 8).alias("bytes")), "sizes")
+    several = sizes.where("size > 1")
     wide = F.least(F.lit(2048), F.greatest(F.lit(block), F.col("size") / 16))
-    blocks = sizes.select("unit", "place", F.greatest(F.ceil(F.col("size") / wide), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    blocks = several.select("unit", "place", F.greatest(F.ceil(F.col("size") / wide), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
     placed = units.join(blocks, ["unit", "place"]).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("unit", "place", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "class_id", "members", "sig", "grams", "block")
     verifier = Verifier(threshold, tolerance)
     found = stored(paired.repartition("unit", "place", "bi", "bj").sortWithinPartitions("unit", "place", "bi", "bj").mapInArrow(freed(lambda it: _verified(it, verifier)), "class_id long, links long, root long"), "found")
-    discard(members, groups, buckets, sparse)
+    discard(members, groups, buckets, sparse, sizes)
     component = connected(found.select(F.col("class_id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("class_id").agg(F.sum("links").alias("links"))
     facts = stored(classes.select("key", "class_id", "n", "members").join(links, "class_id", "left").join(component.select(F.col("id").alias("class_id"), "component"), "class_id", "left"), "facts")
-    discard(classes, found)
+    discard(classes, found, component)
     joined = signed_.select("doc_id", "key", "unnamed").join(facts, "key")
     result = joined.select("doc_id", "unnamed", "class_id", F.when(F.col("n") > 0, F.coalesce("links", F.lit(0)) + F.col("members") - 1).otherwise(0).cast("long").alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
-    return result.select(F.when(~F.col("unnamed"), F.col("doc_id")).alias("doc_id"), "class_id", "n_links", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    result = result.select(F.when(~F.col("unnamed"), F.col("doc_id")).alias("doc_id"), "class_id", "n_links", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return uses(result, signed_, facts)
