@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadlake.llm import jaccard, packing, suffixdedup, toxicity
-from quadlake.llm.common import stored, table
+from quadlake.llm.common import discard, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,10 +23,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     key = "__row" + "_" * max(map(len, docs.columns))
     rows = stored(docs.withColumn(key, F.monotonically_increasing_id()), "rows")  # stored: another run may give other numbers
-    found = jaccard.jaccard_join(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    links = jaccard.jaccard_join(rows.select(F.col(key).alias("doc_id"), "text"))
+    found = links.select(F.col("doc_id").alias("row"), "component_id")
     named = rows.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
-    kept = found.join(named, "row").groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias(key))
+    kept = stored(found.join(named, "row").groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias(key)), "kept")
+    discard(links)
     return rows.join(kept, key, "left_semi").select(*docs.columns)
 
 
@@ -42,7 +44,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens, mixed by source."""
+    """Sequences of at most 4096 tokens, mixed by source; a null or empty text is an end id alone."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -52,6 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of the documents that all stages kept.
+
+    Null and empty texts pass every stage and are packed as an end id; repeated rows are one
+    group of near copies, if they hold words; extra columns are carried to the last stage; an
+    empty table gives an empty one.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
