@@ -349,35 +349,33 @@ def encoder(path: str, dtype: str = "<u4", decode: bool = True) -> Encoder:
     return _made[key]
 
 
+def _encodings(batches, path: str) -> Iterator[pa.RecordBatch]:
+    enc = encoder(path)
+    for batch in pieces(batches):
+        names, whole = batch.column(0), texts(batch.column(1))
+        for a, out in enc.encode_texts(whole):
+            yield pa.record_batch(
+                [names.slice(a, len(out)), pa.array([len(i) // 4 for i, _ in out], pa.int64()), pa.array([i for i, _ in out], pa.binary()), pa.array([s for _, s in out], pa.binary())],
+                ["doc_id", "n_tokens", "ids", "decoded"],
+            )
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every text's ids (as packed 32-bit integers) and its decoded text.
 
-    Null and empty texts have no ids and decode to an empty text; repeated rows each give a
-    row; an empty table gives an empty table; columns other than the two named are not read.
+    Null and empty texts have no ids and decode to an empty text; a text over 1,000,000
+    characters is cut at white space, which no token crosses; repeated rows each give a row; an
+    empty table gives an empty table; columns other than the two named are not read.
     """
-
-    def run(batches):
-        enc = encoder(path)
-        for batch in pieces(batches):
-            names, whole = batch.column(0), texts(batch.column(1))
-            for a, out in enc.encode_texts(whole):
-                yield pa.record_batch(
-                    [names.slice(a, len(out)), pa.array([len(i) // 4 for i, _ in out], pa.int64()), pa.array([i for i, _ in out], pa.binary()), pa.array([s for _, s in out], pa.binary())],
-                    ["doc_id", "n_tokens", "ids", "decoded"],
-                )
-
-    return docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text").mapInArrow(freed(run), "doc_id long, n_tokens long, ids binary, decoded binary")
+    return docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text").mapInArrow(freed(lambda it: _encodings(it, path)), "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """encode_documents with digests in place of the ids and texts, which then never leave the worker."""
+    """encode_documents with digests of its ids and texts, made where those are made."""
 
     def run(batches):
-        enc = encoder(path)
-        for batch in pieces(batches):
-            names, whole = batch.column(0), texts(batch.column(1))
-            for a, done in enc.encode_texts(whole):
-                out = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(s).hexdigest()) for i, s in done]
-                yield pa.record_batch([names.slice(a, len(out)), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for batch in _encodings(batches, path):
+            hashed = [pa.array([hashlib.sha256(x).hexdigest() for x in batch.column(c).to_pylist()], pa.string()) for c in ("ids", "decoded")]
+            yield pa.record_batch([batch.column(0), batch.column(1), *hashed], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(freed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

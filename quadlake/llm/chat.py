@@ -3,8 +3,8 @@
 A batch of turns becomes one buffer: the lengths of all segments (header, content, footer)
 are known first, their cumulative sums are the offsets, and headers, contents and footers
 are scattered into one preallocated array that Arrow takes as it is. Control strings inside
-texts are escaped reversibly: every escape character and every control string's first
-character is preceded by an escape character.
+texts are escaped reversibly: an escape character is doubled, and one is put behind the first
+character of every control string, so that none stands in the output but the template's own.
 """
 
 from __future__ import annotations
@@ -23,16 +23,28 @@ from .common import freed
 HEAD, FOOT = b"<|turn|>", b"<|end|>"
 CONTROLS = ["<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 ESCAPE = "\x1b"
-_DANGER = re.compile("(" + "|".join(map(re.escape, [ESCAPE, *CONTROLS])) + ")")
-_BACK = re.compile(re.escape(ESCAPE) + "(.)", re.DOTALL)
+#: Stands for a line break inside a role; no control string begins with n.
+BREAK = "n" + ESCAPE
+#: An escape character, or the first character of a control string.
+_DANGER = re.compile("|".join([re.escape(ESCAPE), *(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROLS)]))
 
 
 def escaped(text: str) -> str:
-    return _DANGER.sub(lambda m: ESCAPE + m[0], text) if _DANGER.search(text) else text
+    return _DANGER.sub(lambda m: m[0] + ESCAPE, text) if _DANGER.search(text) else text
 
 
 def restored(text: str) -> str:
-    return _BACK.sub(r"\1", text) if ESCAPE in text else text
+    """Of a run of escape characters every other one stays; the odd one was put behind a first character."""
+    return _RUN.sub(lambda m: ESCAPE * (len(m[0]) // 2), text) if ESCAPE in text else text
+
+
+_RUN = re.compile(f"{ESCAPE}+")
+_ROLE_RUN = re.compile(f"n?{ESCAPE}+")
+
+
+def restored_role(role: str) -> str:
+    """restored(), and line breaks, which are an n with an odd escape character."""
+    return restored(_ROLE_RUN.sub(lambda m: "\n" + m[0][2:] if m[0][0] == "n" and len(m[0]) % 2 == 0 else m[0], role))
 
 
 def assemble(segments: list[list[bytes]]) -> pa.Array:
@@ -65,7 +77,7 @@ def format_turns(turns: DataFrame, roles: tuple[str, ...] = ("assistant",)) -> D
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
                 role = [x or "" for x in part.column(2).to_pylist()]
-                names = [escaped(x).encode() for x in role]
+                names = [escaped(x).replace("\n", BREAK).encode() for x in role]
                 content = [escaped(x or "").encode() for x in part.column(3).to_pylist()]
                 n = len(role)
                 out = assemble([[HEAD] * n, names, [b"\n"] * n, content, [FOOT] * n])
@@ -82,15 +94,18 @@ def parse(formatted: bytes) -> tuple[str, str]:
     if not (formatted.startswith(HEAD) and formatted.endswith(FOOT)):
         raise ValueError("not a formatted turn")
     role, _, text = formatted[len(HEAD) : -len(FOOT)].decode().partition("\n")
-    return restored(role), restored(text)
+    return restored_role(role), restored(text)
 
 
 def conversation_digests(turns: DataFrame) -> DataFrame:
     """What reading the formatted turns of each conversation back gives.
 
-    Turns are sorted by turn (equal turns by their bytes) within a partition of whole
-    conversations and hashed as they pass, so a long conversation is never held as a whole.
-    Roles hold no line break in this template's use; one that does is read up to it.
+    Columns conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars. Turns are
+    sorted by turn (null first, equal turns by their bytes) within a partition of whole
+    conversations and hashed as they pass, so a long conversation is never held as a whole. Null
+    roles and texts count as empty, rows without a conv_id are one conversation, repeated rows
+    are turns of their own, an empty table gives an empty one, and other columns are not read.
+    Line breaks in a role are escaped, so that it is read back whole.
     """
 
     def run(batches):

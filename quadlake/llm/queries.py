@@ -19,7 +19,7 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.store_texts(table(spark, sf_dir, "documents"))
+    return telephony.media_digests(table(spark, sf_dir, "documents"))
 
 
 def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

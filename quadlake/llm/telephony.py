@@ -10,12 +10,13 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import freed, pieces, texts
+from .common import freed, pieces, slices, texts
 
 RATE = 8000
 UNIT = 192
@@ -120,48 +121,59 @@ def levels(pcm: np.ndarray) -> str:
     return f"{int(size.max(initial=0))},{int(size.sum()) // max(len(x), 1)},{int(np.count_nonzero(negative[1:] != negative[:-1]))}"
 
 
-def _summaries(payloads: list[bytes]) -> list[str]:
-    """Features of stored samples, read as mu-law, as A-law and as ADPCM blocks."""
+def _summaries(payloads: list[bytes], pcm: list[bytes]) -> list[str]:
+    """Features of stored samples, read as mu-law, as A-law and as ADPCM blocks, and of the PCM files."""
     blocks = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, UNIT)
     counts = [len(p) // UNIT for p in payloads]
     crcs: list[int] = [0] * len(payloads)
     owner = np.repeat(np.arange(len(payloads)), counts)
     for a in range(0, len(blocks), 16384):
-        pcm, whose = decode_adpcm(blocks[a : a + 16384]), owner[a : a + 16384]
+        decoded, whose = decode_adpcm(blocks[a : a + 16384]), owner[a : a + 16384]
         edges = np.flatnonzero(np.diff(whose, prepend=-1, append=-1)).tolist()
         for i, j in zip(edges, edges[1:], strict=False):
-            crcs[whose[i]] = zlib.crc32(np.ascontiguousarray(pcm[i:j]), crcs[whose[i]])
+            crcs[whose[i]] = zlib.crc32(np.ascontiguousarray(decoded[i:j]), crcs[whose[i]])
     out = []
-    for p, crc in zip(payloads, crcs, strict=True):
+    for p, crc, wide in zip(payloads, crcs, map(zlib.crc32, pcm), strict=True):
         raw = np.frombuffer(p, np.uint8)
-        linear = MULAW[raw]
-        wide = zlib.crc32(to_wave(resampled(linear).tobytes(), "pcm", 2 * RATE))
-        out.append(f"mulaw={levels(linear)};alaw={levels(ALAW[raw])};adpcm={crc:08x};pcm16k={wide:08x}")
+        out.append(f"mulaw={levels(MULAW[raw])};alaw={levels(ALAW[raw])};adpcm={crc:08x};pcm16k={wide:08x}")
     return out
 
 
+def _stored(batches, kind: str) -> Iterator[pa.RecordBatch]:
+    """Texts as media and PCM columns, some megabytes at a time."""
+    for batch in pieces(batches):
+        names, whole = batch.column(0), [x.encode() for x in texts(batch.column(1))]
+        for a, b in slices(whole, len, 2_000_000):
+            files = [to_wave(padded(x), kind) for x in whole[a:b]]
+            sizes = pa.array(list(map(len, whole[a:b])), pa.int64())
+            yield pa.record_batch([names.slice(a, b - a), sizes, pa.array(files, pa.binary()), pa.array(list(map(to_pcm, files)), pa.binary())], ["doc_id", "n_bytes", "media", "pcm"])
+
+
 def store_texts(docs: DataFrame, kind: str = "mulaw") -> DataFrame:
-    """Texts stored losslessly as companded samples, and what reading them back gives.
+    """Texts stored losslessly as companded samples, and the same as resampled PCM.
 
-    The payload is the text's UTF-8 filled up with spaces to a multiple of 192, of 192 at
-    least: null and empty texts give 192 spaces, equal texts equal values, repeated rows a
-    row each, an empty table an empty one; other columns are not read.
+    Columns doc_id, n_bytes (of the text), media (a WAVE file whose samples are the text's UTF-8
+    filled up with spaces to a multiple of 192, of 192 at least) and pcm (a WAVE file of 16-bit
+    PCM at twice the rate). Null and empty texts give 192 spaces, equal texts equal values,
+    repeated rows a row each, an empty table an empty one; other columns are not read.
+    """
+    return docs.select("doc_id", "text").mapInArrow(freed(lambda it: _stored(it, kind)), "doc_id long, n_bytes long, media binary, pcm binary")
+
+
+def media_digests(docs: DataFrame, kind: str = "mulaw") -> DataFrame:
+    """What reading the media and PCM columns of store_texts() back gives, made where they are made.
+
+    The feature holds levels of the samples read as mu-law and as A-law, and checksums of them
+    read as ADPCM blocks and of the stored PCM. Odd rows are those of store_texts().
     """
 
     def run(batches):
-        for batch in pieces(batches):
-            names, whole = batch.column(0), [x.encode() for x in texts(batch.column(1))]
-            a = 0
-            while a < len(whole):
-                b, size = a, 0
-                while b < len(whole) and (b == a or size + len(whole[b]) < 4_000_000):
-                    size += len(whole[b])
-                    b += 1
-                files = [to_wave(padded(x), kind) for x in whole[a:b]]
-                back = [from_wave(x)[2] for x in files]
-                rows = [(len(x), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(f), hashlib.sha256(f).hexdigest(), s) for x, p, f, s in zip(whole[a:b], back, files, _summaries(back), strict=True)]
-                yield pa.record_batch([names.slice(a, b - a), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], FIELDS)
-                a = b
+        for batch in _stored(batches, kind):
+            files, pcm = batch.column("media").to_pylist(), batch.column("pcm").to_pylist()
+            back = [from_wave(x)[2] for x in files]
+            rows = [(len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(f), hashlib.sha256(f).hexdigest(), s) for p, f, s in zip(back, files, _summaries(back, pcm), strict=True)]
+            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], FIELDS)
 
     return docs.select("doc_id", "text").mapInArrow(freed(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
@@ -169,27 +181,34 @@ def store_texts(docs: DataFrame, kind: str = "mulaw") -> DataFrame:
 FIELDS = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
 
+def to_pcm(data: bytes) -> bytes | None:
+    """A WAVE file of PCM at twice the rate of a mu-law, A-law, ADPCM or PCM one; null for what is none of these.
+
+    Bytes after the last whole sample or block are left out; a file without samples gives one without.
+    """
+    try:
+        kind, rate, raw = from_wave(data)
+    except (ValueError, KeyError, struct.error):
+        return None
+    x = np.frombuffer(raw, np.uint8)
+    if kind == "adpcm":
+        pcm = decode_adpcm(x[: len(x) // UNIT * UNIT].reshape(-1, UNIT)).reshape(-1)
+    elif kind == "pcm":
+        pcm = x[: len(x) // 2 * 2].view(np.int16)
+    else:
+        pcm = TABLES[kind][x]
+    return to_wave(resampled(pcm).tobytes(), "pcm", 2 * rate)
+
+
 def decode_audio(media: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
     """WAVE files (mu-law, A-law, ADPCM or PCM) to PCM at twice their rate, stored as WAVE.
 
-    Null media give null; other columns are not read.
+    Null, empty and malformed media give null; repeated rows a row each, an empty table an empty
+    one; other columns are not read.
     """
 
-    def one(data):
-        if data is None:
-            return None
-        kind, rate, raw = from_wave(data)
-        x = np.frombuffer(raw, np.uint8)
-        if kind == "adpcm":
-            pcm = decode_adpcm(x[: len(x) // UNIT * UNIT].reshape(-1, UNIT)).reshape(-1)
-        else:
-            pcm = x.view(np.int16) if kind == "pcm" else TABLES[kind][x]
-        return to_wave(resampled(pcm).tobytes(), "pcm", 2 * rate)
-
     def run(batches):
-        for batch in pieces(batches):
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                yield pa.record_batch([part.column(0), pa.array([one(x) for x in part.column(1).to_pylist()], pa.binary())], ["id", "pcm"])
+        for batch in pieces(batches, 64):
+            yield pa.record_batch([batch.column(0), pa.array([None if x is None else to_pcm(x) for x in batch.column(1).to_pylist()], pa.binary())], ["id", "pcm"])
 
     return media.selectExpr(f"CAST(`{id_col}` AS long) AS id", f"`{media_col}` AS media").mapInArrow(freed(run), "id long, pcm binary")

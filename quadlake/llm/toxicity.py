@@ -331,6 +331,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = 1000, clean: int = 1500
     of rows that repeat a doc_id one text is taken, so that the driver gets no more than the sample.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    short = docs.where(F.length(F.col("text").cast("string")) <= chars).select(F.col("doc_id").cast("long").alias("doc_id"))
+    known = known.join(short, "doc_id", "left_semi")  # before the limit, so that longer texts take no places
     order = [F.xxhash64("doc_id"), "doc_id"]
     few = known.where("toxic = 1").orderBy(*order).limit(toxic).union(known.where("toxic = 0").orderBy(*order).limit(clean))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= chars).join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()

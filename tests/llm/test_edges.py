@@ -49,7 +49,7 @@ def removal(texts, width=200):
 
 def test_every_operator_gives_each_row(odd):
     model = toxicity.train([])
-    for df in (bpe.digests(odd, WORDS), token_counts.count_tokens(odd, BYTES), telephony.store_texts(odd), toxicity.score_documents(odd, model), jaccard.jaccard_join(odd), suffixdedup.substring_digests(odd)):
+    for df in (bpe.digests(odd, WORDS), token_counts.count_tokens(odd, BYTES), telephony.media_digests(odd), toxicity.score_documents(odd, model), jaccard.jaccard_join(odd), suffixdedup.substring_digests(odd)):
         assert sorted(str(r.doc_id) for r in df.collect()) == sorted(str(i) for i, _ in ROWS)
     lib = Tokenizer.from_file(WORDS)
     total = sum(len(lib.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in ROWS)

@@ -44,10 +44,59 @@ def test_counts_like_library(docs):
 
 
 def test_telephony_round_trip(docs):
-    for i, r in by_id(telephony.store_texts(docs)).items():
+    for i, r in by_id(telephony.media_digests(docs)).items():
         raw = (TEXTS[i] or "").encode()
         payload = raw + b" " * (-len(raw) % 192 if raw else 192)
         assert (r.payload_bytes, r.tail_crc32, r.payload_sha256) == (len(payload), zlib.crc32(payload[-16:]), hashlib.sha256(payload).hexdigest())
+        assert (r.media_bytes, r.media_sha256) == (len(telephony.to_wave(payload, "mulaw")), hashlib.sha256(telephony.to_wave(payload, "mulaw")).hexdigest())
+        blocks = [telephony.UNIT * k for k in range(len(payload) // telephony.UNIT)]
+        adpcm = b"".join(np.array(scalar_adpcm(payload[a : a + telephony.UNIT]), "<i2").tobytes() for a in blocks)
+        parts = dict(x.split("=") for x in r.feature.split(";"))
+        assert int(parts["adpcm"], 16) == zlib.crc32(adpcm)
+        linear = [scalar_mulaw(b) for b in payload]
+        assert parts["mulaw"] == f"{max(map(abs, linear))},{sum(map(abs, linear)) // len(linear)},{sum((a < 0) != (b < 0) for a, b in zip(linear, linear[1:]))}"
+        wide = [y for a, b in zip(linear, linear[1:] + linear[-1:]) for y in (a, (a + b) >> 1)]
+        assert int(parts["pcm16k"], 16) == zlib.crc32(telephony.to_wave(np.array(wide, "<i2").tobytes(), "pcm", 16000))
+
+
+def scalar_mulaw(b):
+    """One mu-law byte by its definition: sign, exponent and mantissa, all inverted."""
+    b = ~b & 255
+    size = ((2 * (b & 15) + 33) << (b >> 4 & 7)) - 33 << 2
+    return -size if b & 128 else size
+
+
+def scalar_adpcm(block):
+    """One block, one code after the other."""
+    value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+    out = [value]
+    for byte in block[4:]:
+        for code in (byte & 15, byte >> 4):
+            step = int(telephony.STEPS[index])
+            change = step // 8 + step * (code >> 2 & 1) + step // 2 * (code >> 1 & 1) + step // 4 * (code & 1)
+            value = max(-32768, min(32767, value + (-change if code & 8 else change)))
+            index = max(0, min(88, index + int(telephony.MOVES[code])))
+            out.append(value)
+    return out
+
+
+def test_media_columns_and_decoding(spark, docs):
+    rows = by_id(telephony.store_texts(docs))
+    media = [(i, bytes(r.media)) for i, r in rows.items()]
+    sound = np.arange(0, 1200, dtype=np.int16).tobytes()
+    odd = [(100, None), (101, b""), (102, b"RIFF"), (103, telephony.to_wave(sound, "pcm")), (104, telephony.to_wave(bytes(range(192)) * 2, "adpcm")), (105, telephony.to_wave(b"", "alaw")), (106, telephony.to_wave(b"ab", "mulaw").replace(b"\x07\x00\x01", b"\x63\x00\x01", 1))]
+    got = {r.id: r.pcm for r in telephony.decode_audio(spark.createDataFrame(media + odd, "id long, media binary")).collect()}
+    assert all(got[i] == r.pcm for i, r in rows.items()) and [got[i] is None for i in range(100, 107)] == [True, True, True, False, False, False, True]
+    kind, rate, pcm = telephony.from_wave(bytes(got[103]))
+    assert (kind, rate) == ("pcm", 16000) and np.array_equal(np.frombuffer(pcm, np.int16)[::2], np.frombuffer(sound, np.int16))
+    assert np.frombuffer(telephony.from_wave(bytes(got[104]))[2], np.int16)[::2].tolist() == 2 * scalar_adpcm(bytes(range(192)))
+
+
+def test_encoded_columns(docs):
+    lib = Tokenizer.from_file(WORDS)
+    for i, r in by_id(bpe.encode_documents(docs, WORDS)).items():
+        ids = lib.encode(TEXTS[i] or "", add_special_tokens=False).ids
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids and bytes(r.decoded).decode() == lib.decode(ids, skip_special_tokens=False)
 
 
 def test_companding_tables():
@@ -235,11 +284,52 @@ def test_cascade_is_exact():
 
 
 def test_chat(spark):
-    rows = [(1, 0, "user", "a</s>\x1b<|x"), (1, 1, "assistant", None), (1, 2, "assistant", "[INST] é"), (2, 0, None, "")]
-    got = by_id(chat.conversation_digests(chat.with_probe(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))), "conv_id")
-    said = "".join(f"{r or ''}\n{t or ''}\n" for c, _, r, t in rows if c == 1)
-    assert got[1].turns_sha256 == hashlib.sha256(said.encode()).hexdigest() and got[1].loss_sha256 == hashlib.sha256("[INST] é".encode()).hexdigest()
-    assert got[-7].loss_chars == len("</s>[INST] ok [/INST]")
+    rows = [(1, 0, "user", "a</s>\x1b<|x"), (1, 1, "assistant", None), (1, 2, "assistant", "[INST] é"), (2, 0, None, ""), (3, 0, "us\ner n\x1b", "<\x1b|<<|"), (3, 0, "us\ner n\x1b", "<\x1b|<<|")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = by_id(chat.conversation_digests(chat.with_probe(frame)), "conv_id")
+    assert sorted(got) == [-7, 1, 2, 3]
+    for k, r in got.items():
+        own = [(r or "", t or "") for c, _, r, t in rows if c == k] if k > 0 else [(x, "</s>[INST] ok [/INST]") for x in ("user", "assistant")]
+        loss = "".join(t for r, t in own if r == "assistant")
+        assert (r.n_turns, r.turns_sha256) == (len(own), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest())
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert r.formatted_chars == sum(len(bytes(x.formatted).decode()) for x in chat.format_turns(chat.with_probe(frame)).where(f"conv_id = {k}").collect())
+
+
+def test_no_control_string_survives_in_a_text(spark):
+    rng = np.random.default_rng(6)
+    signs = ["<", "|", "s", ">", "/", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|", "</s>", "<s>", "\x1b", "n", "\n", "x"]
+    rows = [(0, i, "".join(rng.choice(signs, 3)), "".join(rng.choice(signs, rng.integers(0, 12)))) for i in range(400)]
+    for r in chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect():
+        assert chat.parse(bytes(r.formatted)) == rows[r.turn][2:]
+        inner = bytes(r.formatted)[len(chat.HEAD) : -len(chat.FOOT)].decode()
+        assert not any(c in inner for c in chat.CONTROLS)
+
+
+def test_gradients_by_differences():
+    rng = np.random.default_rng(2)
+    net = toxicity.Network()
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x, mask, y = rng.normal(size=(5, 3, net.FEATURES)), np.ones((5, 3), bool), np.array([1.0, 0.0, 1.0])
+    mask[3:, 1] = False
+
+    def loss():
+        s = net.states(net.gates(x), np.stack([mask, mask[::-1]]).astype(np.float64))
+        logit = net.pooled(s, mask)[0]
+        return float(np.mean(np.log1p(np.exp(logit)) - y * logit))
+
+    grads, dx = net.gradients(x, mask, y)
+    for name in ("wx", "b", "wh", "wa", "ba", "va", "w", "bias"):
+        p, g = net.p[name], np.broadcast_to(grads[name], net.p[name].shape)
+        for at in rng.integers(0, p.size, 6):
+            at = np.unravel_index(at, p.shape)
+            was = p[at]
+            p[at] = was + 1e-3
+            up = loss()
+            p[at] = was - 1e-3
+            slope = (up - loss()) / 2e-3
+            p[at] = was
+            assert abs(slope - g[at]) < 1e-4 + 1e-2 * abs(slope), (name, at, slope, g[at])
 
 
 def test_toxicity(spark, docs):
@@ -268,5 +358,5 @@ def test_components(spark):
 
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
-    for df in (bpe.digests(docs, WORDS), token_counts.count_tokens(docs, BYTES), telephony.store_texts(docs), packing.pack(docs, WORDS), jaccard.jaccard_join(docs), suffixdedup.substring_digests(docs), urlfilter.judge_urls(spark.createDataFrame([], "page_id long, url string")), hnsw.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>"))):
+    for df in (bpe.digests(docs, WORDS), token_counts.count_tokens(docs, BYTES), telephony.media_digests(docs), telephony.store_texts(docs), chat.conversation_digests(spark.createDataFrame([], 'conv_id long, turn long, role string, text string')), toxicity.score_documents(docs, toxicity.train([])), packing.pack(docs, WORDS), jaccard.jaccard_join(docs), suffixdedup.substring_digests(docs), urlfilter.judge_urls(spark.createDataFrame([], "page_id long, url string")), hnsw.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>"))):
         assert df.count() == 0
