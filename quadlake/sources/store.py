@@ -105,7 +105,8 @@ class QuadStore:
         terms, first = self.terms(), 0
         if known is not None:
             terms = terms.join(known.select("term"), "term", "left_anti")
-            first = (known.agg(F.max("id")).first()[0] or -1) + 1
+            largest = known.agg(F.max("id")).first()[0]
+            first = 0 if largest is None else largest + 1
         t = F.col("term")
         kind = F.when(is_iri(t), 0).when(is_blank(t), 1).otherwise(2).cast("tinyint")
         new = persisted(terms.select((F.monotonically_increasing_id() + first).alias("id"), "term", kind.alias("kind"), lexical(t).alias("lex"), datatype(t).alias("dt"), language(t).alias("lang")))
