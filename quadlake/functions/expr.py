@@ -167,10 +167,12 @@ def _arith(op: str, a: Term, b: Term) -> Term:
     return number(f(x, y), XSD + ("integer" if whole else "double"))
 
 
-def _pattern(e, flags: str) -> str:
-    if not isinstance(e, Literal):
-        raise ExpressionError("a constant pattern is needed")
-    return (f"(?{''.join(c for c in flags if c in 'ismx')})" if flags else "") + e.lex
+def _pattern(pattern: Term, flags: Term | None) -> Column:
+    """A regular expression with its flags (i, s, m and x count)."""
+    if flags is None:
+        return text_of(pattern)
+    kept = F.regexp_replace(text_of(flags), "[^ismx]", "")
+    return F.concat(F.when(kept != "", F.concat(F.lit("(?"), kept, F.lit(")"))).otherwise(""), text_of(pattern))
 
 
 def cast(t: Term, name: str) -> Term:
@@ -216,12 +218,12 @@ def compile_expression(e, scope: dict[str, Term], exists: Callable | None = None
         return exists(e)
     op, args = e.op, e.args
     if op in ("regex", "replace"):
-        t = compile_expression(args[0], scope, exists)
-        at = 2 if op == "regex" else 3
-        pattern = _pattern(args[1], args[at].lex if len(args) > at else "")
+        t = [compile_expression(a, scope, exists) for a in args]
         if op == "regex":
-            return boolean(text_of(t).rlike(pattern))
-        return string(F.regexp_replace(text_of(t), pattern, re.sub(r"\\(?!\$)", r"\\\\", args[2].lex)), t)
+            return boolean(F.regexp_like(text_of(t[0]), _pattern(t[1], t[2] if len(t) > 2 else None)))
+        # a backslash before anything but $ is a letter of the replacement
+        new = F.lit(re.sub(r"\\(?!\$)", r"\\\\", args[2].lex)) if isinstance(args[2], Literal) else F.regexp_replace(text_of(t[2]), r"\\(?!\$)", r"\\\\")
+        return string(F.regexp_replace(text_of(t[0]), _pattern(t[1], t[3] if len(t) > 3 else None), new), t[0])
     if op == "bound":
         return boolean(scope[args[0].name].col.isNotNull() if args[0].name in scope else F.lit(False))
     t = [compile_expression(a, scope, exists) for a in args]

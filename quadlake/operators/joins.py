@@ -69,12 +69,51 @@ def join(left: Relation, right: Relation) -> Relation:
         keys = [c for n in shared for c in _keys(left, n)]
         df = left.df.join(right.df.select(*keys, *extra), keys, "inner")
         out = Relation(df, left.specs | {n: s for n, s in right.specs.items() if n not in shared})
+    elif 0 < sum((n in left.maybe) + (n in right.maybe) for n in unsure) <= 2:
+        out = _by_boundness(left, right, shared, unsure)
     else:
         out = _merged(left, right, shared, "inner")
     out.maybe = {n for n in left.maybe | right.maybe if not (n in shared and (n not in left.maybe or n not in right.maybe))}
     return out
 
 
+def _by_boundness(left: Relation, right: Relation, shared: list[str], unsure: list[str]) -> Relation:
+    """The inner join in parts by which unsure variables are bound on either side, so that bound ones are equi-join keys."""
+
+    def parts(side: Relation) -> list[tuple[set[str], Relation]]:
+        some, out = [n for n in unsure if n in side.maybe], []
+        for mask in range(1 << len(some)):
+            free = {n for i, n in enumerate(some) if mask >> i & 1}
+            df = side.df
+            for n in some:
+                df = df.where(F.col(f"v_{n}").isNull() if n in free else F.col(f"v_{n}").isNotNull())
+            out.append((free, Relation(df, side.specs, side.maybe)))
+        return out
+
+    found = []
+    for a, x in parts(left):
+        for b, y in parts(right):
+            keys = [n for n in shared if n not in a | b]
+            renamed = y.renamed("__r")
+            on = _condition(Relation(x.df, x.specs), Relation(y.df, y.specs), keys)
+            df = x.df.join(renamed, on, "inner") if keys else x.df.crossJoin(renamed)
+            terms = {n: y.term(n, "__r") if n in a else x.term(n) for n in left.specs}
+            terms |= {n: y.term(n, "__r") for n in right.specs if n not in shared}
+            found.append(build(df, terms))
+    return union(found) if len(found) > 1 else found[0]
+
+
+def flagged(left: Relation, right: Relation, name: str, negated: bool) -> Relation | None:
+    """left with a column that tells whether a compatible solution of right exists, by one join; None if a shared variable may be unbound."""
+    left, right, shared = aligned(left, right)
+    if not shared or any(n in left.maybe or n in right.maybe for n in shared):
+        return None
+    keys = right.select(shared).renamed("__r").distinct().withColumn("__there", F.lit(True))
+    there = F.coalesce(F.col("__there"), F.lit(False))
+    df = left.df.join(keys, _condition(left, right, shared), "left")
+    return Relation(df.select(*left.df.columns, (~there if negated else there).alias(name)), left.specs, left.maybe)
+
+
 def left_join(left: Relation, right: Relation, condition=None) -> Relation:
     """OPTIONAL; condition(scope) is a list of Terms that must be true for a match."""
     left, right, shared = aligned(left, right)
@@ -114,8 +153,8 @@ def exists(left: Relation, right: Relation, negated: bool, condition=None) -> Re
     return Relation(left.df.join(right.renamed("__r") if right.specs else right.df.limit(1), on, "left_anti" if negated else "left_semi"), left.specs, left.maybe)
 
 
-def union(parts: list[Relation]) -> Relation:
-    """UNION: bag union; variables that a part lacks are unbound in it."""
+def _padded(parts: list[Relation]) -> tuple[list[Relation], set[str]]:
+    """The parts with the same columns, and the variables that may be unbound: those that a part lacks are null in it."""
     names = list(dict.fromkeys(n for p in parts for n in p.specs))
     terms = [p.scope() for p in parts]
     for n in names:
@@ -132,8 +171,23 @@ def union(parts: list[Relation]) -> Relation:
                 null = F.lit(None).cast(parts[have[0]].df.select(like.col.alias("x")).schema["x"].dataType)
                 terms[i][n] = type(like)(like.kind, null, like.prefix, F.lit(None).cast("string") if like.kind == "lang" else None, F.lit(None).cast("double") if numeric else None, like.type)
     built = [build(p.df, {n: t[n] for n in names}) for p, t in zip(parts, terms, strict=True)]
+    return built, {n for n in names for p in parts if n not in p.specs or n in p.maybe}
+
+
+def union(parts: list[Relation]) -> Relation:
+    """UNION: bag union; variables that a part lacks are unbound in it."""
+    built, maybe = _padded(parts)
     df = built[0].df
     for b in built[1:]:
         df = df.unionByName(b.df)
-    maybe = {n for n in names for p in parts if n not in p.specs or n in p.maybe}
+    return Relation(df, built[0].specs, maybe)
+
+
+def intersect(parts: list[Relation]) -> Relation:
+    """INTERSECT: the solutions that all parts have, each once; variables that a part lacks are unbound in it."""
+    built, maybe = _padded(parts)
+    names = [c for n, spec in built[0].specs.items() for c in columns(n, spec)]
+    df = built[0].df.select(*names)
+    for b in built[1:]:
+        df = df.intersect(b.df.select(*names))
     return Relation(df, built[0].specs, maybe)

@@ -11,15 +11,16 @@ from ..storage import persisted
 def closure(pairs: DataFrame, start: Column | None = None, end: Column | None = None, most: int = 10_000) -> DataFrame:
     """Distinct (a, b) such that one or more steps lead from a to b; cycles end.
 
-    With `start` or `end` (constants) only paths from or to it are followed, in that direction.
-    Each round joins only the newest pairs with the steps and drops those already known.
+    With `start` or `end` (constants) only paths from or to it are followed, in that direction,
+    a step a round. Otherwise each round joins the newest pairs with all known ones, so that
+    paths double in length. Pairs already known are dropped.
     """
     steps = persisted(pairs.distinct())
     back = start is None and end is not None
     new = steps.where(F.col("b" if back else "a") == (end if back else start)) if start is not None or back else steps
     seen = new = persisted(new)
     for _ in range(most):
-        near = steps.select(F.col("a").alias("x"), F.col("b").alias("y"))
+        near = (seen if start is None and end is None else steps).select(F.col("a").alias("x"), F.col("b").alias("y"))
         if back:
             grown = near.join(new, F.col("y") == F.col("a")).select(F.col("x").alias("a"), "b")
         else:

@@ -86,6 +86,13 @@ class Union:
     parts: list
 
 
+@dataclass
+class Intersect:
+    """The solutions that all parts have, each once."""
+
+    parts: list
+
+
 @dataclass
 class Minus:
     left: Any

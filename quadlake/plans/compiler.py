@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from ..functions.expr import compile_expression, number_of, order_keys, text_of, truth_of
+from ..functions.expr import compile_expression, number_of, order_keys, text_of, truth_of, unify
 from ..functions.terms import Term, canonical
 from ..operators import joins
 from ..operators.paths import closure
-from .algebra import XSD, Bgp, Call, Distinct, Exists, Extend, Filter, Graph, Group, Iri, Join, LeftJoin, Minus, OrderBy, Path, Project, Slice, Triple, Union, Values, Var, expression_vars
+from .algebra import XSD, Bgp, Call, Distinct, Exists, Extend, Filter, Graph, Group, Intersect, Iri, Join, LeftJoin, Minus, OrderBy, Path, Project, Slice, Triple, Union, Values, Var, expression_vars
 from .optimizer import Fresh, flatten, merge, ordered, stars
 from .relation import Relation, build, columns, parts, spec_of
 
@@ -32,6 +32,32 @@ class Compiler:
     def compile(self, node, graph=None) -> Relation:
         return getattr(self, "_" + type(node).__name__.lower())(node, graph)
 
+    def branches(self, node, graph) -> list[Relation] | None:
+        """The parts of a pattern over one star that several tables have, with filters and assignments
+        done in each: a part's terms keep their native columns, so that its scan takes the filter."""
+        if isinstance(node, Bgp):
+            plain, others = flatten(node)
+            if others or any(isinstance(t.p, (Path, Var)) or t.p.value in PROPERTY_FUNCTIONS for t in plain) or isinstance(graph, Var):
+                return None
+            groups = stars(plain, self.source.keyed)
+            if len(groups) != 1:
+                return None
+            found = self.source.star(groups[0][0].s, [(t.p, t.o) for t in groups[0]], graph, self.default)
+            return found if len(found) > 1 else None
+        if isinstance(node, Filter) and not any(map(_has_exists, node.conditions)):
+            found = self.branches(node.pattern, graph)
+            return found and [self._kept(x, node.conditions) for x in found]
+        if isinstance(node, Extend) and not _has_exists(node.expr):
+            found = self.branches(node.pattern, graph)
+            return found and [self._assigned(x, node) for x in found]
+        return None
+
+    def _kept(self, out: Relation, conditions: list) -> Relation:
+        df, scope = out.df, out.scope()
+        for e in conditions:
+            df = df.where(truth_of(compile_expression(e, scope)))
+        return Relation(df, out.specs, out.maybe)
+
     def unit(self) -> Relation:
         return build(self.spark.range(1), {})
 
@@ -131,12 +157,26 @@ class Compiler:
         return inner.compile(node.pattern, node.name)
 
     def _values(self, node: Values, graph) -> Relation:
+        """One table of literal rows; UNDEF is unbound."""
         if not node.vars:
             return self.unit() if node.rows else build(self.spark.range(0), {})
-        parts_ = [build(self.spark.range(1), {n: compile_expression(x, {}) for n, x in zip(node.vars, row, strict=True) if x is not None}) for row in node.rows]
-        if not parts_:
+        if not node.rows:
             return build(self.spark.range(0), {n: Term("str", F.lit(None).cast("string")) for n in node.vars})
-        return joins.union(parts_) if len(parts_) > 1 else parts_[0]
+        one, fields, terms, maybe = self.spark.range(1), [[] for _ in node.rows], {}, set()
+        for k, n in enumerate(node.vars):
+            given = [i for i, row in enumerate(node.rows) if row[k] is not None]
+            same = unify([compile_expression(node.rows[i][k], {}) for i in given]) if given else [Term("str", F.lit(None).cast("string"))]
+            like = Term(same[0].kind, F.col(f"v_{n}"), same[0].prefix, F.col(f"v_{n}_lang") if same[0].kind == "lang" else None, None, same[0].type)
+            kind = one.select(same[0].col.alias("x")).schema["x"].dataType
+            for i, row in enumerate(fields):
+                t = same[given.index(i)] if i in given else None
+                row.append((t.col if t else F.lit(None)).cast(kind).alias(f"v_{n}"))
+                if like.kind == "lang":
+                    row.append((t.lang if t else F.lit(None)).cast("string").alias(f"v_{n}_lang"))
+            terms[n] = like
+            if len(given) < len(node.rows):
+                maybe.add(n)
+        return build(one.select(F.inline(F.array(*[F.struct(*row) for row in fields]))), terms, maybe)
 
     def _join(self, node: Join, graph) -> Relation:
         node = merge(node)
@@ -153,10 +193,15 @@ class Compiler:
     def _union(self, node: Union, graph) -> Relation:
         return joins.union([self.compile(p, graph) for p in node.parts])
 
+    def _intersect(self, node: Intersect, graph) -> Relation:
+        return joins.intersect([self.compile(p, graph) for p in node.parts])
+
     def _minus(self, node: Minus, graph) -> Relation:
         return joins.minus(self.compile(node.left, graph), self.compile(node.right, graph))
 
     def _filter(self, node: Filter, graph) -> Relation:
+        if found := self.branches(node, graph):
+            return joins.union(found)
         out = self.compile(node.pattern, graph)
         for e in node.conditions:
             inner, negated = e, False
@@ -192,13 +237,19 @@ class Compiler:
 
     def _marked(self, out: Relation, e: Exists, name: str, graph) -> Relation:
         """A column that tells whether the pattern holds, for EXISTS inside an expression."""
+        if not isinstance(e.pattern, Filter) and (flagged := joins.flagged(out, self.compile(e.pattern, graph), name, e.negated)):
+            return flagged
         yes = self._exists(out, Exists(e.pattern), False, graph)
         no = self._exists(out, Exists(e.pattern, True), False, graph)
         df = yes.df.withColumn(name, F.lit(not e.negated)).unionByName(no.df.withColumn(name, F.lit(e.negated)))
         return Relation(df, out.specs, out.maybe)
 
     def _extend(self, node: Extend, graph) -> Relation:
-        out = self.compile(node.pattern, graph)
+        if found := self.branches(node, graph):
+            return joins.union(found)
+        return self._assigned(self.compile(node.pattern, graph), node)
+
+    def _assigned(self, out: Relation, node: Extend) -> Relation:
         t = compile_expression(node.expr, out.scope())
         return Relation(out.df.select("*", *parts(node.var, t)), out.specs | {node.var: spec_of(t)}, out.maybe | {node.var})
 
@@ -247,6 +298,8 @@ class Compiler:
         return t, [f(t.col)]
 
     def _project(self, node: Project, graph) -> Relation:
+        if node.names and (found := self.branches(node.pattern, graph)):
+            return joins.union([self._projected(x, node.names) for x in found])
         out = self.compile(node.pattern, graph)
         return self._projected(out, node.names)
 
@@ -277,6 +330,10 @@ class Compiler:
         return Relation(df if node.limit is None else df.limit(node.limit), out.specs, out.maybe)
 
 
+def _has_exists(e) -> bool:
+    return isinstance(e, Exists) or isinstance(e, Call) and any(map(_has_exists, e.args))
+
+
 def instantiate(out: Relation, template: list, row_id: bool = False) -> Relation:
     """CONSTRUCT: the template's triples for every solution, each once; incomplete ones are left out."""
     scope = out.scope()
