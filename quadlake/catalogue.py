@@ -38,6 +38,8 @@ TEXTS: dict[str, tuple[str, str]] = {
     "filter_error": ("SELECT ?p WHERE { ?p :p_size ?s ; :p_name ?n FILTER(?n > 5 || ?s = 9) }", "SELECT 'http://example.org/part/' || p_partkey AS p FROM part WHERE p_size = 9"),
     "filter_ne": ("SELECT ?a ?b WHERE { ?x :r_name ?a . ?y :r_name ?b FILTER(?a != ?b) }", "SELECT a.r_name AS a, b.r_name AS b FROM region a, region b WHERE a.r_name <> b.r_name"),
     "same_var": ("SELECT ?x WHERE { ?x :n_nationkey ?k ; :n_name ?n . ?y :s_suppkey ?k }", "SELECT 'http://example.org/nation/' || n_nationkey AS x FROM nation JOIN supplier ON s_suppkey = n_nationkey"),
+    "same_var_twice": ("SELECT ?x WHERE { ?x :o_orderkey ?k ; :o_custkey ?c . ?c :c_custkey ?k }", "SELECT 'http://example.org/order/' || o_orderkey AS x FROM orders WHERE o_orderkey = o_custkey"),
+    "same_var_pattern": ("SELECT ?d WHERE { ?d ?p ?n ; :quality ?n ; :toxic ?n }", "SELECT 'http://example.org/label/' || doc_id AS d FROM labels, (VALUES (1), (2)) t(k) WHERE quality = toxic"),
     "optional": ("SELECT ?d ?q WHERE { ?d a :Doc OPTIONAL { ?l :doc_id ?d ; :quality ?q } }", "SELECT 'http://example.org/doc/' || d.doc_id AS d, quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
     "optional_filter": ("SELECT ?d ?q WHERE { ?d a :Doc ; :n_chars ?n OPTIONAL { ?l :doc_id ?d ; :quality ?q FILTER(?n > 1000) } }", "SELECT 'http://example.org/doc/' || d.doc_id AS d, quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id AND n_chars > 1000"),
     "optional_bound": ("SELECT ?d WHERE { ?d a :Doc OPTIONAL { ?l :doc_id ?d ; :quality ?q } FILTER(!BOUND(?q)) }", "SELECT 'http://example.org/doc/' || doc_id AS d FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
@@ -48,11 +50,11 @@ TEXTS: dict[str, tuple[str, str]] = {
     "minus": ("SELECT ?d WHERE { ?d a :Doc MINUS { ?l :doc_id ?d ; :toxic 0 } }", "SELECT 'http://example.org/doc/' || doc_id AS d FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 0)"),
     "minus_disjoint": ("SELECT ?r WHERE { ?x :r_name ?r MINUS { ?y :n_name ?n } }", "SELECT r_name AS r FROM region"),
     "exists": ("SELECT ?c WHERE { ?c a :Customer FILTER EXISTS { ?o :o_custkey ?c ; :o_orderstatus 'P' } }", "SELECT 'http://example.org/customer/' || c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')"),
-    "not_exists": ("SELECT ?c WHERE { ?c a :Customer FILTER NOT EXISTS { ?o :o_custkey ?c } }", "SELECT 'http://example.org/customer/' || c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
+    "not_exists": ("SELECT ?c WHERE { ?c a :Customer FILTER NOT EXISTS { ?o :o_custkey ?c ; :o_totalprice ?t FILTER(?t > 250000) } }", "SELECT 'http://example.org/customer/' || c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)"),
     "exists_correlated": ("SELECT ?c WHERE { ?c :c_acctbal ?b FILTER EXISTS { ?o :o_custkey ?c ; :o_totalprice ?t FILTER(?t > ?b * 30) } }", "SELECT 'http://example.org/customer/' || c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 30)"),
     "exists_in_or": ("SELECT ?n WHERE { ?k :n_name ?n ; :n_nationkey ?i FILTER(?i < 3 || EXISTS { ?s :s_nationkey ?k }) }", "SELECT n_name AS n FROM nation WHERE n_nationkey < 3 OR EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey)"),
     "values": ("SELECT ?x ?n WHERE { VALUES ?n { 'ASIA' 'EUROPE' 'NOWHERE' } ?x :r_name ?n }", "SELECT 'http://example.org/region/' || r_regionkey AS x, r_name AS n FROM region WHERE r_name IN ('ASIA', 'EUROPE', 'NOWHERE')"),
-    "bind": ("SELECT ?p ?v WHERE { ?p :p_retailprice ?r ; :p_size ?s BIND(?r * ?s AS ?v) FILTER(?v > 50000) }", "SELECT 'http://example.org/part/' || p_partkey AS p, p_retailprice * p_size AS v FROM part WHERE p_retailprice * p_size > 50000"),
+    "bind": ("SELECT ?p ?v WHERE { ?p :p_retailprice ?r ; :p_size ?s BIND(?r * ?s AS ?v) FILTER(?v > 20000) }", "SELECT 'http://example.org/part/' || p_partkey AS p, p_retailprice * p_size AS v FROM part WHERE p_retailprice * p_size > 20000"),
     "subselect": ("SELECT ?n ?m WHERE { ?k :n_name ?n { SELECT ?k (MAX(?b) AS ?m) WHERE { ?c :c_nationkey ?k ; :c_acctbal ?b } GROUP BY ?k } }", "SELECT n_name AS n, max(c_acctbal) AS m FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"),
     "distinct": ("SELECT DISTINCT ?b WHERE { ?p :p_brand ?b }", "SELECT DISTINCT p_brand AS b FROM part"),
     "reduced": ("SELECT REDUCED ?s WHERE { ?o :o_orderstatus ?s }", "SELECT DISTINCT o_orderstatus AS s FROM orders"),
@@ -98,6 +100,30 @@ TEXTS: dict[str, tuple[str, str]] = {
     "unknown_constant": ("SELECT ?x WHERE { ?x :r_name 'ASIA' ; :noSuchPredicate ?y }", "SELECT '' AS x WHERE false"),
     "events_users": ("SELECT ?u (COUNT(*) AS ?n) (SUM(?v) AS ?t) WHERE { ?e :user_id ?u ; :value ?v ; :event_type 'click' } GROUP BY ?u", "SELECT 'http://example.org/user/' || user_id AS u, count(*) AS n, sum(value) AS t FROM events WHERE event_type = 'click' GROUP BY 1"),
     "url_objects": ("SELECT ?p ?u WHERE { ?p :url ?u FILTER(ISIRI(?u) && CONTAINS(STR(?u), 'example.org')) }", "SELECT 'http://example.org/page/' || page_id AS p, url AS u FROM pages WHERE contains(url, 'example.org')"),
+    # quantified comparison, intersection, patterns that are not constant
+    "compare_any": ("SELECT ?p WHERE { ?p :p_retailprice ?r FILTER(?r < ANY { SELECT ?a WHERE { ?c :c_acctbal ?a FILTER(?a < 1500) } }) }", "SELECT 'http://example.org/part/' || p_partkey AS p FROM part WHERE p_retailprice < (SELECT max(c_acctbal) FROM customer WHERE c_acctbal < 1500)"),
+    "compare_any_equal": ("SELECT ?p WHERE { ?p :p_size ?z FILTER(?z = ANY { SELECT ?k WHERE { ?n :n_nationkey ?k ; :n_regionkey <http://example.org/region/1> } }) }", "SELECT 'http://example.org/part/' || p_partkey AS p FROM part WHERE p_size IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)"),
+    "compare_all": ("SELECT ?c WHERE { ?c :c_acctbal ?a FILTER(?a >= ALL { SELECT ?b WHERE { ?s :s_acctbal ?b FILTER(?b < 9000) } }) }", "SELECT 'http://example.org/customer/' || c_custkey AS c FROM customer WHERE c_acctbal >= (SELECT max(s_acctbal) FROM supplier WHERE s_acctbal < 9000)"),
+    "compare_all_empty": ("SELECT ?r WHERE { ?x :r_regionkey ?r FILTER(?r > ALL { SELECT ?b WHERE { ?s :s_acctbal ?b FILTER(?b > 1e9) } }) }", "SELECT r_regionkey AS r FROM region"),
+    "intersect": ("SELECT ?n WHERE { { SELECT ?n WHERE { ?c :c_nationkey/:n_name ?n ; :c_acctbal ?a FILTER(?a > 5000) } } INTERSECT { SELECT ?n WHERE { ?s :s_nationkey/:n_name ?n } } }", "SELECT n_name AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 5000 INTERSECT SELECT n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey"),
+    "regex_variable": ("SELECT ?a ?b WHERE { ?x :n_name ?a . ?y :r_name ?b FILTER(REGEX(?a, CONCAT('^', SUBSTR(?b, 1, 2)))) }", "SELECT n_name AS a, r_name AS b FROM nation, region WHERE starts_with(n_name, substr(r_name, 1, 2))"),
+    "regex_flags_variable": ("SELECT ?a WHERE { ?x :n_name ?a VALUES (?p ?f) { ('^i' 'i') ('^J' '') } FILTER(REGEX(?a, ?p, ?f)) }", "SELECT n_name AS a FROM nation WHERE n_name LIKE 'I%' OR n_name LIKE 'J%'"),
+    "replace_variable": ("SELECT ?n ?t WHERE { ?x :n_name ?n ; :n_regionkey/:r_name ?r BIND(REPLACE(?n, SUBSTR(?r, 1, 1), SUBSTR(?r, 2, 1)) AS ?t) }", "SELECT n_name AS n, replace(n_name, substr(r_name, 1, 1), substr(r_name, 2, 1)) AS t FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    # functions with rows of their own
+    "label_function": ("SELECT ?n ?l WHERE { ?x :r_name ?n BIND(LABEL(?n) AS ?l) }", "SELECT r_name AS n, r_name AS l FROM region"),
+    "is_resource": ("SELECT ?x ?o WHERE { ?x :n_regionkey|:n_name ?o FILTER(ISRESOURCE(?o)) }", "SELECT 'http://example.org/nation/' || n_nationkey AS x, '<http://example.org/region/' || n_regionkey || '>' AS o FROM nation"),
+    "bnode_function": ("SELECT ?n ?same ?blank WHERE { ?x :r_name ?n BIND(BNODE(?n) AS ?b) BIND(BNODE(?n) = ?b AS ?same) BIND(ISBLANK(?b) AS ?blank) }", "SELECT r_name AS n, true AS same, true AS blank FROM region"),
+    "timezone_functions": ("SELECT ?n (TZ(?a) AS ?ta) (TZ(?b) AS ?tb) (STR(TIMEZONE(?c)) AS ?tc) WHERE { ?x :r_name ?n BIND(STRDT('2020-01-02T03:04:05Z', xsd:dateTime) AS ?a) BIND(STRDT('2020-01-02T03:04:05-05:30', xsd:dateTime) AS ?b) BIND(STRDT('2020-01-02T03:04:05+02:00', xsd:dateTime) AS ?c) }", "SELECT r_name AS n, 'Z' AS ta, '-05:30' AS tb, 'PT2H' AS tc FROM region"),
+    "random_functions": ("SELECT ?n ?in ?u ?id ?now WHERE { ?x :r_name ?n BIND(RAND() AS ?r) BIND(?r >= 0 && ?r < 1 AS ?in) BIND(STRLEN(STRUUID()) AS ?u) BIND(STRSTARTS(STR(UUID()), 'urn:uuid:') AS ?id) BIND(YEAR(NOW()) > 2020 AS ?now) }", "SELECT r_name AS n, true AS in, 36 AS u, true AS id, true AS now FROM region"),
+    "cast_datetime": ("SELECT ?n ?y ?d WHERE { ?x :r_name ?n ; :r_regionkey ?k BIND(YEAR(xsd:dateTime(CONCAT('202', STR(?k), '-05-06T07:08:09'))) AS ?y) BIND(xsd:decimal(CONCAT(STR(?k), '.25')) AS ?d) }", "SELECT r_name AS n, 2020 + r_regionkey AS y, r_regionkey + 0.25::DOUBLE AS d FROM region"),
+    "lang_any": ("SELECT (COUNT(*) AS ?n) WHERE { ?d :text ?t FILTER(LANGMATCHES(LANG(?t), '*')) }", "SELECT count(*) AS n FROM documents WHERE text IS NOT NULL AND lang <> ''"),
+    "str_misses": ("SELECT ?n ?a ?b WHERE { ?x :r_name ?n BIND(STRBEFORE(?n, 'zz') AS ?a) BIND(STRAFTER(?n, 'zz') AS ?b) }", "SELECT r_name AS n, '' AS a, '' AS b FROM region"),
+    "is_blank_true": ("SELECT ?n WHERE { ?x :r_name ?n BIND(BNODE() AS ?b) FILTER(ISBLANK(?b)) }", "SELECT r_name AS n FROM region"),
+    "same_term": ("SELECT ?a ?b WHERE { ?x :n_nationkey ?a ; :n_regionkey/:r_regionkey ?b FILTER(SAMETERM(?a, ?b)) }", "SELECT n_nationkey AS a, n_regionkey AS b FROM nation WHERE n_nationkey = n_regionkey"),
+    "count_distinct_star": ("SELECT ?r (COUNT(DISTINCT *) AS ?n) WHERE { { SELECT ?r ?m WHERE { ?c :c_nationkey/:n_regionkey/:r_name ?r ; :c_mktsegment ?m } } } GROUP BY ?r", "SELECT r_name AS r, count(DISTINCT c_mktsegment) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1"),
+    "hash_functions": ("SELECT ?n ?a ?b WHERE { ?x :r_name ?n BIND(STRLEN(SHA384(?n)) AS ?a) BIND(SHA512(?n) = SHA512(CONCAT(?n, '')) AS ?b) }", "SELECT r_name AS n, 96 AS a, true AS b FROM region"),
+    "values_undef": ("SELECT ?k ?n WHERE { VALUES (?k ?n) { (1 UNDEF) (UNDEF 'ASIA') (3 'EUROPE') (3 'ASIA') } ?x :r_regionkey ?k ; :r_name ?n }", "SELECT r_regionkey AS k, r_name AS n FROM region JOIN (VALUES (1, NULL), (NULL, 'ASIA'), (3, 'EUROPE'), (3, 'ASIA')) t(a, b) ON (a IS NULL OR a = r_regionkey) AND (b IS NULL OR b = r_name)"),
+    "not_exists_in_or": ("SELECT ?n WHERE { ?k :n_name ?n ; :n_nationkey ?i FILTER(?i < 3 || NOT EXISTS { ?s :s_nationkey ?k } || EXISTS { ?c :c_nationkey ?k ; :c_mktsegment 'BUILDING' }) }", "SELECT n_name AS n FROM nation WHERE n_nationkey < 3 OR NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey) OR EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_mktsegment = 'BUILDING')"),
 }
 
 _QUADS = """WITH q AS (

@@ -5,13 +5,14 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quadlake import catalogue
+from quadlake import catalogue, runner
 from quadlake.api import contexts, explain_algebra, sparql
 from quadlake.functions.terms import numeric
 from quadlake.plans.algebra import Bgp, Iri, Triple
 from quadlake.plans.compiler import PROPERTY_FUNCTIONS, register_property_function
 from quadlake.plans.parser import ParseError, parse
 from quadlake.sources.ntriples import parse_lines, parse_pattern
+from quadlake.sources.results import FORMATS, formatted, write_results
 from quadlake.sources.store import QuadStore
 from quadlake.streaming.loader import load_stream
 
@@ -89,7 +90,7 @@ def test_minus_and_union(store):
     assert len(get(sparql(store, "SELECT ?s WHERE { ?s <http://e/knows> ?o MINUS { ?s <http://e/name> ?n } }"))) == 3
 
 
-@pytest.mark.parametrize("lex,kind,value", [("2423", "integer", 2423), ("0", "positiveInteger", None), ("-1", "nonNegativeInteger", None), ("2147483648", "int", None), ("12323", "unsignedInt", 12323), ("4294967296", "unsignedInt", None), ("65536", "unsignedShort", None), ("168", "unsignedByte", 168), ("256", "unsignedByte", None), ("18446744073709551615", "unsignedLong", 18446744073709551615), ("-5", "nonPositiveInteger", -5), ("-1.5", "decimal", -1.5), ("12323.456", "int", None), ("x", "double", None)])
+@pytest.mark.parametrize("lex,kind,value", [("907", "integer", 907), ("0", "positiveInteger", None), ("-1", "nonNegativeInteger", None), ("2147483648", "int", None), ("4000000001", "unsignedInt", 4000000001), ("4294967296", "unsignedInt", None), ("65536", "unsignedShort", None), ("255", "unsignedByte", 255), ("256", "unsignedByte", None), ("18446744073709551615", "unsignedLong", 18446744073709551615), ("-5", "nonPositiveInteger", -5), ("-1.5", "decimal", -1.5), ("17.5", "int", None), ("x", "double", None)])
 def test_numeric_codec(spark, lex, kind, value):
     df = spark.range(1).select(numeric(F.lit(f'"{lex}"^^<http://www.w3.org/2001/XMLSchema#{kind}>')).alias("v"))
     assert df.first()[0] == (None if value is None else float(value))
@@ -138,6 +139,59 @@ def test_hot_predicate_is_split(spark):
     assert sorted((r.p, *e) for r in parts for e in r.entries) == sorted({(p, s, o) for s, p, o, _ in rows})
 
 
+def test_result_formats(store, spark, tmp_path):
+    import csv
+    import json
+    import xml.etree.ElementTree as tree
+
+    text = "SELECT ?s ?v ?n WHERE { ?s <http://e/age> ?v OPTIONAL { ?s <http://e/name> ?n } } ORDER BY ?s"
+    made = {f: [r.value for r in formatted(store, text, f).collect()] for f in FORMATS}
+    rows = sorted(map(str, sparql(store, text).collect()))
+    found = json.loads("\n".join(made["json"]))
+    assert found["head"]["vars"] == ["s", "v", "n"] and len(found["results"]["bindings"]) == len(rows)
+    assert found["results"]["bindings"][0]["s"] == {"type": "uri", "value": "http://e/a"}
+    assert any(b.get("n", {}).get("xml:lang") == "en" and b["n"]["value"] == 'a "quoted" • name' for b in found["results"]["bindings"])
+    assert all("datatype" in b["v"] for b in found["results"]["bindings"])
+    root = tree.fromstring("\n".join(made["xml"]))
+    results = root.findall(".//{http://www.w3.org/2005/sparql-results#}result")
+    assert len(results) == len(rows) and any(x.text == 'a "quoted" • name' for x in root.iter())
+    table = list(csv.reader(made["csv"]))
+    assert table[0] == ["s", "v", "n"] and table[1][0] == "http://e/a" and len(table) == len(rows) + 1
+    assert made["tsv"][0] == "?s\t?v\t?n" and made["tsv"][1].startswith("<http://e/a>\t") and len(made["text"]) == len(table)
+    write_results(store, text, f"{tmp_path}/out", "json")
+    assert json.loads("\n".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))) == found
+    empty = formatted(store, "SELECT ?x WHERE { ?x <http://e/nothing> ?y }", "json").collect()
+    assert json.loads("\n".join(r.value for r in empty))["results"]["bindings"] == []
+
+
+def test_runner(store, tmp_path):
+    (tmp_path / "mix").mkdir()
+    (tmp_path / "mix/b.rq").write_text("SELECT ?x\nWHERE { ?x <http://e/knows> ?y }")
+    (tmp_path / "mix/a.rq").write_text("ASK { ?x <http://e/knows> ?y }")
+    (tmp_path / "lines").write_text("# comment\n\nASK { ?x ?p ?y }\n")
+    (tmp_path / "patterns").write_text("<http://e/a> ? ? ?\n? <http://e/knows> ?\n")
+    mix = runner.queries_of_folder(f"{tmp_path}/mix")
+    assert [n for n, _ in mix] == ["a.rq", "b.rq"] and runner.queries_of_file(f"{tmp_path}/lines") == [("line3", "ASK { ?x ?p ?y }")]
+    times = runner.timed(store, mix, runs=2, warm=1)
+    assert [(n, run, rows) for n, run, _, rows in times] == [("a.rq", 0, 1), ("b.rq", 0, 4), ("a.rq", 1, 1), ("b.rq", 1, 4)]
+    runner.write_times(times, f"{tmp_path}/times.csv")
+    assert (tmp_path / "times.csv").read_text().startswith("query,run,microseconds,rows")
+    found = runner.matches(store, runner.patterns_of_file(f"{tmp_path}/patterns"))
+    assert found.where("pattern = 1").count() == 4 and found.where("pattern = 0").count() == store.match("<http://e/a>").count()
+
+
+def test_plans(spark, tiny):
+    """What the plans of some queries must have, and must not."""
+
+    def plan(name):
+        return catalogue.queries()[name](spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "replace" not in plan("lang_matches") and "lang" in plan("lang_matches")
+    assert plan("values").count("Range (0, 1") <= 1
+    assert plan("exists_in_or").count("LeftSemi") + plan("exists_in_or").count("LeftAnti") == 0
+    assert "OR isnull" not in plan("optional_join_maybe").split("Join Inner", 1)[-1][:300]
+
+
 def test_errors_and_tools():
     with pytest.raises(ParseError):
         parse("SELECT ?x WHERE { SERVICE <http://e/> { ?x ?p ?o } }")
