@@ -12,6 +12,7 @@ from .plans.algebra import Bgp, Iri, Query, Triple, Union, Var, graph_terms
 from .plans.compiler import Compiler, instantiate
 from .plans.parser import parse
 from .plans.relation import Relation, build
+from .sources.ids import IdStore, needed
 
 
 def result(out: Relation) -> DataFrame:
@@ -26,7 +27,7 @@ def result(out: Relation) -> DataFrame:
 def sparql(source, text: str) -> DataFrame:
     """SELECT: a column a variable. ASK: result. CONSTRUCT and DESCRIBE: s, p, o."""
     q = parse(text)
-    compiler = Compiler(source, q.default_graphs, q.named_graphs)
+    compiler = compiler_for(source, q)
     if q.form == "select":
         return result(compiler.compile(q.pattern))
     if q.form == "ask":
@@ -37,6 +38,17 @@ def sparql(source, text: str) -> DataFrame:
     return describe(compiler, q)
 
 
+def compiler_for(source, q: Query) -> Compiler:
+    """A compiler of the query's data set; a store of ids learns the query's constants first."""
+    wanted = None
+    if isinstance(source, IdStore):
+        source.learn(q)
+        wanted = needed(q)
+        if wanted is not None:
+            wanted = wanted | {x.name for x in graph_terms(q.pattern) if isinstance(x, Var) and q.named_graphs}
+    return Compiler(source, q.default_graphs, q.named_graphs, wanted)
+
+
 def describe(compiler: Compiler, q: Query) -> DataFrame:
     """All statements about the resources, and about the blank nodes that they lead to."""
     found = compiler.compile(q.pattern)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .api import sparql, statements
 from .functions.terms import datatype, is_blank, is_iri, numeric
 from .plans.algebra import Iri, Literal
+from .sources.ids import IdStore
 from .sources.mapping import MappedGraph, standard_mapping
 from .sources.ntriples import parse_lines
 from .sources.store import QuadStore
@@ -159,11 +160,22 @@ def small_store(spark: SparkSession, sf_dir: str) -> QuadStore:
 _stored: dict[str, tuple[SparkSession, QuadStore]] = {}
 
 
+_ids: dict[str, tuple[SparkSession, IdStore]] = {}
+
+
+def id_store(spark: SparkSession, sf_dir: str) -> IdStore:
+    """All mapped tables as stored quads of ids, written once for a session and folder."""
+    known = _ids.get(sf_dir)
+    if known is None or known[0] is not spark:
+        _ids[sf_dir] = (spark, IdStore.of(whole_store(spark, sf_dir)))
+    return _ids[sf_dir][1]
+
+
 def whole_store(spark: SparkSession, sf_dir: str) -> QuadStore:
-    """All mapped tables as stored quads, written once for a session and folder."""
+    """All mapped tables as stored quads in all sort orders, written once for a session and folder."""
     known = _stored.get(sf_dir)
     if known is None or known[0] is not spark:
-        _stored[sf_dir] = (spark, QuadStore(spark, persisted(QuadStore.of(statements(mapped_tables(spark, sf_dir))).quads)))
+        _stored[sf_dir] = (spark, QuadStore(spark, persisted(QuadStore.of(statements(mapped_tables(spark, sf_dir))).quads)).laid_out())
     return _stored[sf_dir][1]
 
 
@@ -240,6 +252,18 @@ def _lines(store: QuadStore) -> DataFrame:
     return QuadStore.of(parse_lines(lines)).quads.select("s", "p", "o", "g")
 
 
+def _loaded_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of one table gets ids, then all tables are loaded: what its ids and quads are then."""
+    first = small_store(spark, sf_dir).dictionary()
+    store = whole_store(spark, sf_dir)
+    grown = IdStore.of(store, first, ("spog",))
+    ids = grown.dictionary.agg(F.count("*").alias("terms"), F.count_distinct("id").alias("ids"))
+    kept = grown.dictionary.join(first.select("id", F.col("term").alias("old")), "id").agg(F.count("*").alias("known"), F.sum(F.when(F.col("term") == F.col("old"), 1).otherwise(0)).alias("same"))
+    quads = grown.layouts["spog"].agg(F.count("*").alias("quads"))
+    row = ids.crossJoin(kept).crossJoin(quads)
+    return row.select((F.col("terms") == F.col("ids")).alias("unique_ids"), (F.col("known") == F.col("same")).alias("kept_ids"), "terms", "quads")
+
+
 def _kinds(store: QuadStore) -> DataFrame:
     t = F.col("term")
     kind = F.when(is_iri(t), "iri").when(is_blank(t), "blank").when(numeric(t).isNotNull(), "numeric").when(datatype(t).isNotNull(), "literal")
@@ -273,6 +297,15 @@ _STORE: dict[str, tuple[Callable, str]] = {
     "property_table": (lambda spark, d: small_store(spark, d).property_table([f"<{BASE}n_name>", f"<{BASE}r_name>"]).select("s", F.col(f"`<{BASE}n_name>`")[0].alias("n"), F.col(f"`<{BASE}r_name>`")[0].alias("r")), "SELECT '<http://example.org/nation/' || n_nationkey || '>' AS s, '\"' || n_name || '\"' AS n, NULL AS r FROM nation UNION ALL SELECT '<http://example.org/region/' || r_regionkey || '>', NULL, '\"' || r_name || '\"' FROM region"),
     "subject_lookup": (lambda spark, d: whole_store(spark, d).subject(BASE + "nation/3"), _QUADS + "SELECT p, o FROM q WHERE s = '<http://example.org/nation/3>'"),
     "predicate_statistics": (lambda spark, d: small_store(spark, d).statistics(), _QUADS + "SELECT p, count(*) AS quads, count(DISTINCT s) AS subjects, count(DISTINCT o) AS objects FROM q GROUP BY p"),
+    # Joins of ids with terms looked up at the end, over all mapped tables.
+    "id_join": (_over_store("SELECT ?n ?r WHERE { ?k :n_name ?n ; :n_regionkey/:r_name ?r }", id_store), "SELECT '\"' || n_name || '\"' AS n, '\"' || r_name || '\"' AS r FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "id_chain": (_over_store("SELECT ?r (COUNT(*) AS ?n) (SUM(?q) AS ?qty) WHERE { ?l :l_orderkey ?o ; :l_quantity ?q . ?o :o_custkey ?c . ?c :c_nationkey ?k . ?k :n_regionkey/:r_name ?r } GROUP BY ?r", id_store), "SELECT '\"' || r_name || '\"' AS r, count(*) AS n, sum(l_quantity) AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1"),
+    "id_filter": (_over_store("SELECT ?p ?v WHERE { ?p :p_size ?v ; a :Part FILTER(?v >= 49) }", id_store), "SELECT '<http://example.org/part/' || p_partkey || '>' AS p, '\"' || p_size || '\"^^<http://www.w3.org/2001/XMLSchema#int>' AS v FROM part WHERE p_size >= 49"),
+    "id_optional": (_over_store("SELECT ?n ?s WHERE { ?k :n_name ?n OPTIONAL { ?s :s_nationkey ?k ; :s_acctbal ?a FILTER(?a > 5000) } }", id_store), "SELECT '\"' || n_name || '\"' AS n, '<http://example.org/supplier/' || s_suppkey || '>' AS s FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000"),
+    "id_graph": (_over_store(_GRAPHS, id_store), _ALL_QUADS + "SELECT g, count(*) AS n FROM q GROUP BY g"),
+    "id_unknown": (_over_store("SELECT ?s WHERE { ?s :nowhere ?o }", id_store), "SELECT '' AS s WHERE false"),
+    "id_predicates_of_object": (_over_store("SELECT DISTINCT ?p WHERE { ?s ?p 'ASIA' }", id_store), "SELECT '<http://example.org/r_name>' AS p"),
+    "dict_loaded_twice": (_loaded_twice, _ALL_QUADS + "SELECT true AS unique_ids, true AS kept_ids, (SELECT count(DISTINCT t) FROM (SELECT s AS t FROM q UNION ALL SELECT p FROM q UNION ALL SELECT o FROM q UNION ALL SELECT g FROM q)) AS terms, (SELECT count(*) FROM q) AS quads"),
     # The same layouts over all mapped tables; the SQL of the queries above covers regions and nations alone.
     "all_quads": (lambda spark, d: whole_store(spark, d).match(), _ALL_QUADS + "SELECT s, p, o, g FROM q"),
     "all_store_graph": (_over_store(_GRAPHS), _ALL_QUADS + "SELECT g, count(*) AS n FROM q GROUP BY g"),

@@ -26,8 +26,9 @@ def register_property_function(iri: str, function: Callable[[Compiler, Triple, o
 class Compiler:
     """source: a mapped graph or a quad store; default and named: graphs of FROM and FROM NAMED."""
 
-    def __init__(self, source, default: list[str] = (), named: list[str] = ()):
-        self.source, self.spark, self.default, self.named = source, source.spark, list(default), list(named)
+    def __init__(self, source, default: list[str] = (), named: list[str] = (), wanted: set[str] | None = None):
+        """wanted: the variables to decode, if the source holds ids (None: all)."""
+        self.source, self.spark, self.default, self.named, self.wanted = source, source.spark, list(default), list(named), wanted
 
     def compile(self, node, graph=None) -> Relation:
         return getattr(self, "_" + type(node).__name__.lower())(node, graph)
@@ -66,10 +67,20 @@ class Compiler:
         plain, others = flatten(node)
         special = [t for t in plain if isinstance(t.p, Iri) and t.p.value in PROPERTY_FUNCTIONS]
         plain = [t for t in plain if t not in special]
-        out = None
-        for group in ordered(stars(plain, self.source.keyed)):
+        out, groups, paths = None, ordered(stars(plain, self.source.keyed)), []
+        if hasattr(self.source, "decode"):  # paths give terms, so they wait until ids have become terms
+            paths = [g for g in groups if isinstance(g[0].p, Path)]
+            groups = [g for g in groups if g not in paths]
+        for group in groups:
             found = self._group_of_triples(group, graph)
             out = found if out is None else joins.join(out, found)
+        if out is not None and hasattr(self.source, "decode"):
+            out = self.source.decode(out, None if others or special or paths else self.wanted)
+        for group in paths:
+            found = self._group_of_triples(group, graph)
+            out = found if out is None else joins.join(out, found)
+        if out is not None and isinstance(graph, Var) and self.named and graph.name in out.specs:
+            out = Relation(out.df.where(text_of(out.term(graph.name)).isin(self.named)), out.specs, out.maybe)
         for x in others:
             found = self.compile(x, graph)
             out = found if out is None else joins.join(out, found)
@@ -89,21 +100,18 @@ class Compiler:
             found = self.source.star(first.s, [(t.p, t.o) for t in group], graph, self.default)
         if not found:
             return build(self.spark.range(0), {n: Term("str", F.lit(None).cast("string")) for n in names})
-        out = found[0] if len(found) == 1 else joins.union(found)
-        if isinstance(graph, Var) and self.named:
-            out = Relation(out.df.where(text_of(out.term(graph.name)).isin(self.named)), out.specs, out.maybe)
-        return out
+        return found[0] if len(found) == 1 else joins.union(found)
 
     def _path(self, t: Triple, graph) -> Relation:
-        p = t.p
+        p, inner = t.p, Compiler(self.source, self.default, self.named)
         a, b = Fresh.var(), Fresh.var()
         if p.op == "!":
             v = Fresh.var()
             forward = [x.value for x in p.args if isinstance(x, Iri)]
-            found = self.compile(Bgp([Triple(a, v, b)]), graph)
+            found = inner.compile(Bgp([Triple(a, v, b)]), graph)
             steps = Relation(found.df.where(~text_of(found.term(v.name)).isin(forward)), found.specs).select([a.name, b.name])
         else:
-            steps = self.compile(Bgp([Triple(a, p.args[0], b)]), graph).select([a.name, b.name])
+            steps = inner.compile(Bgp([Triple(a, p.args[0], b)]), graph).select([a.name, b.name])
         ends = joins.unify([steps.term(a.name), steps.term(b.name)])
         if ends[0].kind == "lang":
             ends = [Term("term", canonical(x)) for x in ends]
@@ -125,7 +133,7 @@ class Compiler:
             if start is not None or end is not None:
                 same = self.spark.range(1).select((start if start is not None else end).alias("a")).select("a", F.col("a").alias("b"))
             else:
-                every = self.compile(Union([Bgp([Triple(a, Var("__q"), Var("__o"))]), Bgp([Triple(Var("__s"), Var("__q"), a)])]), graph).select([a.name])
+                every = inner.compile(Union([Bgp([Triple(a, Var("__q"), Var("__o"))]), Bgp([Triple(Var("__s"), Var("__q"), a)])]), graph).select([a.name])
                 node = every.term(a.name)
                 if kind.kind == "key":
                     pairs, kind = pairs.select(text_of(kind.on(F.col("a"))).alias("a"), text_of(kind.on(F.col("b"))).alias("b")), Term("iri", F.col("a"))
@@ -153,7 +161,7 @@ class Compiler:
         if isinstance(node.name, Iri) and self.named and node.name.value not in self.named:
             names = sorted(self.compile(node.pattern, node.name).specs)
             return build(self.spark.range(0), {n: Term("str", F.lit(None).cast("string")) for n in names})
-        inner = Compiler(self.source, [], self.named)
+        inner = Compiler(self.source, [], self.named, self.wanted)
         return inner.compile(node.pattern, node.name)
 
     def _values(self, node: Values, graph) -> Relation:

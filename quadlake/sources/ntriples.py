@@ -11,6 +11,7 @@ from ..functions.terms import numeric
 from ..plans.algebra import Iri, Literal
 from ..plans.parser import unescape
 
+#: Fixed value: the graph of statements without one, in data that is exchanged.
 DEFAULT_GRAPH = "http://DEFAULT_CONTEXT"
 _IRI, _BLANK = r"<[^<>\"{}|^`\\\s]*>", r"_:[A-Za-z0-9_][\w.-]*"
 #: Possessive, so that a long literal is matched in a loop and not on the stack.

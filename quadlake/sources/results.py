@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..api import compiler_for
 from ..functions.terms import canonical, datatype, is_blank, is_iri, language, lexical
 from ..plans.algebra import XSD
-from ..plans.compiler import Compiler
 from ..plans.parser import parse
 from ..storage import persisted
 
@@ -64,7 +64,7 @@ def formatted(source, text: str, format_: str = "json") -> DataFrame:
     q = parse(text)
     if q.form != "select":
         raise ValueError("only solutions of SELECT have these formats")
-    out = Compiler(source, q.default_graphs, q.named_graphs).compile(q.pattern)
+    out = compiler_for(source, q).compile(q.pattern)
     names, spark = list(out.specs), out.df.sparkSession
     terms = {n: canonical(out.term(n)) for n in names}
     if format_ in ("json", "xml"):

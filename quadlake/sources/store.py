@@ -6,7 +6,7 @@ range patterns are pruned by Parquet statistics. A dictionary gives ids to terms
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,12 +28,31 @@ def canonical_text(x) -> str:
     return f'"{body}"' + (f"@{x.lang}" if x.lang else f"^^<{x.dt}>" if x.dt and not x.dt.endswith("#string") else "")
 
 
+#: Sort orders of the quads; each combination of bound places has one that begins with some of them.
+ORDERS = ("spog", "posg", "ospg", "gspo")
+
+
+def access_path(bound: set[str], orders: tuple[str, ...] = ORDERS) -> str:
+    """The order with the longest beginning of bound places; the first of equal ones."""
+
+    def prefix(order: str) -> int:
+        return next((i for i, c in enumerate(order) if c not in bound), len(order))
+
+    return max(orders, key=prefix)
+
+
+def sorted_layout(quads: DataFrame, order: str) -> DataFrame:
+    """The quads as a stored table in ranges of that order, so that Parquet's statistics prune by its beginning."""
+    return persisted(quads.repartitionByRange(*order).sortWithinPartitions(*order))
+
+
 @dataclass
 class QuadStore:
-    """quads: s, p, o, g, o_num."""
+    """quads: s, p, o, g, o_num; layouts: the same in several sort orders."""
 
     spark: SparkSession
     quads: DataFrame
+    layouts: dict[str, DataFrame] = field(default_factory=dict)
 
     @classmethod
     def of(cls, statements: DataFrame) -> QuadStore:
@@ -55,6 +74,14 @@ class QuadStore:
         writer = spread.write.mode("overwrite")
         (writer.partitionBy("p") if by_predicate else writer).parquet(path)
 
+    def laid_out(self, orders: tuple[str, ...] = ORDERS) -> QuadStore:
+        """The store with its quads stored in those orders; patterns read the one that suits their bound places."""
+        layouts = {x: sorted_layout(self.quads, x) for x in orders}
+        return QuadStore(self.spark, layouts[orders[0]], layouts)
+
+    def _suited(self, bound: set[str]) -> DataFrame:
+        return self.layouts[access_path(bound, tuple(self.layouts))] if self.layouts else self.quads
+
     def add(self, statements: DataFrame) -> QuadStore:
         """The store with more statements; quads that it has already stay single."""
         new = QuadStore.of(statements).quads
@@ -68,7 +95,7 @@ class QuadStore:
     # patterns
     def match(self, s=None, p=None, o=None, g=None, low: float | None = None, high: float | None = None) -> DataFrame:
         """Quads that fit the pattern (None: any); low and high bound the object's value, inclusively."""
-        df = self.quads
+        df = self._suited({n for n, x in zip("spog", (s, p, o, g), strict=True) if x is not None})
         for name, x in zip("spog", (s, p, o, g), strict=True):
             if x is not None:
                 df = df.where(F.col(name) == canonical_text(x))
@@ -82,6 +109,10 @@ class QuadStore:
         found = self.match(s, p, o, g)
         return (found if limit is None else found.limit(limit)).count()
 
+    def warm(self) -> dict[str, int]:
+        """Reads every layout once: rows by order ('' for the plain quads)."""
+        return {name: df.count() for name, df in (self.layouts or {"": self.quads}).items()}
+
     def has(self, s, p, o, g=None) -> bool:
         return not self.match(s, p, o, g).limit(1).isEmpty()
 
@@ -162,14 +193,15 @@ class QuadStore:
         return self.quads.groupBy("p").agg(F.count("*").alias("quads"), F.count_distinct("s").alias("subjects"), F.count_distinct("o").alias("objects"))
 
     # for the compiler
-    def _rows(self, graph, default: list[str]) -> DataFrame:
+    def _rows(self, graph, default: list[str], bound: set[str]) -> DataFrame:
+        quads = self._suited(bound | ({"g"} if isinstance(graph, Iri) else set()))
         if graph is not None:
-            return self.quads.where(F.col("g") == canonical_text(graph)) if isinstance(graph, Iri) else self.quads
-        df = self.quads.where(F.col("g").isin([f"<{d}>" for d in default])) if default else self.quads
+            return quads.where(F.col("g") == canonical_text(graph)) if isinstance(graph, Iri) else quads
+        df = quads.where(F.col("g").isin([f"<{d}>" for d in default])) if default else quads
         return df.select("s", "p", "o", "o_num").distinct()
 
     def triple(self, s, p, o, graph=None, default: list[str] = ()) -> list[Relation]:
-        df, terms = self._rows(graph, default), {}
+        df, terms = self._rows(graph, default, {n for n, x in (("s", s), ("p", p), ("o", o)) if not isinstance(x, Var)}), {}
         places = [("s", s), ("p", p), ("o", o)] + ([("g", graph)] if isinstance(graph, Var) else [])
         for name, x in places:
             t = Term("term", F.col(name), num=F.col("o_num") if name == "o" else None)

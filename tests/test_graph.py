@@ -13,7 +13,8 @@ from quadlake.plans.compiler import PROPERTY_FUNCTIONS, register_property_functi
 from quadlake.plans.parser import ParseError, parse
 from quadlake.sources.ntriples import parse_lines, parse_pattern
 from quadlake.sources.results import FORMATS, formatted, write_results
-from quadlake.sources.store import QuadStore
+from quadlake.sources.ids import IdStore
+from quadlake.sources.store import ORDERS, QuadStore, access_path
 from quadlake.streaming.loader import load_stream
 
 LINES = [
@@ -139,6 +140,49 @@ def test_hot_predicate_is_split(spark):
     assert sorted((r.p, *e) for r in parts for e in r.entries) == sorted({(p, s, o) for s, p, o, _ in rows})
 
 
+def test_access_paths(store):
+    assert [access_path(set(b)) for b in ("", "s", "sp", "p", "po", "o", "so", "g", "gs", "spog", "pg")] == ["spog", "spog", "spog", "posg", "posg", "ospg", "ospg", "gspo", "gspo", "spog", "posg"]
+    laid = store.laid_out()
+    assert laid.warm() == {x: store.quads.count() for x in ORDERS}
+    for s, p, o, g in [(None, None, None, None), (Iri("http://e/a"), None, None, None), (None, None, Iri("http://e/b"), None), (None, Iri("http://e/knows"), None, None), (None, None, None, Iri("http://e/g1"))]:
+        assert get(laid.match(s, p, o, g)) == get(store.match(s, p, o, g))
+
+
+@pytest.mark.parametrize("text", [
+    "SELECT ?x ?y WHERE { ?x <http://e/knows> ?y . ?y <http://e/knows> ?z . ?z <http://e/age> ?v FILTER(?v > 4) }",
+    "SELECT * WHERE { ?x <http://e/age> ?v OPTIONAL { ?x <http://e/name> ?n } }",
+    "SELECT ?g ?x WHERE { GRAPH ?g { ?x ?p <http://e/b> } }",
+    "SELECT ?x FROM <http://e/g1> WHERE { ?x ?p ?o }",
+    "SELECT ?x ?g FROM NAMED <http://e/g1> WHERE { GRAPH ?g { ?x ?p ?o } }",
+    "SELECT ?y WHERE { <http://e/a> <http://e/knows>+ ?y . ?y <http://e/age> ?v }",
+    "SELECT ?x WHERE { ?x <http://e/knows> ?x }",
+    "SELECT ?x (COUNT(?y) AS ?n) WHERE { ?x <http://e/knows> ?y MINUS { ?x <http://e/name> ?m } } GROUP BY ?x",
+    "SELECT ?x WHERE { ?x <http://e/age> ?v FILTER(EXISTS { ?x <http://e/name> ?n } || ?v = 5) }",
+    "SELECT ?x ?y WHERE { { ?x <http://e/knows> ?y } UNION { ?y <http://e/knows> ?x } }",
+    "ASK { ?x <http://e/nothing> ?y }",
+    "CONSTRUCT { ?y <http://e/knownBy> ?x } WHERE { ?x <http://e/knows> ?y }",
+])
+def test_ids_give_the_same(store, text):
+    def shown(source):
+        return sorted(str(sorted(r.asDict().items())) for r in sparql(source, text).collect())
+
+    assert shown(IdStore.of(store)) == shown(store)
+
+
+def test_ids_join_before_terms(store):
+    """The joins of a pattern are over numbers; of its three variables one is decoded."""
+    ids = IdStore.of(store)
+    plan = sparql(ids, "SELECT ?x WHERE { ?x <http://e/knows> ?y . ?y <http://e/knows> ?z }")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("term#") and plan.count("Join Inner") == 2
+
+
+def test_ids_after_a_single_known_one(store, spark):
+    """A dictionary whose largest id is 0 grows from 1 on."""
+    one = spark.createDataFrame([(0, "<http://e/a>")], "id long, term string").withColumns({c: F.lit(None).cast(t) for c, t in (("kind", "tinyint"), ("lex", "string"), ("dt", "string"), ("lang", "string"))})
+    grown = store.dictionary(one)
+    assert grown.count() == grown.select("id").distinct().count() and grown.where("id = 0").select("term").first()[0] == "<http://e/a>"
+
+
 def test_result_formats(store, spark, tmp_path):
     import csv
     import json
