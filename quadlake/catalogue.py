@@ -107,8 +107,8 @@ TEXTS: dict[str, tuple[str, str]] = {
     "compare_all": ("SELECT ?c WHERE { ?c :c_acctbal ?a FILTER(?a >= ALL { SELECT ?b WHERE { ?s :s_acctbal ?b FILTER(?b < 9000) } }) }", "SELECT 'http://example.org/customer/' || c_custkey AS c FROM customer WHERE c_acctbal >= (SELECT max(s_acctbal) FROM supplier WHERE s_acctbal < 9000)"),
     "compare_all_empty": ("SELECT ?r WHERE { ?x :r_regionkey ?r FILTER(?r > ALL { SELECT ?b WHERE { ?s :s_acctbal ?b FILTER(?b > 1e9) } }) }", "SELECT r_regionkey AS r FROM region"),
     "intersect": ("SELECT ?n WHERE { { SELECT ?n WHERE { ?c :c_nationkey/:n_name ?n ; :c_acctbal ?a FILTER(?a > 5000) } } INTERSECT { SELECT ?n WHERE { ?s :s_nationkey/:n_name ?n } } }", "SELECT n_name AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 5000 INTERSECT SELECT n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey"),
-    "regex_variable": ("SELECT ?a ?b WHERE { ?x :n_name ?a . ?y :r_name ?b FILTER(REGEX(?a, CONCAT('^', SUBSTR(?b, 1, 2)))) }", "SELECT n_name AS a, r_name AS b FROM nation, region WHERE starts_with(n_name, substr(r_name, 1, 2))"),
-    "regex_flags_variable": ("SELECT ?a WHERE { ?x :n_name ?a VALUES (?p ?f) { ('^i' 'i') ('^J' '') } FILTER(REGEX(?a, ?p, ?f)) }", "SELECT n_name AS a FROM nation WHERE n_name LIKE 'I%' OR n_name LIKE 'J%'"),
+    "regex_variable": ("SELECT ?a ?k WHERE { ?x :n_name ?a . ?y :r_regionkey ?k FILTER(REGEX(?a, CONCAT('o.*', STR(?k), '$'), 'i')) }", "SELECT n_name AS a, r_regionkey AS k FROM nation, region WHERE regexp_matches(n_name, 'O.*' || r_regionkey || '$')"),
+    "regex_flags_variable": ("SELECT ?a WHERE { ?x :n_name ?a VALUES (?p ?f) { ('^NaTiOn_?1' 'i') ('^nation' '') ('2$' '') } FILTER(REGEX(?a, ?p, ?f)) }", "SELECT n_name AS a FROM nation WHERE regexp_matches(n_name, '^NATION_?1', 'i') UNION ALL SELECT n_name FROM nation WHERE regexp_matches(n_name, '^nation') UNION ALL SELECT n_name FROM nation WHERE regexp_matches(n_name, '2$')"),
     "replace_variable": ("SELECT ?n ?t WHERE { ?x :n_name ?n ; :n_regionkey/:r_name ?r BIND(REPLACE(?n, SUBSTR(?r, 1, 1), SUBSTR(?r, 2, 1)) AS ?t) }", "SELECT n_name AS n, replace(n_name, substr(r_name, 1, 1), substr(r_name, 2, 1)) AS t FROM nation JOIN region ON n_regionkey = r_regionkey"),
     # functions with rows of their own
     "label_function": ("SELECT ?n ?l WHERE { ?x :r_name ?n BIND(LABEL(?n) AS ?l) }", "SELECT r_name AS n, r_name AS l FROM region"),
