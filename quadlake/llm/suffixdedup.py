@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import discard, freed, pieces, PrefixHash, row_id, signed, slices, stored, texts
 
-#: Bytes of a string that is removed where it repeats, and of one that is reported as a passage:
-#: passages of over 50 words are longer than that.
-WIDTH, PASSAGE = 400, 200
+#: Bytes of a string that is removed where it repeats; bytes of the strings that passages consist
+#: of, and words of a passage: what white space separates.
+WIDTH, PASSAGE, WORDS = 400, 200, 51
 MOST = 4096
 
 
@@ -328,19 +328,21 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, within: DataFrame | None
     return out
 
 
-def _removed(raw: bytes, spans: list[bytes] | None) -> tuple[bytes, np.ndarray]:
-    """What stays of the bytes, and the ranges that go."""
+def _removed(raw: bytes, spans: list[bytes] | None, words: int = 0) -> tuple[bytes, np.ndarray]:
+    """What stays of the bytes, and the ranges that go: those of so many words, or of WIDTH bytes."""
     own = _merged(np.frombuffer(b"".join(spans), np.int64).reshape(-1, 2)) if spans else np.empty((0, 2), np.int64)
+    if words:
+        own = own[[b - a >= WIDTH or len(raw[a:b].split()) >= words for a, b in own.tolist()]]
     edges = [0, *own.ravel().tolist(), len(raw)]
     return b"".join([raw[a:b] for a, b in zip(edges[0::2], edges[1::2], strict=True)]), own
 
 
-def substring_digests(docs: DataFrame, width: int = WIDTH, passage: int = PASSAGE) -> DataFrame:
+def substring_digests(docs: DataFrame, width: int = WIDTH, passage: int = PASSAGE, words: int = WORDS) -> DataFrame:
     """What removing every byte of a repeated string of `width` bytes leaves of each document.
 
-    Columns doc_id, n_bytes, n_removed, n_spans, kept_sha256; and passage_bytes, n_passages: the
-    bytes and maximal runs of what strings of `passage` bytes repeat, whether they go or not
-    (passage is at most width). Null and empty texts and texts under `passage` bytes lose
+    Columns doc_id, n_bytes, n_removed, n_spans, kept_sha256; and passage_bytes, n_passages of the
+    passages that without_repeats() would remove, whether they go here or not (passage is at most
+    width). Null and empty texts and texts under `passage` bytes lose
     nothing; repeated rows are repeats of each other; doc_id identifies a text, and rows without
     one are told apart by their text; an empty table gives an empty one; columns other than
     doc_id and text are not read. Texts of any length are read in steps of 4,000,000 bytes.
@@ -352,7 +354,7 @@ def substring_digests(docs: DataFrame, width: int = WIDTH, passage: int = PASSAG
             for text, fine, coarse in zip(texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 raw = text.encode()
                 kept, own = _removed(raw, fine)
-                rest, passages = _removed(raw, coarse)
+                rest, passages = _removed(raw, coarse, words)
                 out.append((len(raw), len(raw) - len(kept), len(own), hashlib.sha256(kept).hexdigest(), len(raw) - len(rest), len(passages)))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
             yield pa.record_batch([batch.column(0), *(pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), types, strict=True))], DIGESTS)
@@ -368,18 +370,19 @@ def substring_digests(docs: DataFrame, width: int = WIDTH, passage: int = PASSAG
 DIGESTS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "passage_bytes", "n_passages"]
 
 
-def without_repeats(docs: DataFrame, width: int = PASSAGE) -> DataFrame:
-    """The documents with strings of `width` bytes that stand anywhere else too removed from
-    `text`; all other columns as they were.
+def without_repeats(docs: DataFrame, width: int = PASSAGE, words: int = WORDS) -> DataFrame:
+    """The documents without repeated passages in `text`; all other columns as they were.
 
-    Bytes of a character that is cut through go too. A null text stays null, an empty one empty,
+    A passage is a maximal run of bytes covered by strings of `width` bytes that stand anywhere
+    else too, same document included, if it holds at least `words` words or WIDTH bytes; so short
+    quotations stay, and long ones in scripts without spaces go. Bytes of a character that is cut through go too. A null text stays null, an empty one empty,
     an empty table empty; texts of any length are read whole; and other columns may have any names.
     """
 
     def run(batches):
         for batch in pieces(batches):
             row = batch.column(0)
-            kept = [None if text is None else _removed(text.encode(), spans)[0].decode(errors="ignore") for text, spans in zip(row.field("text").to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            kept = [None if text is None else _removed(text.encode(), spans, words)[0].decode(errors="ignore") for text, spans in zip(row.field("text").to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.record_batch([pa.array(kept, pa.string()) if c == "text" else row.field(c) for c in names], names)
 
     names = docs.columns

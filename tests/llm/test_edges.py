@@ -1,6 +1,7 @@
 """Nulls in every column, repeated rows, long texts, clashing names; the pipeline against brute force."""
 
 import hashlib
+import re
 import zlib
 from collections import defaultdict
 
@@ -32,7 +33,7 @@ def shingled(text):
 
 
 def removal(texts, width=200):
-    """What the removal of repeated strings of that many bytes leaves of each text."""
+    """What is left of each text without runs of repeated strings of that many bytes, if they hold 51 words or 400 bytes."""
     raw, seen = [(t or "").encode() for t in texts], defaultdict(int)
     for t in raw:
         for i in range(len(t) - width + 1):
@@ -43,6 +44,9 @@ def removal(texts, width=200):
         for k in range(len(t) - width + 1):
             if seen[t[k : k + width]] > 1:
                 gone[k : k + width] = b"\1" * width
+        for run in re.finditer(b"\1+", bytes(gone)):
+            if len(run[0]) < 400 and len(t[run.start() : run.end()].split()) < 51:
+                gone[run.start() : run.end()] = bytes(len(run[0]))
         out.append(bytes(b for b, x in zip(t, gone, strict=True) if not x))
     return out
 
@@ -159,12 +163,12 @@ def test_word_keys():
 def test_pipeline_like_brute_force(spark, tmp_path):
     rng = np.random.default_rng(2)
     some = lambda n: " ".join(rng.choice([f"v{i}" for i in range(300)], n))
-    passage, short = some(150), some(51)
-    assert len(short) < 400
+    passage, short, quoted = some(150), some(51), some(46)
+    assert 200 < len(quoted) < len(short) < 400
     texts = [some(int(rng.integers(40, 200))) for _ in range(160)]
     for i in range(0, 60, 2):
         texts[i] += " vilething"
-    texts += [texts[101] + " tail", texts[101], f"{some(80)} {passage} {some(90)}", f"{some(70)} {passage} {some(60)}", f"{some(80)} {short} {some(70)}", f"{some(60)} {short}", None, ""]
+    texts += [texts[101] + " tail", texts[101], f"{some(80)} {passage} {some(90)}", f"{some(70)} {passage} {some(60)}", f"{some(80)} {short} {some(70)}", f"{some(60)} {short}", f"{some(75)} {quoted} {some(70)}", f"{quoted} {some(65)}", None, ""]
     source = [f"s{i % 3}" for i in range(len(texts))]
     documents = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, (t, s) in enumerate(zip(texts, source, strict=True))], "doc_id long, text string, lang string, source string, n_chars long")
     documents.write.parquet(f"{tmp_path}/documents.parquet")
@@ -180,4 +184,5 @@ def test_pipeline_like_brute_force(spark, tmp_path):
         assert r.ids_crc32 == zlib.crc32(packed[r.doc_id][r.start : r.start + r.length].tobytes()) and r.queue == source[r.doc_id]
         lengths[r.doc_id] += r.length
     assert lengths == {i: len(x) for i, x in packed.items()}
-    assert not any(short.encode() in t for t in removal([texts[i] for i in keep]))
+    left = removal([texts[i] for i in keep])
+    assert not any(short.encode() in t for t in left) and sum(quoted.encode() in t for t in left) == 2

@@ -197,6 +197,13 @@ def removed(raw, width):
     return out
 
 
+def passages_of(text, gone):
+    """Bytes and number of the runs of 51 words or 400 bytes."""
+    edges = np.flatnonzero(np.diff(gone.astype(int), prepend=0)).reshape(-1, 2).tolist()
+    kept = [b - a for a, b in edges if b - a >= 400 or len(text[a:b].split()) >= 51]
+    return sum(kept), len(kept)
+
+
 def spans_of(gone):
     return int((gone[1:] < gone[:-1]).sum())
 
@@ -209,7 +216,7 @@ def test_suffix_dedup(docs, monkeypatch, most):
     for i, r in by_id(suffixdedup.substring_digests(docs)).items():
         kept = bytes(b for b, x in zip(raw[i], gone[i], strict=False) if not x)
         assert (r.n_removed, r.n_spans, r.kept_sha256) == (int(gone[i].sum()), spans_of(gone[i]), hashlib.sha256(kept).hexdigest())
-        assert (r.passage_bytes, r.n_passages) == (int(passages[i].sum()), spans_of(passages[i]))
+        assert (r.passage_bytes, r.n_passages) == passages_of(raw[i], passages[i])
 
 
 @pytest.mark.parametrize("most", [4096, 3, 1])
@@ -222,7 +229,7 @@ def test_suffix_dedup_of_small_strings(spark, monkeypatch, most):
     raw = [t.encode() for t in texts]
     gone, passages = removed(raw, 24), removed(raw, 12)
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for i, r in by_id(suffixdedup.substring_digests(frame, 24, 12)).items():
+    for i, r in by_id(suffixdedup.substring_digests(frame, 24, 12, 0)).items():
         assert (r.n_removed, r.n_spans, r.passage_bytes, r.n_passages) == (int(gone[i].sum()), spans_of(gone[i]), int(passages[i].sum()), spans_of(passages[i]))
 
 
