@@ -33,8 +33,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 200 bytes (any passage of over 50 words is longer) that stand
-    anywhere else too; n_chars follows the text.
+    """Texts without passages of over 50 words, or of 400 bytes, that stand anywhere else too;
+    n_chars follows the text.
 
     A null text stays null, an empty one empty, an empty table empty; texts of any length are
     judged whole.
