@@ -29,7 +29,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
     kept = stored(found.join(named, "row").groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias(key)), "kept")
     discard(links)
-    return rows.join(kept, key, "left_semi").select(*docs.columns)
+    # merged at every size: a broadcast of all row numbers has no bound
+    return rows.join(kept.hint("merge"), key, "left_semi").select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
