@@ -1,6 +1,6 @@
 """Queries and patterns from files, folders and standard input, run and timed.
 
-    python -m quadlake.runner TABLES [-f FILE | -d FOLDER | -] [-p PATTERNS] [-o FORMAT OUT] [-t TIMES]
+    python -m quadlake.runner TABLES [-f FILE | -d FOLDER | -] [-p PATTERNS] [-o FORMAT OUT] [-t TIMES] [-s SECONDS]
 
 TABLES is a folder of Parquet tables, seen through the standard mapping, or one of stored quads.
 """
@@ -11,7 +11,9 @@ import argparse
 import csv
 import sys
 import time
-from collections.abc import Iterable
+import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor, TimeoutError, wait
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +54,33 @@ def matches(store: QuadStore, patterns: list[list[str | None]]) -> DataFrame:
     return out
 
 
+class Running:
+    """A query that runs in a thread of its own, its jobs under one tag."""
+
+    def __init__(self, source, text: str, action: Callable[[DataFrame], object] = DataFrame.collect):
+        self.context, self.tag = source.spark.sparkContext, f"query-{uuid.uuid4().hex}"
+        pool = ThreadPoolExecutor(1)
+        self.future = pool.submit(self._run, source, text, action)
+        pool.shutdown(wait=False)
+
+    def _run(self, source, text, action):
+        self.context.addJobTag(self.tag)
+        return action(sparql(source, text))
+
+    def cancel(self) -> None:
+        """Ends the query's jobs, also those that it starts after the first is ended."""
+        while not self.future.done():
+            self.context.cancelJobsWithTag(self.tag)
+            wait([self.future], 0.1)
+
+    def result(self, seconds: float | None = None):
+        """What the action gave; a query that takes longer is cancelled, with a TimeoutError."""
+        if wait([self.future], seconds).not_done:
+            self.cancel()
+            raise TimeoutError(f"the query took over {seconds} seconds")
+        return self.future.result()
+
+
 def timed(source, queries: list[tuple[str, str]], runs: int = 1, warm: int = 0) -> list[tuple[str, int, int, int]]:
     """Runs the mix of queries, `warm` times unmeasured: (name, run, microseconds, rows)."""
     out = []
@@ -82,6 +111,7 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("-p", "--patterns")
     parser.add_argument("-o", "--output", nargs=2, metavar=("FORMAT", "OUT"), help="formats: " + ", ".join(FORMATS))
     parser.add_argument("-t", "--times")
+    parser.add_argument("-s", "--seconds", type=float, help="a shown query that takes longer is cancelled")
     asked = parser.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
     source = opened(spark, asked.tables)
@@ -99,7 +129,7 @@ def main(args: list[str] | None = None) -> int:
             write_results(source, text, f"{asked.output[1]}/{name}", asked.output[0])
     else:
         for _, text in queries:
-            sparql(source, text).show(truncate=False)
+            Running(source, text, lambda df: df.show(truncate=False)).result(asked.seconds)
     return 0
 
 

@@ -41,9 +41,14 @@ def access_path(bound: set[str], orders: tuple[str, ...] = ORDERS) -> str:
     return max(orders, key=prefix)
 
 
+def arranged(quads: DataFrame, order: str) -> DataFrame:
+    """The quads in ranges of that order, so that the statistics of a Parquet table prune by its beginning."""
+    return quads.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def sorted_layout(quads: DataFrame, order: str) -> DataFrame:
-    """The quads as a stored table in ranges of that order, so that Parquet's statistics prune by its beginning."""
-    return persisted(quads.repartitionByRange(*order).sortWithinPartitions(*order))
+    """The arranged quads as a stored table."""
+    return persisted(arranged(quads, order))
 
 
 @dataclass
@@ -138,10 +143,15 @@ class QuadStore:
             terms = terms.join(known.select("term"), "term", "left_anti")
             largest = known.agg(F.max("id")).first()[0]
             first = 0 if largest is None else largest + 1
+        new = persisted(self.numbered(terms, first))
+        return new if known is None else known.unionByName(new)
+
+    def numbered(self, terms: DataFrame | None = None, first: int = 0) -> DataFrame:
+        """Dictionary rows of some terms (None: all of them), to be stored before use."""
         t = F.col("term")
         kind = F.when(is_iri(t), 0).when(is_blank(t), 1).otherwise(2).cast("tinyint")
-        new = persisted(terms.select((F.monotonically_increasing_id() + first).alias("id"), "term", kind.alias("kind"), lexical(t).alias("lex"), datatype(t).alias("dt"), language(t).alias("lang")))
-        return new if known is None else known.unionByName(new)
+        terms = self.terms() if terms is None else terms
+        return terms.select((F.monotonically_increasing_id() + first).alias("id"), "term", kind.alias("kind"), lexical(t).alias("lex"), datatype(t).alias("dt"), language(t).alias("lang"))
 
     def encoded(self, dictionary: DataFrame) -> DataFrame:
         """Quads of ids s, p, o, g with o_num."""

@@ -1,5 +1,7 @@
 """Units on small hand-written graphs."""
 
+import time
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -13,6 +15,7 @@ from quadlake.plans.compiler import PROPERTY_FUNCTIONS, register_property_functi
 from quadlake.plans.parser import ParseError, parse
 from quadlake.sources.ntriples import parse_lines, parse_pattern
 from quadlake.sources.results import FORMATS, formatted, write_results
+from quadlake.sources import load
 from quadlake.sources.ids import IdStore
 from quadlake.sources.store import ORDERS, QuadStore, access_path
 from quadlake.streaming.loader import load_stream
@@ -224,6 +227,30 @@ def test_runner(store, tmp_path):
     assert found.where("pattern = 1").count() == 4 and found.where("pattern = 0").count() == store.match("<http://e/a>").count()
 
 
+def test_cancelled_query(store, spark):
+    text = "SELECT ?x WHERE { ?x <http://e/knows> ?y }"
+    assert len(runner.Running(store, text).result(120)) == 4
+    slow = F.udf(lambda x: time.sleep(60) or x)
+    began = time.perf_counter()
+    with pytest.raises(TimeoutError):
+        runner.Running(store, text, lambda df: df.select(slow("x")).collect()).result(3)
+    assert time.perf_counter() - began < 40
+    assert store.quads.count() == 8
+
+
+def test_load_goes_on(spark, tmp_path):
+    (tmp_path / "in.nq").write_text("\n".join(LINES))
+    ids = load.load_ids(spark, f"{tmp_path}/in.nq", f"{tmp_path}/store")
+    text = "SELECT ?x ?y WHERE { ?x <http://e/knows> ?y }"
+    want = get(sparql(ids, text))
+    assert len(want) == 4
+    made = {x: (tmp_path / "store" / x / "_SUCCESS").stat().st_mtime_ns for x in ("quads", "dictionary", "encoded", *ORDERS)}
+    (tmp_path / "store/posg/_SUCCESS").unlink()  # as if the load had been stopped while it wrote this table
+    assert get(sparql(load.load_ids(spark, f"{tmp_path}/in.nq", f"{tmp_path}/store"), text)) == want
+    again = {x: (tmp_path / "store" / x / "_SUCCESS").stat().st_mtime_ns for x in made}
+    assert {x for x in made if made[x] != again[x]} == {"posg"}
+
+
 def test_plans(spark, tiny):
     """What the plans of some queries must have, and must not."""
 
