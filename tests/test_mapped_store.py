@@ -68,7 +68,7 @@ def test_tables_with_one_prefix_share_quads(spark, graph):
     assert get(MappedStore(twice).quads) == get(MappedStore(graph).quads)
 
 
-@pytest.mark.parametrize("name", ["pat_spog", "store_filter", "pat_pg", "id_filter", "id_optional", "id_graph"])
+@pytest.mark.parametrize("name", ["pat_spog", "store_filter", "pat_pg", "id_filter", "id_optional", "id_graph", "id_predicates_of_object"])
 def test_patterns_do_not_store_all_quads(spark, tiny, tmp_path, monkeypatch, name):
     """A pattern writes less than the tables take: the quads in all orders took many times as much."""
     for kept in ("_stored", "_ids"):
