@@ -26,6 +26,8 @@ from .mapping import TYPE, TableMap
 FEW, FEW_BYTES = 20_000, 2_000_000
 #: Rows to a bucket, and buckets of a table.
 BUCKET_ROWS, BUCKETS = 1_000_000, 64
+#: The buffers that snappy takes for many files or long texts lie outside the heap.
+CODEC = "zstd"
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 #: Text columns to a bit mask.
 _MASK = 62
@@ -39,8 +41,7 @@ def _bucketed(df: DataFrame, column: str, rows: int) -> DataFrame:
     """df as a table in buckets of that column: joins of two such tables on it move no rows."""
     name = f"table_{uuid.uuid4().hex}"
     n = max(1, min(BUCKETS, math.ceil(rows / BUCKET_ROWS)))
-    # zstd: the buffers that snappy takes for each of many files lie outside the heap.
-    df.write.option("path", f"{shared_folder(df.sparkSession)}/{name}").option("compression", "zstd").bucketBy(n, column).saveAsTable(name)
+    df.write.option("path", f"{shared_folder(df.sparkSession)}/{name}").option("compression", CODEC).bucketBy(n, column).saveAsTable(name)
     return df.sparkSession.table(name)
 
 
@@ -124,7 +125,7 @@ class CodedRows:
         fixed = sorted({x for t in self.tables for x in (f"<{t.cls}>", *[f"<{t.graph}>"] * (not t.graph_column), *[f"<{n}>" for n in self.store._values(t)])})
         found.append(self.spark.createDataFrame([(x, *[0] * masks) for x in fixed], "term string, " + ", ".join(f"m{j} long" for j in range(masks))))
         each = reduce(DataFrame.union, found).where("term IS NOT NULL").groupBy("term").agg(*[F.bit_or(f"m{j}").alias(f"m{j}") for j in range(masks)])
-        self.texts = persisted(each.select(F.monotonically_increasing_id().alias("id"), _hashed(F.col("term")).alias("h"), "*"))
+        self.texts = persisted(each.select(F.monotonically_increasing_id().alias("id"), _hashed(F.col("term")).alias("h"), "*"), CODEC)
         here = [self._holds(k) for k in range(len(self.columns))]
         sizes = self.texts.agg(F.max("id"), *[x for y in here for x in (F.count_if(y), F.sum(F.when(y, F.octet_length("term"))))]).first()
         self.few = [sizes[1 + 2 * k] <= FEW and (sizes[2 + 2 * k] or 0) <= FEW_BYTES for k in range(len(here))]
@@ -164,7 +165,7 @@ class CodedRows:
                 part = self._of(table, c, F.col("id").alias(c), *[F.col(b).alias(f"{b}_{c}") for b in self.by])
                 rows = rows.join(part, [f"{b}_{c}" for b in self.by], "left").drop(*[f"{b}_{c}" for b in self.by])
             if not own:
-                self.coded.append(Coded(table, persisted(rows), shared))
+                self.coded.append(Coded(table, persisted(rows, CODEC), shared))
                 continue
             n = table.df.count()
             rows = _bucketed(rows.withColumn("s", ids["s"]), "s", n)
