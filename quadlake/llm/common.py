@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import os
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +41,53 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+def written(df: DataFrame, label: str, run=None, schema=None) -> DataFrame:
+    """As stored(): df, or what run makes of its Arrow batches, in files that the Python workers write.
+
+    Where the shared folder is a mounted one, Spark's own writer starts three processes (chmod) for
+    each file, and each shares the JVM's memory until it runs, which counts it twice. Only the files
+    that tasks returned, one for each partition with rows, get their names; elsewhere Spark writes.
+    """
+    spark = df.sparkSession
+    whole = df if run is None else df.mapInArrow(freed(run), schema)
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() != "file":
+        return stored(whole, label)
+    folder, fields = where.toUri().getPath(), whole.schema
+    arrow = to_arrow_schema(fields)
+    os.makedirs(folder)
+
+    def write(batches):
+        task = TaskContext.get()
+        name, writer, held, size = f"part-{task.partitionId():05d}-{task.taskAttemptId()}.parquet", None, [], 0
+
+        def flush():
+            nonlocal writer, held, size
+            writer = writer or pq.ParquetWriter(f"{folder}/_{name}", arrow, compression="zstd", use_dictionary=False)
+            writer.write_table(pa.Table.from_batches(held).cast(arrow))
+            held, size = [], 0
+
+        for batch in batches if run is None else run(batches):
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size > 16_000_000:
+                flush()
+        if held:
+            flush()
+        if writer:
+            writer.close()
+            yield pa.record_batch([pa.array([name])], ["file"])
+
+    for row in df.mapInArrow(freed(write), "file string").collect():
+        os.rename(f"{folder}/_{row.file}", f"{folder}/{row.file}")
+    forgotten(spark)
+    back = spark.read.schema(fields).parquet(path)
+    back._stored_at = path
+    return back
+
+
 def uses(df: DataFrame, *tables: DataFrame) -> DataFrame:
     """df, which reads those stored tables: discard(df) deletes them."""
     df._uses = tables
@@ -44,7 +95,7 @@ def uses(df: DataFrame, *tables: DataFrame) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes what stored() wrote for them, when nothing reads it any more, and lets Spark drop shuffle files that nothing refers to."""
+    """Deletes what stored() or written() wrote for them, when nothing reads it any more, and lets Spark drop shuffle files that nothing refers to."""
     spark = None
     for df in tables:
         spark, path = df.sparkSession, getattr(df, "_stored_at", None)
@@ -53,8 +104,13 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
         discard(*getattr(df, "_uses", ()))
     if spark is not None:
-        gc.collect()
-        spark._jvm.System.gc()
+        forgotten(spark)
+
+
+def forgotten(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle files that nothing refers to."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, freed, pieces, PrefixHash, row_id, signed, slices, stored, texts
+from .common import discard, freed, pieces, PrefixHash, row_id, signed, slices, texts, written
 
 #: Bytes of a string that is removed where it repeats; bytes of the strings that passages consist
 #: of, and words of a passage: what white space separates.
@@ -224,19 +224,18 @@ def _split(many: DataFrame, width: int) -> list[DataFrame]:
     work = many.select("key", "m", "u", "n", F.lit(0).cast("long").alias("first"), "place", F.lit(0).cast("long").alias("lo"), F.lit(width - width // 4).cast("long").alias("hi"), "context")
     before: list[DataFrame] = [many]
     while True:
-        parts = stored(work.mapInArrow(freed(lambda it: _halves(it, width)), part), "parts")
+        parts = written(work, "parts", lambda it: _halves(it, width), part)
         discard(*before)
         columns = [c for c in parts.columns if c not in ("key", "digest")]
-        equal = stored(parts.groupBy("key", "digest").agg(F.count("*").alias("c"), F.min(F.struct(*columns)).alias("one")), "equal")
+        equal = written(parts.groupBy("key", "digest").agg(F.count("*").alias("c"), F.min(F.struct(*columns)).alias("one")), "equal")
         groups = equal.groupBy("key").agg(F.count("*").alias("size"))
         # windows number first to first + len(context) - width are repeated wherever two parts are equal
         whole = parts.select("key", "digest", "m", "u", "n", "first", F.length("context").alias("size")).join(equal.where("c > 1").select("key", "digest"), ["key", "digest"])
-        pack = lambda it: _whole_ranges(it, width)
-        found.append(stored(whole.select("m", "u", "n", "first", "size").mapInArrow(freed(pack), FOUND), "whole"))
+        found.append(written(whole.select("m", "u", "n", "first", "size"), "whole", lambda it: _whole_ranges(it, width), FOUND))
         rows = equal.join(groups.where("size > 1"), "key").select("key", "c", "size", "one.*")
         small = rows.where(F.col("size") <= MOST).select("key", "m", "u", "n", "c", "first", "place", "context")
-        found.append(stored(small.repartition("key").sortWithinPartitions("key", "m", "u", "n").mapInArrow(freed(lambda it: _by_suffix(it, width)), FOUND), "suffixes"))
-        work = stored(rows.where(F.col("size") > MOST).drop("c", "size"), "work")
+        found.append(written(small.repartition("key").sortWithinPartitions("key", "m", "u", "n"), "suffixes", lambda it: _by_suffix(it, width), FOUND))
+        work = written(rows.where(F.col("size") > MOST).drop("c", "size"), "work")
         discard(parts, equal)
         before = [work]
         if work.isEmpty():
@@ -304,18 +303,18 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, within: DataFrame | None
     read = source
     if within is not None:
         read = source.join(within.mapInArrow(freed(_long(width)), within.schema), "doc_id")
-    rows = stored(read.mapInArrow(freed(lambda it: _run_rows(it, width)), "doc_id long, m long, u long, n long, place long, starts array<long>"), "runs")
-    classes = stored(rows.groupBy("m", "u", "n").agg(F.sum(F.size("starts")).alias("c"), F.min("place").alias("place"), F.min(F.struct("doc_id", F.col("starts")[0].alias("start"))).alias("at")), "classes")
-    anchors = stored(classes.groupBy("m").agg(F.count("*").alias("contexts"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("single")).where("contexts > 1 AND single > 0").select("m", "contexts"), "anchors")
+    rows = written(read, "runs", lambda it: _run_rows(it, width), "doc_id long, m long, u long, n long, place long, starts array<long>")
+    classes = written(rows.groupBy("m", "u", "n").agg(F.sum(F.size("starts")).alias("c"), F.min("place").alias("place"), F.min(F.struct("doc_id", F.col("starts")[0].alias("start"))).alias("at")), "classes")
+    anchors = written(classes.groupBy("m").agg(F.count("*").alias("contexts"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("single")).where("contexts > 1 AND single > 0").select("m", "contexts"), "anchors")
     wanted = classes.join(anchors, "m").groupBy("at.doc_id").agg(F.collect_list(F.struct("m", "u", "n", "c", "place", "contexts", F.col("at.start").alias("start"))).alias("needs"))
-    shared = source.join(wanted, "doc_id").select("text", "needs").mapInArrow(freed(lambda it: _contexts(it, width)), "key long, m long, u long, n long, c long, first long, place long, contexts long, context binary")
+    asked, cut, context = source.join(wanted, "doc_id").select("text", "needs"), lambda it: _contexts(it, width), "key long, m long, u long, n long, c long, first long, place long, contexts long, context binary"
     often = (anchors.agg(F.max("contexts")).first()[0] or 0) > MOST
-    if often:  # kept, since both ways read it
-        shared = stored(shared, "contexts")
+    # kept if often, since both ways read it
+    shared = written(asked, "contexts", cut, context) if often else asked.mapInArrow(freed(cut), context)
     usual = shared.where(F.col("contexts") <= MOST).drop("contexts")
-    found = [stored(usual.repartition("key").sortWithinPartitions("key", "m", "u", "n").mapInArrow(freed(lambda it: _by_suffix(it, width)), FOUND), "suffixes")]
+    found = [written(usual.repartition("key").sortWithinPartitions("key", "m", "u", "n"), "suffixes", lambda it: _by_suffix(it, width), FOUND)]
     if often:
-        many = stored(shared.where(F.col("contexts") > MOST).dropDuplicates(["m", "u", "n"]), "many")
+        many = written(shared.where(F.col("contexts") > MOST).dropDuplicates(["m", "u", "n"]), "many")
         discard(shared)
         found += _split(many, width)
     whole = classes.where("c > 1").select("m", "u", "n", F.lit(None).cast("binary").alias("ranges"))
@@ -323,7 +322,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, within: DataFrame | None
     for i, x in enumerate(found):
         whole = whole.unionByName(x if i == 0 else x.join(single, ["m", "u", "n"], "left_semi"))
     spans = rows.join(whole, ["m", "u", "n"]).select("doc_id", "n", "starts", "ranges").mapInArrow(freed(lambda it: _spans(it, width)), "doc_id long, spans binary")
-    out = stored(spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans")), "spans")
+    out = written(spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans")), "spans")
     discard(rows, classes, anchors, *found)
     return out
 
@@ -345,7 +344,8 @@ def substring_digests(docs: DataFrame, width: int = WIDTH, passage: int = PASSAG
     width). Null and empty texts and texts under `passage` bytes lose
     nothing; repeated rows are repeats of each other; doc_id identifies a text, and rows without
     one are told apart by their text; an empty table gives an empty one; columns other than
-    doc_id and text are not read. Texts of any length are read in steps of 4,000,000 bytes.
+    doc_id and text are not read. Texts of any length are read in steps of 4,000,000 bytes. A stored
+    table, so that who writes it on reads a few small files.
     """
 
     def run(batches):
@@ -364,7 +364,9 @@ def substring_digests(docs: DataFrame, width: int = WIDTH, passage: int = PASSAG
     fine = repeated_spans(docs, width, coarse) if passage < width else coarse
     spans = coarse.select(F.col("doc_id").alias("id"), F.col("spans").alias("coarse")).join(fine.select(F.col("doc_id").alias("id"), F.col("spans").alias("fine")), "id", "left")
     joined = source.join(spans, "id", "left").select("doc_id", "text", "fine", "coarse")
-    return joined.mapInArrow(freed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, passage_bytes long, n_passages long")
+    out = written(joined, "digests", run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, passage_bytes long, n_passages long")
+    discard(coarse, fine)
+    return out
 
 
 DIGESTS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "passage_bytes", "n_passages"]

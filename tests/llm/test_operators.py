@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from quadlake.llm import bpe, chat, hnsw, jaccard, packing, suffixdedup, telephony, token_counts, toxicity, urlfilter
+from quadlake.llm import bpe, chat, common, hnsw, jaccard, packing, suffixdedup, telephony, token_counts, toxicity, urlfilter
 from quadlake.llm.components import connected
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -233,6 +233,41 @@ def test_suffix_dedup_of_small_strings(spark, monkeypatch, most):
         assert (r.n_removed, r.n_spans, r.passage_bytes, r.n_passages) == (int(gone[i].sum()), spans_of(gone[i]), int(passages[i].sum()), spans_of(passages[i]))
 
 
+def launched(spark, path, run):
+    """Commands of the processes that the JVM (in local mode also the executor) starts while run() runs."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    recording = jvm.jdk.jfr.Recording()
+    recording.enable("jdk.ProcessStart")
+    recording.start()
+    run()
+    recording.stop()
+    file = jvm.java.nio.file.Path.of(str(path), gateway.new_array(jvm.String, 0))
+    recording.dump(file)
+    recording.close()
+    return [e.getString("command") for e in jvm.jdk.jfr.consumer.RecordingFile.readAllEvents(file)]
+
+
+@pytest.mark.parametrize("most", [4096, 1])
+def test_suffix_dedup_starts_no_process_for_a_file(spark, docs, monkeypatch, tmp_path, most):
+    """A process that starts holds the executor's memory a second time until it runs."""
+    monkeypatch.setattr(suffixdedup, "MOST", most)
+    spark.range(1).mapInArrow(lambda it: it, "id long").collect()  # the workers' own process
+    assert [x for x in launched(spark, tmp_path / "x.jfr", lambda: suffixdedup.substring_digests(docs).collect()) if "chmod" in x] == []
+
+
+def test_tables_written_by_workers(spark):
+    rows = [(i, None if i % 3 else bytes([i]), [i] * (i % 4), (i, str(i))) for i in range(100)]
+    frame = spark.createDataFrame(rows, "a long, b binary, c array<long>, d struct<e: long, f: string>").repartition(7)
+    back = common.written(frame, "some")
+    assert sorted(map(str, back.collect())) == sorted(map(str, frame.collect())) and back.schema == frame.schema
+    assert common.written(frame.where("a < 0"), "none").count() == 0
+    twice = common.written(frame, "twice", lambda it: (x for batch in it for x in (batch.select(["a"]), batch.select(["a"]))), "a long")
+    assert sorted(r.a for r in twice.collect()) == sorted([*range(100), *range(100)])
+    common.discard(back, twice)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(back._stored_at)
+
+
 def test_interval_tree_like_brute_force():
     rng = np.random.default_rng(9)
     for _ in range(300):
